@@ -37,12 +37,18 @@ class Rule:
     broken: Column
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once a row: a generator of one row, which the optimizer neither copies
+    into every later use nor merges into a filter."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def with_errors(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """``df`` with an array of the reasons that hold, in the order of the rules."""
     if not rules:
         return df.withColumn(ERRORS, F.array().cast("array<string>"))
-    found = F.array(*[F.when(r.broken, F.lit(r.reason)) for r in rules])
-    return df.withColumn(ERRORS, F.filter(found, lambda x: x.isNotNull()))
+    found = F.array_compact(F.array(*[F.when(r.broken, F.lit(r.reason)) for r in rules]))
+    return once(df, **{ERRORS: found})
 
 
 def split_rows(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
@@ -57,40 +63,53 @@ def typed_rules(types: dict[str, str], required: Sequence[str] = ()) -> list[Rul
     return rules + [Rule(f"cast:{c}", F.col(c).isNotNull() & F.col(c).try_cast(t).isNull()) for c, t in types.items()]
 
 
+def _rtrim(text: Column) -> Column:
+    ends = F.right(text, F.lit(1)).isin(*SPACE)
+    return F.when(ends, F.rtrim(text, F.lit(SPACE))).otherwise(text)
+
+
 def parse_review_lines(lines: DataFrame, text: str = "line_text") -> DataFrame:
-    """Adds the nullable text columns of a review line: ``_q_body`` (unquoted line), ``_q_label`` (last field) and
-    ``_q_entries`` (the other fields as structs ts, tfreq, both text; null where a field has not exactly one colon).
-    """
-    outer = F.rtrim(F.col(text), F.lit(SPACE))
-    quoted = outer.startswith('"') & outer.endswith('"') & (F.length(outer) > 1)
-    df = lines.withColumn("_q_outer", outer)
-    df = df.withColumn("_q_body", F.rtrim(F.when(quoted, F.expr("substring(_q_outer, 2, length(_q_outer) - 2)")).otherwise(F.col("_q_outer")), F.lit(SPACE)))
-    df = df.withColumn("_q_fields", F.split("_q_body", " ", -1))
-    df = df.withColumn("_q_label", F.element_at("_q_fields", -1))
-    df = df.withColumn("_q_other", F.expr("slice(_q_fields, 1, size(_q_fields) - 1)"))
-    entry = F.transform("_q_other", _entry)
-    return df.withColumn("_q_entries", entry).drop("_q_outer", "_q_fields")
+    """Adds the nullable text columns of a review line: ``_q_body``, the unquoted line, ``_q_label``, its last field,
+    and ``_q_rest``, the fields before it, each followed by a blank."""
+    df = once(lines, _q_outer=_rtrim(F.col(text)))
+    quoted = F.col("_q_outer").startswith('"') & F.col("_q_outer").endswith('"') & (F.length("_q_outer") > 1)
+    inner = F.when(quoted, F.expr("substring(_q_outer, 2, length(_q_outer) - 2)")).otherwise(F.col("_q_outer"))
+    df = once(df, _q_inner=inner)
+    df = once(df, _q_body=_rtrim(F.col("_q_inner")))
+    df = once(df, _q_label=F.substring_index("_q_body", " ", -1))
+    df = once(df, _q_rest=F.expr("left(_q_body, length(_q_body) - length(_q_label))"))
+    return df.drop("_q_outer", "_q_inner")
 
 
-def _entry(field: Column) -> Column:
-    parts = F.split(field, ":", -1)
-    fine = (F.size(parts) == 2) & (parts[0] != "")
-    return F.when(fine, F.struct(parts[0].alias("ts"), parts[1].alias("tfreq")))
+def _entries(rest: Column) -> Column:
+    """The fields of ``_q_rest`` as structs (ts, tfreq), both text; for lines whose fields have one colon each."""
+    fields = F.filter(F.split(rest, " ", -1), lambda x: x != "")
+    return F.transform(fields, lambda x: F.struct(F.substring_index(x, ":", 1).alias("ts"), F.substring_index(x, ":", -1).alias("tfreq")))
 
 
 def _frequency(text: Column) -> Column:
     """The frequency a text stands for, null where it is none: ASCII digits only, from 1 to 2147483647."""
-    number = F.when(text.rlike(r"\A[0-9]+\z"), F.ltrim(text, F.lit("0")))
-    return F.when(F.length(number).between(1, 10), number.try_cast("bigint"))
+    number = F.when(text.rlike(r"\A0*[1-9][0-9]{0,9}\z"), F.ltrim(text, F.lit("0")).try_cast("bigint"))
+    return F.when(number.between(1, MAX_INT), number.cast("int"))
+
+
+#: Searches in ``_q_rest``; each walks along the text without nesting, whatever its length.
+OTHER_LABEL = rf"(?:\A| ){LABEL_START}"
+BAD_ENTRY = r"(?:\A| )(?::|[^ :]*+ |[^ :]*+:[^ :]*+:)"
+#: A frequency that is not plainly good, as one to nine digits without a leading zero are.
+DOUBTFUL = r":(?![1-9][0-9]{0,8} )"
 
 
 def review_line_rules(text: str = "line_text") -> list[Rule]:
-    """What makes a review line unloadable, in the order in which reasons are reported."""
-    blank = F.col(text).isNull() | (F.btrim(F.col(text), F.lit(SPACE)) == "")
-    label = ~F.col("_q_label").isin(*LABELS) | F.exists("_q_other", lambda f: f.startswith(LABEL_START))
-    entry = F.exists("_q_entries", lambda e: e.isNull())
-    value = F.exists("_q_entries", lambda e: e.isNotNull() & ~F.coalesce(_frequency(e["tfreq"]).between(1, MAX_INT), F.lit(False)))
-    return [Rule("empty", blank), Rule("quote", F.col("_q_body").contains('"')), Rule("label", label), Rule("entry", entry), Rule("tfreq", value)]
+    """What makes a review line unloadable, in the order in which reasons are reported.
+
+    One search over the line finds doubtful frequencies; only lines with such a one are looked at field by field.
+    """
+    rest = F.col("_q_rest")
+    blank = F.col(text).isNull() | ~F.col(text).rlike(r"[^ \t\r\n]")
+    label = ~F.col("_q_label").isin(*LABELS) | rest.rlike(OTHER_LABEL)
+    value = F.when(rest.rlike(DOUBTFUL), F.exists(_entries(rest), lambda e: _frequency(e["tfreq"]).isNull()))
+    return [Rule("empty", blank), Rule("quote", F.col("_q_body").contains('"')), Rule("label", label), Rule("entry", rest.rlike(BAD_ENTRY)), Rule("tfreq", value)]
 
 
 def split_review_lines(lines: DataFrame, text: str = "line_text") -> tuple[DataFrame, DataFrame]:
@@ -102,7 +121,7 @@ def split_review_lines(lines: DataFrame, text: str = "line_text") -> tuple[DataF
     """
     own = [c for c in lines.columns if c not in ("features", "label", "errors", "reason")]
     valid, failed = split_rows(parse_review_lines(lines, text), review_line_rules(text))
-    features = F.transform("_q_entries", lambda e: F.struct(e["ts"].alias("ts"), _frequency(e["tfreq"]).cast("int").alias("tfreq")))
+    features = F.transform(_entries(F.col("_q_rest")), lambda e: F.struct(e["ts"].alias("ts"), _frequency(e["tfreq"]).alias("tfreq")))
     label = F.coalesce(*[F.when(F.col("_q_label") == k, F.lit(v)) for k, v in LABELS.items()])
     records = valid.select(*[c for c in own if c != text], features.alias("features"), label.alias("label"))
     return records, failed.select(*own, F.col(ERRORS).alias("errors"), F.col(ERRORS)[0].alias("reason"))
