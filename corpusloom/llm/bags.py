@@ -207,14 +207,18 @@ def similarity(weighted: bool, threshold: float) -> Callable[[Batches], Batches]
     return check
 
 
-def verified(bags: DataFrame, pairs: DataFrame, weighted: bool, threshold: float) -> tuple[DataFrame, DataFrame]:
+def verified(bags: DataFrame, pairs: DataFrame, weighted: bool, threshold: float, same: bool = False) -> tuple[DataFrame, DataFrame]:
     """(members, links): all records with their class, once each, and the candidate pairs of classes that reach the
-    threshold exactly (a, b, sim; a < b). Only bags of classes in a pair are shuffled."""
+    threshold exactly (a, b, sim). Only bags of classes in a pair are shuffled. With ``same``, pairs of a class with itself
+    are kept, as they are."""
     spark = bags.sparkSession
     pairs = cut(pairs)
     every = cut(members(bags, marks_of(spark, pairs), weighted))
     terms = every.where(F.col("hs").isNotNull()).dropDuplicates(["class"])
     one = terms.select(F.col("class").alias("a"), F.col("hs").alias("ha"), F.col("fs").alias("fa"))
     two = terms.select(F.col("class").alias("b"), F.col("hs").alias("hb"), F.col("fs").alias("fb"))
-    links = pairs.where("a <> b").join(one, "a").join(two, "b").select("a", "b", "ha", "fa", "hb", "fb")
-    return every.select("class", "id", "split", "domain").dropDuplicates(["class", "id"]), links.mapInArrow(similarity(weighted, threshold), "a long, b long, sim double")
+    compared = pairs.where("a <> b").join(one, "a").join(two, "b").select("a", "b", "ha", "fa", "hb", "fb")
+    links = compared.mapInArrow(similarity(weighted, threshold), "a long, b long, sim double")
+    if same:
+        links = links.union(pairs.where("a = b").select("a", "b", F.lit(1.0)))
+    return every.select("class", "id", "split", "domain").dropDuplicates(["class", "id"]), links
