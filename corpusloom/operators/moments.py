@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from corpusloom.plans.blas import single_thread
 from corpusloom.plans.partial import Batches, summed
 
 #: More features than this need another representation than a dense matrix on the driver.
@@ -48,6 +49,7 @@ def block(batch: pa.RecordBatch, d: int, bias: bool = False) -> np.ndarray:
 
 def slices(batch: pa.RecordBatch, d: int) -> Batches:
     """Parts of a batch whose dense blocks stay small."""
+    single_thread()
     most = max(1, min(BLOCK, (1 << 22) // (d + 1)))
     for low in range(0, batch.num_rows, most):
         yield batch.slice(low, most)
@@ -76,6 +78,7 @@ def moments(rows: DataFrame, d: int, keys: list[str], bias: bool = False) -> Mom
     if d > WIDEST:
         raise ValueError(f"{d} features; the solvers hold matrices of at most {WIDEST} features")
     groups = [tuple(r) for r in rows.select(*keys).distinct().collect()] if keys else [()]
+    single_thread()
     groups.sort(key=lambda g: tuple((x is None, x) for x in g))
     number, m = {g: k for k, g in enumerate(groups)}, d + bias
     one = m * m + m + 1

@@ -348,7 +348,7 @@ TFIDF = (
     + LENGTHS
     + """, z AS (SELECT doc_id, j, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM y), t AS (SELECT doc_id, j, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS x FROM z)"""
 )
-_TEXT_P = TFIDF + ", b AS (SELECT * FROM t UNION ALL SELECT doc_id, CAST(200 AS BIGINT), CAST(1 AS DOUBLE) FROM docs) SELECT a.j AS i, b.j AS j, round(sum(a.x * b.x) * CASE WHEN b.j = 200 THEN 1.0 ELSE 1 - CAST(0.9 AS DOUBLE) END, 4) + 0.0 AS lhs FROM t a JOIN b USING (doc_id)"
+_TEXT_P = TFIDF + ", b AS (SELECT * FROM t UNION ALL SELECT doc_id, CAST(200 AS BIGINT), CAST(1 AS DOUBLE) FROM docs), p AS (SELECT a.j AS i, b.j AS j, round(sum(a.x * b.x * CASE WHEN b.j = 200 THEN 1.0 ELSE 1 - CAST(0.9 AS DOUBLE) END), 4) + 0.0 AS lhs FROM t a JOIN b USING (doc_id) GROUP BY ALL)"
 _CELLS = ", cells AS (SELECT i, j FROM (SELECT unnest(generate_series(0, {0})) AS i), (SELECT unnest(generate_series(0, {1})) AS j)) "
 SQL = {
     "gram_text": BASE + _CELLS.format(199, 199) + """, s AS (SELECT a.j AS i, b.j AS j, sum(a.tf * b.tf) AS s FROM x a JOIN x b USING (doc_id) GROUP BY ALL)
@@ -381,8 +381,8 @@ SQL = {
     "filter_w_pos": VEC + "SELECT i, j, greatest(round(s, 6), 0) + 0.0 AS v FROM g",
     "filter_w_neg": VEC + "SELECT i, j, least(round(s, 6), 0) + 0.0 AS v FROM g",
     "ridge_domain_clf": VEC + "SELECT j, round(sum(CASE WHEN src THEN -x ELSE x END), 4) + 0.0 AS lhs FROM e GROUP BY j",
-    "mda_solve": _TEXT_P + " GROUP BY ALL",
-    "mda_reduced_output": "SELECT * FROM (" + _TEXT_P + " GROUP BY ALL) WHERE i < 20",
+    "mda_solve": _TEXT_P + ", cell AS (SELECT i, j FROM (SELECT unnest(generate_series(0, 199)) AS i), (SELECT unnest(generate_series(0, 200)) AS j)) SELECT i, j, coalesce(lhs, 0) AS lhs FROM cell LEFT JOIN p USING (i, j)",
+    "mda_reduced_output": _TEXT_P + ", cell AS (SELECT i, j FROM (SELECT unnest(generate_series(0, 19)) AS i), (SELECT unnest(generate_series(0, 200)) AS j)) SELECT i, j, coalesce(lhs, 0) AS lhs FROM cell LEFT JOIN p USING (i, j)",
     "mda_project": VEC
     + """, p AS (SELECT i, j, round(s / 1000, 9) * (1 - CAST(0.9 AS DOUBLE)) AS p FROM g)
     SELECT vec_id AS doc_id, i, round(tanh(sum(x * p)), 6) + 0.0 AS h FROM e JOIN p USING (j) GROUP BY ALL""",
