@@ -9,7 +9,7 @@ are the patterns; for records of one term it is that term with an end mark. Noth
 Shards. A passage belongs to the shard of its first term's character. Per shard, an automaton holds the evaluation passages, and every training
 text is scanned by the automaton of each shard in which it has a passage; it travels there once, as the fragment of
 its text that holds those passages, overlapping passages merged. Shards are as many as the shuffle has tasks, more
-where the evaluation passages exceed ``passages_per_shard``, which bounds an automaton's memory.
+where the passages exceed ``passages_per_shard`` on average, which bounds what a task holds.
 
 Coverage. Matched intervals of a pair are merged; their covered length, exact size bounds and a parity word decide whether the
 pair is a candidate. Candidates are verified by the Jaccard similarity of the term sets.
@@ -17,6 +17,7 @@ pair is a candidate. Candidates are verified by the Jaccard similarity of the te
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil
 
 import ahocorasick
@@ -29,8 +30,9 @@ from corpusloom.plans.session import shuffle_width
 
 #: Characters of terms: the code points above the surrogates; GAP and END are below.
 FIRST, LAST, GAP, END = 0xE000, 0x10FFFF, 1, 2
-#: Training fragments joined into one scan.
-SCAN = 4096
+#: Training fragments of one scan, and bits of a shard's table of training passages (as a power of two).
+SCAN, MARK_BITS = 4096, 22
+SCHEMA = pa.schema([("shard", pa.int64()), ("side", pa.int64()), ("class", pa.int64()), ("terms", pa.int64()), ("bits", pa.int64()), ("text", pa.binary())])
 
 
 def fragments(records: DataFrame, evaluation: str, threshold: float, passages_per_shard: int) -> tuple[DataFrame, int]:
@@ -63,13 +65,15 @@ def fragments(records: DataFrame, evaluation: str, threshold: float, passages_pe
             owner, i, at, shard = owner[order], i[order], at[order], shard[order]
             begin = np.r_[True, (owner[1:] != owner[:-1]) | (shard[1:] != shard[:-1])]
             joined = ~begin & np.r_[False, i[1:] == i[:-1] + 1]
-            # characters of each passage: both, after a gap unless first in its fragment, or the second only where merged
-            length = np.where(joined, 1, np.where(begin, 2, 3))
+            # characters of each passage: the second, before it the first unless merged, after it a gap unless the next is merged
+            gap = ~np.r_[joined[1:], False]
+            length = 1 + ~joined + gap
             ends = np.cumsum(length)
             text = np.full(ends[-1], GAP, np.uint32)
             alone = size[new][owner] == 1
-            text[ends - 1] = np.where(alone, END, code[np.minimum(at + 1, len(code) - 1)])
-            text[(ends - 2)[~joined]] = code[at[~joined]]
+            second = ends - 1 - gap
+            text[second] = np.where(alone, END, code[np.minimum(at + 1, len(code) - 1)])
+            text[(second - 1)[~joined]] = code[at[~joined]]
             heads = np.flatnonzero(begin)
             offsets = np.r_[(ends - length)[heads], ends[-1]] * 4
             body = pa.BinaryArray.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(text)])
@@ -80,85 +84,84 @@ def fragments(records: DataFrame, evaluation: str, threshold: float, passages_pe
     return records.mapInArrow(emit, "shard long, side long, class long, terms long, bits long, text binary"), shards
 
 
-class Shard:
-    """The automaton of one shard and the evaluation records behind its passages."""
-
-    def __init__(self) -> None:
-        self.seen: set[int] = set()
-        self.parts: list[tuple[list[int], np.ndarray, np.ndarray, list[str]]] = []
-        self.automaton = None
-
-    def add(self, ids: np.ndarray, terms: np.ndarray, bits: np.ndarray, texts: list[str]) -> None:
-        new = [k for k, x in enumerate(ids.tolist()) if not (x in self.seen or self.seen.add(x))]
-        if new:
-            self.parts.append((ids[new], terms[new], bits[new], [texts[k] for k in new]))
-
-    def build(self) -> None:
-        self.ids, self.terms, self.bits = (np.concatenate([p[k] for p in self.parts]) for k in range(3))
-        posted: dict[str, list[int]] = {}
-        for k, text in enumerate(t for p in self.parts for t in p[3]):
-            for fragment in text.split(chr(GAP)):
-                for i in range(len(fragment) - 1):
-                    posted.setdefault(fragment[i : i + 2], []).append(k)
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for k, passage in enumerate(posted):
-            self.automaton.add_word(passage, k)
-        self.automaton.make_automaton()
-        size = [len(x) for x in posted.values()]
-        self.first = np.r_[0, np.cumsum(size)]
-        self.posts = np.fromiter((k for x in posted.values() for k in x), np.int64, sum(size))
-        self.parts, self.seen = [], set()
-
-    def scan(self, ids: np.ndarray, terms: np.ndarray, bits: np.ndarray, texts: list[str], threshold: float) -> pa.RecordBatch | None:
-        """Candidate pairs (a evaluation, b training class, covered terms) of the training fragments."""
-        size = np.array([len(t) + 1 for t in texts])
-        hits = np.array(list(self.automaton.iter(chr(GAP).join(texts))), np.int64).reshape(-1, 2)
-        if not len(hits):
-            return None
-        which = np.searchsorted(np.cumsum(size), hits[:, 0], "right")
-        many = self.first[hits[:, 1] + 1] - self.first[hits[:, 1]]
-        one = np.repeat(np.arange(len(hits)), many)
-        a = self.posts[np.repeat(self.first[hits[:, 1]] - np.cumsum(many) + many, many) + np.arange(len(one))]
-        b, end = which[one], hits[one, 0]
-        ta, tb = self.terms[a], terms[b]
-        differ = np.bitwise_count(self.bits[a] ^ bits[b])
-        good = (np.minimum(ta, tb) >= threshold * np.maximum(ta, tb) - 1e-9) & (differ <= (ta + tb) * ((1 - threshold) / (1 + threshold)) + 1e-9)
-        a, b, end = a[good], b[good], end[good]
-        if not len(a):
-            return None
-        order = np.lexsort((end, b, a))
-        a, b, end = a[order], b[order], end[order]
-        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-        gain = np.where(new | np.r_[True, end[1:] > end[:-1] + 1], 2, 1)  # intervals [end - 1, end] merge where they touch
-        heads = np.flatnonzero(new)
-        return pa.RecordBatch.from_arrays([pa.array(self.ids[a[heads]]), pa.array(ids[b[heads]]), pa.array(np.add.reduceat(gain, heads))], names=["a", "b", "covered"])
+class Texts:
+    """The fragments of one side of a shard, each class once."""
+
+    def __init__(self, table: pa.Table) -> None:
+        ids = table.column("class").to_numpy()
+        self.ids, one = np.unique(ids, return_index=True)
+        self.terms, self.bits = table.column("terms").to_numpy()[one], table.column("bits").to_numpy()[one].view(U)
+        text = table.column("text").take(pa.array(one)).combine_chunks()
+        offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1] // 4
+        self.chars = np.frombuffer(text.buffers()[2] or b"", np.uint32)[offsets[0] : offsets[-1]]
+        self.ends = offsets[1:] - offsets[0]
+
+    def passages(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first and second character in one number, position of the second character)."""
+        at = np.flatnonzero((self.chars[:-1] != GAP) & (self.chars[1:] != GAP)) + 1
+        return self.chars[at - 1].astype(U) << U(32) | self.chars[at], at
+
+
+def scan(one: Texts, two: Texts, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs (a evaluation, b training class, covered terms): an automaton of the passages of ``one`` scans ``two``.
+
+    Passages that no training fragment can hold, by a bit table of those, are left out of the automaton.
+    """
+    key, at = one.passages()
+    there = np.zeros(1 << MARK_BITS, bool)
+    there[mix(two.passages()[0]) >> U(64 - MARK_BITS)] = True
+    keep = there[mix(key) >> U(64 - MARK_BITS)]
+    patterns, which = np.unique(key[keep], return_inverse=True)
+    if not len(patterns):
+        return
+    order = np.argsort(which, kind="stable")
+    posts = np.searchsorted(one.ends, at[keep][order], "right")
+    first = np.r_[0, np.cumsum(np.bincount(which, minlength=len(patterns)))]
+    words = np.stack([patterns >> U(32), patterns & U(0xFFFFFFFF)], axis=1).astype(np.uint32).tobytes().decode("utf-32-le")
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for k in range(len(patterns)):
+        automaton.add_word(words[2 * k : 2 * k + 2], k)
+    automaton.make_automaton()
+    for low in range(0, len(two.ends), SCAN):
+        begin = int(two.ends[low - 1]) if low else 0
+        end = int(two.ends[min(low + SCAN, len(two.ends)) - 1])
+        hits = np.array(list(automaton.iter(two.chars[begin:end].tobytes().decode("utf-32-le"))), np.int64).reshape(-1, 2)
+        if len(hits):
+            yield from _pairs(one, two, hits[:, 0] + begin, hits[:, 1], posts, first, threshold)
+
+
+def _pairs(one: Texts, two: Texts, end: np.ndarray, pattern: np.ndarray, posts: np.ndarray, first: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
+    many = first[pattern + 1] - first[pattern]
+    hit = np.repeat(np.arange(len(end)), many)
+    a = posts[np.repeat(first[pattern] - np.cumsum(many) + many, many) + np.arange(len(hit))]
+    end = end[hit]
+    b = np.searchsorted(two.ends, end, "right")
+    ta, tb = one.terms[a], two.terms[b]
+    differ = np.bitwise_count(one.bits[a] ^ two.bits[b])
+    good = (np.minimum(ta, tb) >= threshold * np.maximum(ta, tb) - 1e-9) & (differ <= (ta + tb) * ((1 - threshold) / (1 + threshold)) + 1e-9)
+    a, b, end = a[good], b[good], end[good]
+    if not len(a):
+        return
+    order = np.lexsort((end, b, a))
+    a, b, end = a[order], b[order], end[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+    gain = np.where(new | np.r_[True, end[1:] > end[:-1] + 1], 2, 1)  # intervals [end - 1, end] merge where they touch
+    heads = np.flatnonzero(new)
+    yield pa.RecordBatch.from_arrays([pa.array(one.ids[a[heads]]), pa.array(two.ids[b[heads]]), pa.array(np.add.reduceat(gain, heads))], names=["a", "b", "covered"])
 
 
 def candidates(parts: DataFrame, shards: int, threshold: float) -> DataFrame:
-    """(a, b, covered): pairs of an evaluation and a training class with the terms that matched passages cover, summed over the shards."""
+    """(a, b, covered): pairs of an evaluation and a training class, with the most terms that their matched passages cover in a shard."""
 
-    def scan(batches: Batches) -> Batches:
-        now, shard = None, Shard()
-        for batch in batches:
-            cols = [batch.column(k).to_numpy() for k in range(5)]
-            cut = np.flatnonzero(np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])]) if batch.num_rows else []
-            for low, high in zip(cut, np.r_[cut[1:], batch.num_rows] if batch.num_rows else []):
-                if cols[0][low] != now:
-                    now, shard = cols[0][low], Shard()
-                for low in range(low, high, SCAN):
-                    s = slice(low, min(low + SCAN, high))
-                    texts = [x.as_buffer().to_pybytes().decode("utf-32-le") for x in batch.column(5)[s]]
-                    args = cols[2][s], cols[3][s], cols[4][s].view(U), texts
-                    if cols[1][low] == 0:
-                        shard.add(*args)
-                        continue
-                    if shard.automaton is None and shard.parts:
-                        shard.build()
-                    if shard.automaton is not None and (found := shard.scan(*args, threshold)) is not None:
-                        yield found
-
-    placed = parts.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "side")
-    return placed.mapInArrow(scan, "a long, b long, covered long").groupBy("a", "b").agg(F.max("covered").alias("covered"))
+    def shard(batches: Batches) -> Batches:
+        table = pa.Table.from_batches(list(batches), schema=SCHEMA)  # a shard is a partition, of bounded size
+        side = table.column("side").to_numpy()
+        one, two = (table.filter(pa.array(side == k)) for k in (0, 1))
+        if one.num_rows and two.num_rows:
+            yield from scan(Texts(one), Texts(two), threshold)
+
+    placed = parts.repartitionById(shards, F.col("shard").cast("int"))
+    return placed.mapInArrow(shard, "a long, b long, covered long").groupBy("a", "b").agg(F.max("covered").alias("covered"))
 
 
 def overlaps(
