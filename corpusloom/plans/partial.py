@@ -34,7 +34,7 @@ def summed(df: DataFrame, partial: Callable[[Batches], np.ndarray], width: int,
     many = df.rdd.getNumPartitions()
     if many > 8:
         parts = parts.repartition(ceil(sqrt(many))).mapInArrow(add, "v binary")
-    return np.frombuffer(parts.coalesce(1).mapInArrow(add, "v binary").first()["v"], kind)
+    return np.frombuffer(parts.coalesce(1).mapInArrow(add, "v binary").collect()[0]["v"], kind)
 
 
 def matrix_rows(spark: SparkSession, names: tuple[str, str], **values: np.ndarray) -> DataFrame:
