@@ -5,7 +5,8 @@ Each record's bag gets TF-IDF weights (terms are the shingles of a bag, which ha
 agree in a sample with a probability equal to their weighted Jaccard similarity. Records that agree in all rows of a
 band meet in that band's bucket. Within a bucket, pairs are compared by exact bounds (total frequency, and parity
 words that count differing terms from below), so only pairs that can reach the threshold leave it. Those are
-verified by their weighted Jaccard similarity on the frequencies themselves.
+verified by their weighted Jaccard similarity on the frequencies themselves. A bucket too large for one task is compared
+in blocks spread over tasks.
 
 Random numbers of a (term, sample) come from one multiplied hash; gamma quantiles from tables of 65,536 steps.
 
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.llm.bags import BUCKETS, MIX_A, STEP, Batches, U, Unseen, class_ids, hashed, merged, mix, parity, spans, term_counts, verified
+from corpusloom.plans.session import cut
 
 #: Steps of the quantile tables.
 STEPS = 65536
@@ -105,46 +107,124 @@ def band_rows(bags: DataFrame, bands: int, rows: int) -> DataFrame:
     return bags.mapInArrow(emit, "key long, class long, weight long, p long, q long")
 
 
-def candidates(banded: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b: pairs of classes of a bucket that the bounds let reach the threshold, each once."""
+#: Rows of a bucket that one task compares with each other; a larger bucket is cut in blocks of so many.
+HOT = 4096
 
-    def pairs_of(key: np.ndarray, ids: np.ndarray, weight: np.ndarray, p: np.ndarray, q: np.ndarray) -> Batches:
-        room = (1 - threshold) / (1 + threshold)
-        end = np.searchsorted(key, key, "right")  # key is sorted
-        at, step, found = np.arange(len(key)), 1, []
-        while len(at := at[at + step < end[at]]):
-            to = at + step
-            wa, wb = weight[at], weight[to]
-            differ = np.bitwise_count(p[at] ^ p[to]).astype(np.int64) + np.bitwise_count(q[at] ^ q[to])
-            good = (np.minimum(wa, wb) >= threshold * np.maximum(wa, wb) - 1e-9) & (differ <= (wa + wb) * room + 1e-9) & (ids[at] != ids[to])
+
+def near(one: tuple, two: tuple, threshold: float) -> np.ndarray:
+    """Which rows of two equally long sets of columns (class, weight, p, q) may be pairs: sizes and differing terms allow it."""
+    (ia, wa, pa_, qa), (ib, wb, pb, qb) = one, two
+    differ = np.bitwise_count(pa_ ^ pb).astype(np.int64) + np.bitwise_count(qa ^ qb)
+    close = np.minimum(wa, wb) >= threshold * np.maximum(wa, wb) - 1e-9
+    return close & (differ <= (wa + wb) * ((1 - threshold) / (1 + threshold)) + 1e-9) & (ia != ib)
+
+
+def _columns(batch: pa.RecordBatch, names: tuple[str, ...]) -> tuple[np.ndarray, ...]:
+    """Columns as arrays; the bits of parity words are counted unsigned."""
+    return tuple(batch.column(c).to_numpy().view(U if c in "pq" else np.int64) for c in names)
+
+
+def _batch(found: list[tuple[np.ndarray, np.ndarray]], names: list[str]) -> pa.RecordBatch:
+    a, b = (np.concatenate(x) for x in zip(*found))
+    x = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    none = [pa.nulls(x.shape[1], pa.int64()) for _ in names[2:]]
+    return pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1]), *none], names=names)
+
+
+def candidates(banded: DataFrame, threshold: float, hot: int = HOT) -> DataFrame:
+    """(a, b), a < b: pairs of classes of a bucket that the bounds let reach the threshold, each once.
+
+    Buckets are streamed in the order of key and weight. Those of at most ``hot`` rows are compared at once; the rows of
+    larger ones are passed on by blocks, and pairs of blocks whose weights come near enough are compared in tasks of their own.
+    """
+    row, names = ("class", "weight", "p", "q"), ["a", "b", "key", "block", "class", "weight", "p", "q"]
+    schema = ", ".join(f"{c} long" for c in names)
+
+    def small(key: np.ndarray, cols: tuple) -> Batches:
+        found, at, step = [], np.arange(len(key)), 1
+        while len(at := at[(at < len(key) - step)]):
+            at = at[(key[np.minimum(at + step, len(key) - 1)] == key[at])]
+            at = at[cols[1][at] >= threshold * cols[1][at + step] - 1e-9]  # weights ascend
+            good = near(tuple(c[at] for c in cols), tuple(c[at + step] for c in cols), threshold)
             if good.any():
-                found.append(np.stack([ids[at[good]], ids[to[good]]]))
+                found.append((cols[0][at[good]], cols[0][at[good] + step]))
             step += 1
-            if sum(x.shape[1] for x in found) > 100_000:
-                yield batch_of(found)
-                found = []
         if found:
-            yield batch_of(found)
+            yield _batch(found, names)
 
-    def batch_of(found: list[np.ndarray]) -> pa.RecordBatch:
-        x = np.concatenate(found, axis=1)
-        x = np.unique(np.stack([x.min(axis=0), x.max(axis=0)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1])], names=["a", "b"])
+    def passed(key: int, block: np.ndarray, cols: tuple) -> pa.RecordBatch:
+        none = pa.nulls(len(block), pa.int64())
+        arrays = [none, none, pa.array(np.full(len(block), key)), pa.array(block), *(pa.array(c.view(np.int64)) for c in cols)]
+        return pa.RecordBatch.from_arrays(arrays, names=names)
 
-    def within(batches: Batches) -> Batches:
-        rest: list[np.ndarray] | None = None
+    def stream(batches: Batches) -> Batches:
+        rest, sent_key, sent = None, None, 0  # rows of the last key; a hot key of which rows were passed on
         for batch in batches:
-            now = [batch.column(k).to_numpy().view(U if k > 2 else np.int64) for k in range(5)]  # bits of parity words are counted unsigned
+            now = _columns(batch, ("key", *row))
             if rest is not None:
-                now = [np.concatenate(x) for x in zip(rest, now)]
-            whole = int(np.searchsorted(now[0], now[0][-1], "left")) if len(now[0]) else 0
-            if whole:
-                yield from pairs_of(*(x[:whole] for x in now))
-            rest = [x[whole:] for x in now]
-        if rest is not None:
-            yield from pairs_of(*rest)
-
-    return banded.repartition("key").sortWithinPartitions("key").mapInArrow(within, "a long, b long").distinct()
+                now = tuple(np.concatenate(x) for x in zip(rest, now))
+            key = now[0]
+            if not len(key):
+                continue
+            heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            sizes = np.diff(np.r_[heads, len(key)])
+            large = (sizes > hot) | (key[heads] == sent_key)
+            for k in np.flatnonzero(large).tolist():
+                before = sent if key[heads[k]] == sent_key else 0
+                part = slice(heads[k], heads[k] + sizes[k])
+                yield passed(int(key[heads[k]]), (before + np.arange(sizes[k])) // hot, tuple(c[part] for c in now[1:]))
+                sent_key, sent = int(key[heads[k]]), before + int(sizes[k])
+            compare = np.repeat(~large & (np.arange(len(heads)) < len(heads) - 1), sizes)  # the last key may go on
+            if compare.any():
+                yield from small(key[compare], tuple(c[compare] for c in now[1:]))
+            last = slice(heads[-1], None) if not large[-1] else slice(len(key), None)
+            rest = tuple(c[last] for c in now)
+        if rest is not None and len(rest[0]):
+            yield from small(rest[0], rest[1:])
+
+    def blocks(batches: Batches) -> Batches:
+        rest = None
+        for batch in batches:
+            now = _columns(batch, ("key", "i", "j", "side", *row))
+            if rest is not None:
+                now = tuple(np.concatenate(x) for x in zip(rest, now))
+            if len(now[0]):
+                key, i, j = now[:3]
+                heads = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+                for low, high in zip(heads[:-1], heads[1:]):
+                    yield from cell(tuple(c[low:high] for c in now))
+                now = tuple(c[heads[-1] :] for c in now)
+            rest = now
+        if rest is not None and len(rest[0]):
+            yield from cell(rest)
+
+    def cell(cols: tuple) -> Batches:
+        side, found = cols[3], []
+        if cols[1][0] == cols[2][0]:
+            for pairs in small(np.zeros(len(side), np.int64), cols[4:]):
+                yield pairs.select(["a", "b"])
+            return
+        one, two = (tuple(c[side == k] for c in cols[4:]) for k in (0, 1))
+        for k in range(len(two[0])):
+            good = near(tuple(c[k : k + 1] for c in two), one, threshold)
+            if good.any():
+                found.append((np.full(int(good.sum()), two[0][k]), one[0][good]))
+        if found:
+            yield _batch(found, ["a", "b"])
+
+    out = cut(banded.repartition("key").sortWithinPartitions("key", "weight").mapInArrow(stream, schema))
+    pairs = out.where("a IS NOT NULL").select("a", "b")
+    large = out.where("a IS NULL").drop("a", "b")
+    if not large.isEmpty():
+        span = large.groupBy("key", "block").agg(F.min("weight").alias("low"), F.max("weight").alias("high"))
+        left, right = (span.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("block", "low", "high")]) for s in "ij")
+        meet = (F.col("block_i") <= F.col("block_j")) & (F.col("high_i") >= threshold * F.col("low_j") - 1e-9)
+        jobs = left.join(right, "key").where(meet).select("key", F.col("block_i").alias("i"), F.col("block_j").alias("j"))
+        sides = [(0, jobs.withColumn("block", F.col("i"))), (1, jobs.where("i < j").withColumn("block", F.col("j")))]
+        one, two = (large.join(j, ["key", "block"]).select("key", "i", "j", F.lit(k).cast("long").alias("side"), *row) for k, j in sides)
+        placed = one.union(two).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "weight")
+        pairs = pairs.union(placed.mapInArrow(blocks, "a long, b long"))
+    return pairs.distinct()
 
 
 def near_duplicates(records: DataFrame, threshold: float = 0.8, bands: int = 15, rows: int = 3) -> tuple[DataFrame, DataFrame]:
