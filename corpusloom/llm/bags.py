@@ -14,14 +14,14 @@ terms; such a record is in no class and no pair. Deliveries of one record fall i
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from math import ceil, sqrt
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusloom.functions.terms import term
+from corpusloom.plans.partial import Batches, summed
 from corpusloom.plans.session import cut
 
 #: The JVM's xxhash64 (seed 42) of the empty string, and odd multipliers for mixing (splitmix64).
@@ -35,7 +35,6 @@ MARKS = 1 << 23
 REMEMBERED = 1 << 19
 
 U = np.uint64
-Batches = Iterator[pa.RecordBatch]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -113,28 +112,6 @@ class Unseen:
         return first
 
 
-def total_of(df: DataFrame, partial: Callable[[Batches], np.ndarray], width: int) -> np.ndarray:
-    """The sum over all partitions of an int64 vector of ``width`` that ``partial`` makes of each. Partial sums are added
-    in two steps on the executors; the driver receives one vector."""
-
-    def first(batches: Batches) -> Batches:
-        yield pa.RecordBatch.from_arrays([pa.array([partial(batches).astype(np.int64).tobytes()])], names=["v"])
-
-    def add(batches: Batches) -> Batches:
-        out = np.zeros(width, np.int64)
-        for batch in batches:
-            for v in batch.column(0):
-                out += np.frombuffer(v.as_buffer(), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()])], names=["v"])
-
-    parts = df.mapInArrow(first, "v binary")
-    many = df.rdd.getNumPartitions()
-    if many > 8:
-        parts = parts.repartition(ceil(sqrt(many))).mapInArrow(add, "v binary")
-    row = parts.coalesce(1).mapInArrow(add, "v binary").first()
-    return np.frombuffer(row["v"], np.int64)
-
-
 def term_counts(bags: DataFrame) -> tuple[np.ndarray, int]:
     """(record counts by hashed bucket, records with terms) over all rows of ``hashed(...)``; deliveries count as rows."""
 
@@ -146,7 +123,7 @@ def term_counts(bags: DataFrame) -> tuple[np.ndarray, int]:
             out[BUCKETS] += len(rows)
         return out
 
-    both = total_of(bags, partial, BUCKETS + 1)
+    both = summed(bags, partial, BUCKETS + 1, np.int64)
     return both[:BUCKETS], int(both[BUCKETS])
 
 

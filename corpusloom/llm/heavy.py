@@ -20,7 +20,8 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.functions.terms import term
-from corpusloom.llm.bags import BLANK, STEP, Batches, U, mix, total_of
+from corpusloom.llm.bags import BLANK, STEP, Batches, U, mix
+from corpusloom.plans.partial import summed
 
 #: Lengths of the prefixes in bits; the first is counted exactly.
 LEVELS = (16, 28, 40, 52, 64)
@@ -101,7 +102,7 @@ def heavy_hitters(values: DataFrame, column: str, share: float, depth: int = 5,
         return sketch.cells
 
     sketch = Sketch(depth, width)
-    sketch = Sketch(depth, width, total_of(hashed, partial, sketch.size))
+    sketch = Sketch(depth, width, summed(hashed, partial, sketch.size, np.int64))
     total = int(sketch.cells[0])
     found = sketch.heavy(share * total, slack)
     if not found:

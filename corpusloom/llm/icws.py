@@ -227,7 +227,7 @@ def candidates(banded: DataFrame, threshold: float, hot: int = HOT) -> DataFrame
     return pairs.distinct()
 
 
-def near_duplicates(records: DataFrame, threshold: float = 0.8, bands: int = 15, rows: int = 3) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(records: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 3) -> tuple[DataFrame, DataFrame]:
     """(members, links) of records (review_id, split, domain, features): every record with terms once, with the class of
     its bag, and the links between classes (a, b, sim) with a weighted Jaccard similarity of at least the threshold.
 

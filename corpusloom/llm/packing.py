@@ -21,7 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corpusloom.llm.bags import BUCKETS, STEP, Batches, U, mix, total_of
+from corpusloom.llm.bags import BUCKETS, STEP, Batches, U, mix
+from corpusloom.plans.partial import summed
 from corpusloom.llm.tokens import RANKS, tokenizer
 from corpusloom.llm.winnow import Words, pieces
 from corpusloom.plans.session import cut
@@ -118,7 +119,7 @@ def pack(docs: DataFrame, capacity: int = 4096, shard_items: int = 4096, tokens:
             out[BUCKETS + 1] += int(batch.column(3).flatten().to_numpy().sum())
         return out
 
-    stats = total_of(items, count, BUCKETS + 2)
+    stats = summed(items, count, BUCKETS + 2, np.int64)
     n, mean = int(stats[BUCKETS]), float(stats[BUCKETS + 1]) / max(int(stats[BUCKETS]), 1)
     sent = docs.sparkSession.sparkContext.broadcast(stats[:BUCKETS].astype(np.int32))
 
