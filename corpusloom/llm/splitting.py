@@ -2,8 +2,8 @@
 
 Every boundary of a text is joined to its farthest legal successor, overlap included: a piece that follows a cut
 at token e begins at e - overlap (at the next whole character below) and may end at most ``limit`` tokens later. Of the boundaries in reach, those of
-the coarsest kind (file, hunk, paragraph, line, any token) found in the farther half win, and of these the farthest. The
-successor table is then squared: after k rounds it leads over 2^k cuts, and the cuts known so far lead to as many
+the coarsest kind (file, hunk, paragraph, line) found in the farther half win, and of these the farthest; without any
+there, the farthest of the nearer half; only without any at all, a cut between two tokens. The successor table is then squared: after k rounds it leads over 2^k cuts, and the cuts known so far lead to as many
 new ones. So all greedy cuts of all texts of a batch come out in log2(pieces) vector steps instead of one after another.
 
 Sizes are tokens of the whole text. Windows leave ``reserve`` tokens free, as a piece that is tokenized by itself may
@@ -70,9 +70,9 @@ def successors(kinds: np.ndarray, first: np.ndarray, last: np.ndarray, limit: in
     reach = np.minimum(start + limit, last)
     half = np.maximum(position, (position + reach) // 2)
     out = np.where(reach == last, last, 0)
-    for kind in range(5):
-        farthest = np.maximum.accumulate(np.where(kinds == kind, position, -1))[reach]
-        floor = half if kind < 4 else position
+    choices = [(kinds == k, half) for k in range(4)] + [(kinds < 4, position), (kinds == 4, position)]
+    for there, floor in choices:
+        farthest = np.maximum.accumulate(np.where(there, position, -1))[reach]
         out = np.where((out == 0) & (farthest > floor), farthest, out)
     return start, np.where(out > position, out, last)  # a window without any whole character ends the text
 
