@@ -291,6 +291,13 @@ SQL = {name: weight_sql(code) for code, name in enumerate(TW_NAMES)} | {
 WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}_]+')) AS token FROM documents),
 c AS (SELECT token, count(*) AS tf, count(DISTINCT doc_id) AS df FROM t WHERE length(token) >= 2 GROUP BY token)
 SELECT token, tf, row_number() OVER (ORDER BY tf DESC, token) - 1 AS wid FROM c WHERE df >= 3 AND token NOT IN ({_STOP}) ORDER BY tf DESC, token LIMIT 10000""",
+    "news_clean": r"""
+WITH a AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+b AS (SELECT doc_id, string_split(CASE WHEN contains(t, chr(10) || chr(10)) THEN substr(t, strpos(t, chr(10) || chr(10)) + 2) ELSE t END, chr(10)) AS l FROM a),
+c AS (SELECT doc_id, string_split(trim(array_to_string(list_filter(l, lambda x: NOT regexp_matches(x, 'writes in|writes:|wrote:|says:|said:|^(In article|Quoted from|\||>)')), chr(10)),
+    chr(32) || chr(9) || chr(13) || chr(10)), chr(10)) AS l FROM b),
+d AS (SELECT doc_id, l, coalesce(list_position(list_reverse(list_transform(l, lambda x: regexp_full_match(x, '[ \t\r-]*'))), true), 0) AS k FROM c)
+SELECT doc_id, length(array_to_string(CASE WHEN k > 0 AND len(l) > k THEN l[1:len(l) - k] ELSE l END, chr(10))) AS n_kept FROM d""",
     "oov_encode": BASE
     + """, v AS (SELECT token, row_number() OVER (ORDER BY df DESC, token) - 1 AS wid FROM (SELECT token, count(*) AS df FROM counts WHERE domain = 'books' GROUP BY token)
         WHERE df >= 2 AND df <= 0.5 * (SELECT count(*) FROM docs WHERE domain = 'books'))

@@ -66,12 +66,22 @@ def labelled_posts(posts: DataFrame, task_id: int) -> DataFrame:
     return posts.join(F.broadcast(named), "category").select("doc_id", "text", "category", "domain", "label")  # at most 10 rows
 
 
+#: Patterns of quoted lines and of lines that part a footer from the text; each looks at one line.
+QUOTED = r"writes in|writes:|wrote:|says:|said:|^(In article|Quoted from|\||>)"
+PARTING = r"\A[ \t\r-]*\z"
+
+
 def clean(text: Column) -> Column:
-    """A post without its header (up to the first empty line), quoted lines and footer (a last block after an empty or dashed line)."""
-    body = F.when(text.contains("\n\n"), F.regexp_replace(text, r"\A(?s:.*?)\n\n", "")).otherwise(text)
-    quoted = r"(?:writes in|writes:|wrote:|says:|said:)|^(?:In article|Quoted from|\||>)"
-    lines = F.filter(F.split(body, "\n"), lambda x: ~x.rlike(quoted))
-    return F.regexp_replace(F.trim(F.array_join(lines, "\n")), r"\n[ \t]*-*[ \t]*\n(?:[^\n]*[^\n \t-][^\n]*(?:\n|\z))+\z", "")
+    """A post without its header (up to the first empty line), quoted lines and footer (what follows the last empty or dashed
+    line, unless that is the first). Works line by line, so long texts are no problem for the patterns."""
+    body = F.when(text.contains("\n\n"), F.substring_index(text, "\n\n", 1)).otherwise(F.lit(""))
+    rest = F.when(text.contains("\n\n"), F.right(text, F.length(text) - F.length(body) - 2)).otherwise(text)
+    kept = F.filter(F.split(rest, "\n", -1), lambda x: ~x.rlike(QUOTED))
+    lines = F.split(F.btrim(F.array_join(kept, "\n"), F.lit(" \t\r\n")), "\n", -1)
+    back = F.array_position(F.reverse(F.transform(lines, lambda x: x.rlike(PARTING))), True)
+    size = F.size(lines)
+    footed = (back > 0) & (size - back > 0)
+    return F.array_join(F.when(footed, F.slice(lines, F.lit(1), F.greatest(size - back, F.lit(0)).cast("int"))).otherwise(lines), "\n")
 
 
 def tokens(docs: DataFrame) -> DataFrame:

@@ -1 +1 @@
-
+"""Statistics kept up to date over streams."""
