@@ -10,6 +10,7 @@ from corpusloom.functions import metrics
 from corpusloom.functions.activations import activation
 from corpusloom.operators import features, vocabulary, weighting
 from corpusloom.plans import tasks
+from corpusloom.plans.session import cut
 from corpusloom.sources import newsgroups, reviews
 from corpusloom.sources.tables import table
 
@@ -26,17 +27,23 @@ class Corpus:
         self.records = reviews.records(table(spark, folder, "reviews"))
         self.docs = reviews.spine(self.records)
         self.counts = reviews.term_counts(self.records)
-        self.words = words
+        self.words, self.kept = words, None
+
+    def once(self) -> DataFrame:
+        """The counts, written once for the scans that vocabulary, lengths and weights need."""
+        if self.kept is None:
+            self.kept = cut(self.counts)
+        return self.kept
 
     def n(self) -> int:
         return self.docs.select("doc_id").count()
 
     def vocabulary(self) -> DataFrame:
-        return vocabulary.by_frequency(self.counts, self.n(), self.words)
+        return cut(vocabulary.by_frequency(self.once(), self.n(), self.words))  # of bounded size
 
     def coded(self, voc: DataFrame | None = None) -> DataFrame:
         """(doc_id, domain, split, j, tf)"""
-        return vocabulary.encode(self.counts, self.vocabulary() if voc is None else voc).withColumnRenamed("wid", "j")
+        return vocabulary.encode(self.once(), self.vocabulary() if voc is None else voc).withColumnRenamed("wid", "j")
 
     def weighted(self, code: int) -> DataFrame:
         """(doc_id, j, w)"""
