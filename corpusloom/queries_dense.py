@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.operators import baselines, denoise, estimators, features, regularized
 from corpusloom.operators.moments import Moments, dense_rows, feature_rows, mean_gap, moments
+from corpusloom.plans import experiments
 from corpusloom.plans.partial import matrix_rows
 from corpusloom.queries_text import BASE, LENGTHS, SOURCE, TARGET, WORDS, Corpus
 from corpusloom.sources.tables import table
@@ -311,13 +312,29 @@ def ssl_transductive(spark: SparkSession, folder: str) -> DataFrame:
     return _scores(spark, estimators.semi_supervised(review_corpus(spark, folder).source, WORDS))
 
 
+def benchmark_task(spark: SparkSession, folder: str) -> DataFrame:
+    """Task 0 of the registry (books to dvd): held-out reviews carry no label, so the labelled target is scored."""
+    row = table(spark, folder, "tasks").orderBy("task_id").first()
+    task = experiments.review_task(table(spark, folder, "reviews"), row["source_domain"], row["target_domain"], "small", WORDS)
+    out = experiments.benchmark(experiments.Task(task.corpus), NOISE, (1.0,), (0.1, 1.0), **_few)
+    return spark.createDataFrame([(row["task_id"], out["acc_mda"], out["acc_domreg"], out["alpha"], out["eta"])], "task_id int, acc_mda double, acc_domreg double, alpha double, eta double")
+
+
+def transductive_job(spark: SparkSession, folder: str) -> DataFrame:
+    """The job 12:0.9:2 of the registry."""
+    out = experiments.transductive_job("12:0.9:2", table(spark, folder, "reviews"), table(spark, folder, "tasks"), WORDS, **_few)
+    names = ("task_id", "noise", "feat_type", "base_accuracy", "accuracy", "base_auc", "auc")
+    kinds = ("int", "double", "int", "double", "double", "double", "double")
+    return spark.createDataFrame([tuple(out[n] for n in names)], ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
+
+
 _few = {"cv": CV, "strengths": STRENGTHS}
 QUERIES = {
     f.__name__: f
     for f in (
         gram_text, gram_dense, xty, domain_cross_moments, mda_expectations, mmd_linear, mmd_multisource, mmd_class, domain_mi, sfa_cooccurrence, ridge_domain_clf, mda_solve, mda_nobias,
         mda_reduced_output, mda_domainreg, reg_td, mda_project, flagship, msda_stack, filter_w_project, lsi_features, sfa_features, estimator_lsi_mda, transductive_binary,
-        transductive_multiclass, transductive_testfeat, transductive_scores, ssl_transductive,
+        transductive_multiclass, transductive_testfeat, transductive_scores, ssl_transductive, benchmark_task, transductive_job,
     )
 } | {
     "filter_w_topk": partial(filter_w, "top"),

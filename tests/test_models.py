@@ -52,3 +52,22 @@ def test_auc_with_ties(spark):
     df = spark.createDataFrame([(1, 0.5), (0, 0.5), (1, 0.9), (0, 0.1)], "label int, score double")
     assert metrics.roc_auc(df).first()[0] == pytest.approx(0.875)
     assert metrics.roc_auc(df.where("label = 1")).first()[0] is None
+
+
+def test_news_task_and_job(spark):
+    from corpusloom.plans import experiments
+
+    words = {"comp.graphics": "pixel image render", "sci.crypt": "doctor patient dose", "comp.windows.x": "pixel window render", "sci.space": "orbit patient dose"}
+    posts = [(k, c, f"Subject: s\n\n{t} {'extra' if k % 2 else 'other'}") for k, (c, t) in enumerate(list(words.items()) * 6)]
+    task = experiments.news_task(spark.createDataFrame(posts, "doc_id long, category string, text string"), 0, words=20)
+    assert estimators.Adapter(task.corpus, 2, (1.0, 10.0)).fit().score(task.corpus.target) == 1.0
+    out = experiments.benchmark(task, 0.3, (1.0,), (0.01,), cv=2, strengths=(1.0, 10.0))
+    assert out["acc_mda"] > 0.9 and len(out["tried"]) == 1
+    rows = [(k, d, "labelled", k % 2, [("good" if k % 2 else "bad", 1), (f"{d}{k % 3}", 2)]) for d in ("a", "b") for k in range(100 * (d == "b"), 100 * (d == "b") + 40)]
+    table = spark.createDataFrame(rows, "review_id long, domain string, split string, label int, features array<struct<ts string, tfreq int>>")
+    jobs = spark.createDataFrame([(3, "a", "b", "small")], "task_id int, source_domain string, target_domain string, size string")
+    for own in (False, True):
+        out = experiments.transductive_job("3:0.3:2", table, jobs, 10, own, cv=2, strengths=(1.0,))
+        assert out["base_accuracy"] == 1.0 and out["accuracy"] > 0.9
+    with pytest.raises(ValueError):
+        experiments.transductive_job("4:0.3:2", table, jobs)
