@@ -121,13 +121,13 @@ def _prints(df: DataFrame, key: str, text: str, k: int, span: int, outside: int)
 
     def emit(batches: Batches) -> Batches:
         split = Words()
-        for batch in batches:
-            rows, words = split(batch.column(1))
+        for batch, some in ((b, s) for b in batches for s in pieces(b.column(1))):
+            rows, words = split(batch.column(1)[some])
             at, fp = fingerprints(rows, words, k, span)
             near = contexts(rows, words, at, k, span, outside)
             width = near.shape[1]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * width), pa.array(near.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), batch.column(0).take(pa.array(rows[at])), lists], names=["fp", key, "context"])
+            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), batch.column(0)[some].take(pa.array(rows[at])), lists], names=["fp", key, "context"])
 
     return df.select(key, F.lower(text).alias("text")).mapInArrow(emit, f"fp long, {key} long, context array<long>").select("fp", key, "context")
 
