@@ -44,6 +44,9 @@ class Parts:
     Pd: np.ndarray
     per_source: list[tuple[np.ndarray, np.ndarray]]
     losses: list[float] = field(default_factory=list)
+    gap: np.ndarray | None = None
+    #: The class classifier for which the last W was solved, and the class moments beside it.
+    used: tuple[np.ndarray, np.ndarray] | None = None
 
 
 def classes(m: Moments) -> list:
@@ -127,7 +130,7 @@ def solve(method: str, m: Moments, p: Params = Params(), iterate: bool = False,
     pushed = p.td_eta * keep * x.Pd @ ZD.T
     Qm = np.zeros_like(one)
     if "M" in method and method != "MDA":
-        Qm = marginal(class_discrepancy(m) if "CM" in method else discrepancy(m), q) + TINY * one
+        Qm = x.gap = marginal(class_discrepancy(m) if "CM" in method else discrepancy(m), q) + TINY * one
     reg = x.Qa + p.mda_reg * one
     if method == "MDA":
         return np.linalg.solve(reg, x.Pa), None, x
@@ -145,6 +148,7 @@ def solve(method: str, m: Moments, p: Params = Params(), iterate: bool = False,
     base = x.Pa + pushed if domain else x.Pa
 
     def step(ZC: np.ndarray, XY: np.ndarray) -> np.ndarray:
+        x.used = ZC, XY
         C = np.linalg.solve(x.Q, base + p.tc_gamma * keep * XY @ ZC.T)
         return sylvester(x.Q, M, p.tc_gamma * ZC @ ZC.T, right, np.linalg.solve(right, C.T).T)
 

@@ -181,14 +181,24 @@ def reg_domain_sylvester(method: str, spark: SparkSession, folder: str) -> DataF
     return matrix_rows(spark, ("i", "j"), lhs=rounded(left, 4))
 
 
-def reg_iterated(method: str, spark: SparkSession, folder: str) -> DataFrame:
-    """W of a method with a class classifier, alternating until the loss settles."""
-    return matrix_rows(spark, ("i", "j"), w=rounded(regularized.solve(method, vector_moments(spark, folder), PARAMS, iterate=True)[0]))
+def reg_class(method: str, iterate: bool, spark: SparkSession, folder: str) -> DataFrame:
+    """The equation of a method with class classifiers (one for each source, or alternating with W until the loss settles)
+    multiplied out, less the terms of the classifier and the push to the target: Pa of plain denoising."""
+    W, _, x = regularized.solve(method, vector_moments(spark, folder), PARAMS, iterate=iterate)
+    one, keep = np.eye(D), 1 - PARAMS.noise
+    ZC, XY = x.used
+    left = PARAMS.tc_gamma * (x.Q @ W @ ZC @ ZC.T - keep * XY @ ZC.T)
+    if method.startswith("TD"):
+        ZD = np.linalg.solve(x.Sa + PARAMS.td_reg * one, x.XYD)
+        left += x.Qa @ W @ (one + PARAMS.td_eta * ZD @ ZD.T) - PARAMS.td_eta * keep * x.Pd @ ZD.T
+    else:
+        left += (x.Qa + PARAMS.mda_reg * one + (0 if x.gap is None else PARAMS.tm_lambda * x.gap)) @ W
+    return matrix_rows(spark, ("i", "j"), lhs=rounded(left, 4))
 
 
-def reg_per_source(method: str, spark: SparkSession, folder: str) -> DataFrame:
-    """W of a method with a class classifier for each source."""
-    return matrix_rows(spark, ("i", "j"), w=rounded(regularized.solve(method, vector_moments(spark, folder), PARAMS)[0]))
+def reg_weights(method: str, spark: SparkSession, folder: str) -> DataFrame:
+    """W itself of a method with a class classifier, alternating until the loss settles."""
+    return matrix_rows(spark, ("i", "j"), w=rounded(regularized.solve(method, vector_moments(spark, folder), PARAMS, iterate=True)[0]))
 
 
 def mda_project(spark: SparkSession, folder: str) -> DataFrame:
@@ -348,8 +358,11 @@ QUERIES = {
 }
 QUERIES |= {f"reg_{m.lower()}": partial(reg_normal, m) for m in ("MDA", "TM", "TCM")}
 QUERIES |= {f"reg_{m.lower()}": partial(reg_domain_sylvester, m) for m in ("TDr", "TDM", "TDCM")}
-QUERIES |= {f"reg_{m.lower()}": partial(reg_iterated, m) for m in ("TCW", "TFW", "TDCW", "TDFW", "TMCW", "TMFW", "TCMCW", "TCMFW", "TWC", "TDWC", "TMWC", "TCMWC")}
-QUERIES |= {f"reg_{m.lower()}_per_source": partial(reg_per_source, m) for m in ("TCW", "TFW", "TDCW", "TMCW", "TCMFW")}
+CLASS_METHODS = ("TCW", "TFW", "TDCW", "TDFW", "TMCW", "TMFW", "TCMCW", "TCMFW")
+FROM_MAP = ("TWC", "TDWC", "TMWC", "TCMWC")
+QUERIES |= {f"reg_{m.lower()}": partial(reg_class, m, True) for m in (*CLASS_METHODS, *FROM_MAP)}
+QUERIES |= {f"reg_{m.lower()}_per_source": partial(reg_class, m, False) for m in CLASS_METHODS}
+QUERIES |= {"reg_tdcw_weights": partial(reg_weights, "TDCW")}
 
 VEC = """
 WITH e AS (SELECT vec_id, vec_id % 3 AS dom, vec_id % 3 < 2 AS src, vec_id % 3 < 2 OR vec_id % 10 = 0 AS known, label,
@@ -405,3 +418,4 @@ SQL = {
     SELECT vec_id AS doc_id, i, round(tanh(sum(x * p)), 6) + 0.0 AS h FROM e JOIN p USING (j) GROUP BY ALL""",
 }
 SQL |= {k: _P for k in ("mda_nobias", "mda_domainreg")} | {k: _PA for k in ("reg_mda", "reg_tm", "reg_tcm", "reg_td", "reg_tdr", "reg_tdm", "reg_tdcm")}
+SQL |= {k: _PA for k in QUERIES if k.startswith("reg_") and k not in SQL and not k.endswith("_weights")}
