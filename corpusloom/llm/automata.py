@@ -6,7 +6,7 @@ so among its first d + 2 common terms two neighbours have nothing between them i
 adjacent terms that begins within the first 2 d + 1 terms stands in both. Those passages of the evaluation records
 are the patterns; for records of one term it is that term with an end mark. Nothing is lost by this, for any t > 2/3.
 
-Shards. A passage belongs to the shard of its first term's character. Per shard, an automaton holds the evaluation passages, and every training
+Shards. A passage belongs to the shard of its two characters, so a term that many records hold is spread. Per shard, an automaton holds the evaluation passages, and every training
 text is scanned by the automaton of each shard in which it has a passage; it travels there once, as the fragment of
 its text that holds those passages, overlapping passages merged. Shards are as many as the shuffle has tasks, more
 where the passages exceed ``passages_per_shard`` on average, which bounds what a task holds.
@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corpusloom.llm.bags import BUCKETS, MIX_A, Batches, U, Unseen, class_ids, hashed, merged, mix, parity, spans, term_counts, verified
+from corpusloom.llm.bags import BUCKETS, Batches, U, Unseen, class_ids, hashed, merged, mix, parity, spans, term_counts, verified
 from corpusloom.plans.session import shuffle_width
 
 #: Characters of terms: the code points above the surrogates; GAP and END are below.
@@ -60,9 +60,11 @@ def fragments(records: DataFrame, evaluation: str, threshold: float, passages_pe
             owner = np.repeat(np.arange(len(new)), reach)
             i = np.arange(len(owner)) - np.repeat(np.cumsum(reach) - reach, reach)
             at = starts[new][owner] + i
-            shard = (mix(code[at].astype(U) * U(MIX_A)) % U(shards)).astype(np.int64)
+            alone = size[new][owner] == 1
+            after = np.where(alone, END, code[np.minimum(at + 1, len(code) - 1)]).astype(U)
+            shard = (mix(code[at].astype(U) << U(32) | after) % U(shards)).astype(np.int64)
             order = np.lexsort((i, shard, owner))
-            owner, i, at, shard = owner[order], i[order], at[order], shard[order]
+            owner, i, at, shard, after = (x[order] for x in (owner, i, at, shard, after))
             begin = np.r_[True, (owner[1:] != owner[:-1]) | (shard[1:] != shard[:-1])]
             joined = ~begin & np.r_[False, i[1:] == i[:-1] + 1]
             # characters of each passage: the second, before it the first unless merged, after it a gap unless the next is merged
@@ -70,9 +72,8 @@ def fragments(records: DataFrame, evaluation: str, threshold: float, passages_pe
             length = 1 + ~joined + gap
             ends = np.cumsum(length)
             text = np.full(ends[-1], GAP, np.uint32)
-            alone = size[new][owner] == 1
             second = ends - 1 - gap
-            text[second] = np.where(alone, END, code[np.minimum(at + 1, len(code) - 1)])
+            text[second] = after
             text[(second - 1)[~joined]] = code[at[~joined]]
             heads = np.flatnonzero(begin)
             offsets = np.r_[(ends - length)[heads], ends[-1]] * 4
