@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.plans.session import shuffle_width
+
 Batches = Iterator[pa.RecordBatch]
 #: The widest vector, in numbers, that tasks may send to the driver (1.6 GB of doubles).
 WIDEST = 200_000_000
+#: Tasks of the first step of adding.
+STEP = 64
 
 
 def summed(df: DataFrame, partial: Callable[[Batches], np.ndarray], width: int, kind: type = np.float64) -> np.ndarray:
     """The sum of the vectors of ``width`` numbers that ``partial`` makes of each partition. Partial sums are added in two
-    steps on the executors; the driver receives one vector, whatever the number of rows or partitions."""
+    steps on the executors, behind a shuffle so that the scan keeps all its tasks; the driver receives one vector, whatever the
+    number of rows or partitions."""
     if width > WIDEST:
         raise ValueError(f"statistics of {width} numbers are too large for the driver; use fewer features or groups")
 
@@ -24,17 +28,17 @@ def summed(df: DataFrame, partial: Callable[[Batches], np.ndarray], width: int,
         yield pa.RecordBatch.from_arrays([pa.array([partial(batches).astype(kind).tobytes()])], names=["v"])
 
     def add(batches: Batches) -> Batches:
-        out = np.zeros(width, kind)
+        out = None
         for batch in batches:
             for v in batch.column(0):
-                out += np.frombuffer(v.as_buffer(), kind)
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()])], names=["v"])
-
-    parts = df.mapInArrow(first, "v binary")
-    many = df.rdd.getNumPartitions()
-    if many > 8:
-        parts = parts.repartition(ceil(sqrt(many))).mapInArrow(add, "v binary")
-    return np.frombuffer(parts.coalesce(1).mapInArrow(add, "v binary").collect()[0]["v"], kind)
+                part = np.frombuffer(v.as_buffer(), kind)
+                out = part.copy() if out is None else np.add(out, part, out=out)
+        if out is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()])], names=["v"])
+
+    some = df.mapInArrow(first, "v binary").repartition(min(shuffle_width(df.sparkSession), STEP)).mapInArrow(add, "v binary")
+    rows = some.repartition(1).mapInArrow(add, "v binary").collect()
+    return np.frombuffer(rows[0]["v"], kind) if rows else np.zeros(width, kind)
 
 
 def matrix_rows(spark: SparkSession, names: tuple[str, str], **values: np.ndarray) -> DataFrame:
