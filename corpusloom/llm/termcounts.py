@@ -8,7 +8,8 @@ Counters of a task are flushed between two records once there are ``most_terms``
 as they only add up, the result stays exact.
 
 Defined results: tokens with a null or blank term, a null frequency or one below 1, or no record id do not count;
-deliveries of one token (same record and place, null being a place) count once; an empty table gives no rows.
+deliveries of one token (same record, place and term, null being a place) count once, of different frequencies the lowest;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -59,10 +60,10 @@ class Counters:
 def term_frequencies(tokens: DataFrame, most_terms: int = 1_000_000) -> DataFrame:
     """(ts, n_total, n_records) of tokens (review_id, pos, ts, tfreq): total frequency and records of every term."""
     good = tokens.select("review_id", "pos", term(F.col("ts")).alias("t"), "tfreq").where("review_id IS NOT NULL AND t <> '' AND tfreq >= 1")
-    spread = good.repartition("review_id", "t").sortWithinPartitions("review_id", "pos")
+    spread = good.repartition("review_id", "t").sortWithinPartitions("review_id", "pos", "t", "tfreq")
 
     def count(batches: Batches) -> Batches:
-        counters, waiting, rows, last = Counters(), [], 0, (None, None)
+        counters, waiting, rows, last = Counters(), [], 0, (None, None, None)
 
         def take() -> tuple:
             nonlocal waiting, rows, last
@@ -70,10 +71,12 @@ def term_frequencies(tokens: DataFrame, most_terms: int = 1_000_000) -> DataFram
             waiting, rows = [], 0
             rec = table.column(0).to_numpy()
             pos = table.column(1).fill_null(-(1 << 40)).to_numpy()
-            new = np.r_[(rec[0], pos[0]) != last, (rec[1:] != rec[:-1]) | (pos[1:] != pos[:-1])]
+            terms = table.column(2).combine_chunks()
+            code = pc.dictionary_encode(terms).indices.to_numpy()
+            new = np.r_[(rec[0], pos[0], terms[0].as_py()) != last, (rec[1:] != rec[:-1]) | (pos[1:] != pos[:-1]) | (code[1:] != code[:-1])]
             apart = rec[0] != last[0]
-            last = (rec[-1], pos[-1])
-            return apart, pa.array(table.column(2).filter(pa.array(new)).combine_chunks()), rec[new], table.column(3).to_numpy()[new].astype(np.int64)
+            last = (rec[-1], pos[-1], terms[-1].as_py())
+            return apart, terms.filter(pa.array(new)), rec[new], table.column(3).to_numpy()[new].astype(np.int64)
 
         for batch in batches:
             if not batch.num_rows:

@@ -17,7 +17,7 @@ def tokens(seed, n=3000):
     for k in range(n):
         t = rng.choice(["the", "The ", "\tthe"]) if rng.random() < 0.34 else f"t{int(rng.paretovariate(0.6)) % 900}"
         rows.append((rng.choice([7, k // 20]), k, rng.choice([t, t, t, None, " "]), rng.choice([1, 1, 2, 0, None, -3]), "x", 1))
-    return rows + rows[:200] + [(None, 1, "a", 1, "x", 1), (5, None, "b", 2, "x", 1), (5, None, "b", 2, "x", 1), (6, 1, "w" * 300_000, 1, "x", 1)]
+    return rows + rows[:200] + [(None, 1, "a", 1, "x", 1), (5, None, "b", 2, "x", 1), (5, None, "b", 2, "x", 1), (5, None, "c", 1, "x", 1), (6, 1, "w" * 300_000, 1, "x", 1)]
 
 
 def test_counts_against_brute_force(spark):
