@@ -323,9 +323,9 @@ def ssl_transductive(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def benchmark_task(spark: SparkSession, folder: str) -> DataFrame:
-    """Task 0 of the registry (books to dvd): held-out reviews carry no label, so the labelled target is scored."""
+    """Task 0 of the registry (books to dvd) in its size: held-out reviews carry no label, so the labelled target is scored."""
     row = table(spark, folder, "tasks").orderBy("task_id").first()
-    task = experiments.review_task(table(spark, folder, "reviews"), row["source_domain"], row["target_domain"], "small", WORDS)
+    task = experiments.review_task(table(spark, folder, "reviews"), row["source_domain"], row["target_domain"], row["size"], WORDS)
     out = experiments.benchmark(experiments.Task(task.corpus), NOISE, (1.0,), (0.1, 1.0), **_few)
     return spark.createDataFrame([(row["task_id"], out["acc_mda"], out["acc_domreg"], out["alpha"], out["eta"])], "task_id int, acc_mda double, acc_domreg double, alpha double, eta double")
 
