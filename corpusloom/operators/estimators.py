@@ -44,7 +44,8 @@ class Adapter:
         return self.corpus.d
 
     def fit(self) -> Adapter:
-        self.classifier, self.strength, self.cv_score = cross_validated(self.transform(self.corpus.source), self.width(), self.cv, self.strengths)
+        labelled = self.corpus.source.where("label > -1")  # before they are transformed; cross-validation takes no others
+        self.classifier, self.strength, self.cv_score = cross_validated(self.transform(labelled), self.width(), self.cv, self.strengths)
         return self
 
     def predict(self, rows: DataFrame) -> DataFrame:

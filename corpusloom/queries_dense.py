@@ -242,9 +242,9 @@ def lsi_features(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def review_corpus(spark: SparkSession, folder: str) -> estimators.Corpus:
+    """All reviews of the two domains; only fits of classifiers and scores leave out those without a label."""
     rows = texts(spark, folder)
-    known = rows.where("label > -1")
-    return estimators.Corpus(known.where(F.col("domain") == SOURCE), known.where(F.col("domain") == TARGET), WORDS)
+    return estimators.Corpus(rows.where(F.col("domain") == SOURCE), rows.where(F.col("domain") == TARGET), WORDS)
 
 
 def sfa_features(spark: SparkSession, folder: str) -> DataFrame:
@@ -303,7 +303,7 @@ def transductive_testfeat(spark: SparkSession, folder: str) -> DataFrame:
     voc = vocabulary.by_frequency(counts, n, WORDS)
     coded = vocabulary.encode(counts, voc).select("doc_id", F.col("wid").alias("j"), "tf")
     w = weighting.weigh(coded, voc.select(F.col("wid").alias("j"), "df"), 2, n, 0.0)
-    own = feature_rows(docs.where("label > -1"), w.select("doc_id", "j", F.col("w").alias("x")))
+    own = feature_rows(docs, w.select("doc_id", "j", F.col("w").alias("x")))
     return _scores(spark, estimators.transductive(review_corpus(spark, folder), cv=CV, strengths=STRENGTHS, target_features=(own, WORDS)))
 
 

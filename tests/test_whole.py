@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 
 from corpusloom import queries_dense
+from corpusloom.operators import estimators
 from corpusloom.plans import experiments
 from corpusloom.sources import reviews
 from corpusloom.sources.tables import table
@@ -18,13 +19,13 @@ class Stopped(Exception):
     """Carries what a query passes on."""
 
 
-def passed(monkeypatch, name, query, spark, folder=FOLDER):
-    """Arguments with which ``query`` calls ``experiments.name``."""
+def passed(monkeypatch, module, name, query, spark, folder=FOLDER):
+    """Arguments with which ``query`` calls ``module.name``."""
 
     def stop(*args, **named):
         raise Stopped(args, named)
 
-    monkeypatch.setattr(experiments, name, stop)
+    monkeypatch.setattr(module, name, stop)
     with pytest.raises(Stopped) as e:
         query(spark, folder)
     return e.value.args
@@ -41,7 +42,20 @@ def ids(rows):
 
 def test_benchmark_task_takes_the_size_of_its_task(spark, monkeypatch):
     assert table(spark, FOLDER, "tasks").orderBy("task_id").first()["size"] == "all"
-    args, _ = passed(monkeypatch, "benchmark", queries_dense.benchmark_task, spark)
+    args, _ = passed(monkeypatch, experiments, "benchmark", queries_dense.benchmark_task, spark)
     corpus, whole = args[0].corpus, domain_docs(spark)
     assert ids(corpus.source) == whole["books"] and ids(corpus.target) == whole["dvd"]
     assert not corpus.source.where("split = 'unlabeled'").isEmpty()
+
+
+def test_adaptation_sees_reviews_without_a_label(spark, monkeypatch):
+    corpus, whole = queries_dense.review_corpus(spark, FOLDER), domain_docs(spark)
+    assert ids(corpus.source) == whole["books"] and ids(corpus.target) == whole["dvd"]
+    assert not corpus.target.where("label IS NULL").isEmpty() and not corpus.target.where("label = -1").isEmpty()
+    _, named = passed(monkeypatch, estimators, "transductive", queries_dense.transductive_testfeat, spark)
+    assert ids(named["target_features"][0]) == whole["dvd"]
+
+
+def test_sfa_features_shows_every_review(spark):
+    whole = domain_docs(spark)
+    assert ids(queries_dense.sfa_features(spark, FOLDER)) == whole["books"] | whole["dvd"]
