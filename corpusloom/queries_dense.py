@@ -15,7 +15,7 @@ from corpusloom.operators import baselines, denoise, estimators, features, regul
 from corpusloom.operators.moments import Moments, dense_rows, feature_rows, mean_gap, moments
 from corpusloom.plans import experiments
 from corpusloom.plans.partial import matrix_rows
-from corpusloom.queries_text import BASE, LENGTHS, SOURCE, TARGET, WORDS, Corpus
+from corpusloom.queries_text import BASE, LENGTHS, SOURCE, TARGET, WHOLE, WORDS, Corpus
 from corpusloom.sources.tables import table
 
 D = 64
@@ -87,14 +87,14 @@ def mmd_class(spark: SparkSession, folder: str) -> DataFrame:
     return _gap_rows(spark, regularized.class_discrepancy(vector_moments(spark, folder)))
 
 
-def domain_mi(spark: SparkSession, folder: str) -> DataFrame:
-    c = Corpus(spark, folder)
+def domain_mi(spark: SparkSession, folder: str, words: int = WORDS) -> DataFrame:
+    c = Corpus(spark, folder, words)
     voc = c.vocabulary()
     seen = [F.sum(F.when(F.col("domain") == d, 1).otherwise(0)).alias(k) for d, k in ((SOURCE, "df_s"), (TARGET, "df_t"))]
     df = voc.select(F.col("wid").alias("j")).join(c.coded(voc).groupBy("j").agg(*seen), "j", "left")
     ns, nt = (c.docs.where(F.col("domain") == d).count() for d in (SOURCE, TARGET))
     g = baselines.domain_information(df.fillna(0), ns, nt).select("j", (F.round("g", 9) + 0.0).alias("g"))
-    first = F.row_number().over(features.Window.orderBy("g", "j")) <= WORDS // 2  # over the words of a vocabulary
+    first = F.row_number().over(features.Window.orderBy("g", "j")) <= words // 2  # over the words of a vocabulary
     return g.select("j", "g", first.alias("is_domain_independent"))
 
 
@@ -350,6 +350,7 @@ QUERIES = {
     "filter_w_topk": partial(filter_w, "top"),
     "filter_w_pos": partial(filter_w, "positive"),
     "filter_w_neg": partial(filter_w, "negative"),
+    f"domain_mi_{WHOLE}": partial(domain_mi, words=WHOLE),
     "no_transfer": partial(estimator, "no_transfer", lambda c: estimators.Adapter(c, **_few)),
     "estimator_mda": partial(estimator, "mda", lambda c: estimators.MdaAdapter(c, **_few)),
     "estimator_domreg": partial(estimator, "domain_regularized", lambda c: estimators.DomainAdapter(c, alphas=(1.0, 100.0), etas=(0.1, 1.0), **_few)),

@@ -14,8 +14,8 @@ from corpusloom.plans.session import cut
 from corpusloom.sources import newsgroups, reviews
 from corpusloom.sources.tables import table
 
-#: Words of the vocabulary of these queries.
-WORDS = 200
+#: Words of the vocabulary of these queries, and of their whole runs: the default of tasks.
+WORDS, WHOLE = 200, 5000
 SOURCE, TARGET = "books", "dvd"
 
 
@@ -79,10 +79,10 @@ def news_clean(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", F.length(kept).cast("bigint").alias("n_kept"))
 
 
-def oov_encode(spark: SparkSession, folder: str) -> DataFrame:
+def oov_encode(spark: SparkSession, folder: str, words: int = WORDS) -> DataFrame:
     c = Corpus(spark, folder)
     source = c.counts.where(F.col("domain") == SOURCE)
-    voc = vocabulary.by_frequency(source, c.docs.where(F.col("domain") == SOURCE).count(), WORDS)
+    voc = vocabulary.by_frequency(source, c.docs.where(F.col("domain") == SOURCE).count(), words)
     return vocabulary.encode(c.counts.where(F.col("domain") == TARGET), voc).select("doc_id", "wid", "tf")
 
 
@@ -90,29 +90,29 @@ def df_filter_binary(spark: SparkSession, folder: str) -> DataFrame:
     return vocabulary.frequent_binary(Corpus(spark, folder).counts)
 
 
-def doc_length_stats(spark: SparkSession, folder: str) -> DataFrame:
-    c = Corpus(spark, folder)
+def doc_length_stats(spark: SparkSession, folder: str, words: int = WORDS) -> DataFrame:
+    c = Corpus(spark, folder, words)
     sums = c.coded().groupBy("doc_id").agg(F.sum("tf").alias("dl"))
     all_docs = c.docs.select("doc_id").join(sums, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).alias("dl"))
     avgdl = all_docs.agg(F.avg("dl")).first()[0]
     return all_docs.select("doc_id", "dl", (F.round(F.lit(avgdl), 6) + 0.0).alias("avgdl"))
 
 
-def col_sums(spark: SparkSession, folder: str) -> DataFrame:
-    return Corpus(spark, folder).coded().groupBy("j").agg(F.sum("tf").alias("s"), F.count("*").alias("df"))
+def col_sums(spark: SparkSession, folder: str, words: int = WORDS) -> DataFrame:
+    return Corpus(spark, folder, words).coded().groupBy("j").agg(F.sum("tf").alias("s"), F.count("*").alias("df"))
 
 
 def class_histogram(spark: SparkSession, folder: str) -> DataFrame:
     return Corpus(spark, folder).docs.groupBy("domain", "label").agg(F.count("*").alias("n"))
 
 
-def weights(code: int, spark: SparkSession, folder: str) -> DataFrame:
-    return Corpus(spark, folder).weighted(code).select("doc_id", "j", num("w").alias("w"))
+def weights(code: int, spark: SparkSession, folder: str, words: int = WORDS) -> DataFrame:
+    return Corpus(spark, folder, words).weighted(code).select("doc_id", "j", num("w").alias("w"))
 
 
-def tfidf_fit_apply(spark: SparkSession, folder: str) -> DataFrame:
+def tfidf_fit_apply(spark: SparkSession, folder: str, words: int = WORDS) -> DataFrame:
     """Frequencies of source and adaptation target (labelled split), applied to the held-out target."""
-    c = Corpus(spark, folder)
+    c = Corpus(spark, folder, words)
     voc = c.vocabulary()
     coded = c.coded(voc)
     fit = F.col("domain").isin(SOURCE, TARGET) & (F.col("split") == "labelled")
@@ -122,10 +122,10 @@ def tfidf_fit_apply(spark: SparkSession, folder: str) -> DataFrame:
     return weighting.weigh(held.select("doc_id", "j", "tf"), df, 2, c.docs.where(fit).count(), 0.0).select("doc_id", "j", num("w").alias("w"))
 
 
-def domain_union_bias(spark: SparkSession, folder: str) -> DataFrame:
-    c = Corpus(spark, folder)
+def domain_union_bias(spark: SparkSession, folder: str, words: int = WORDS) -> DataFrame:
+    c = Corpus(spark, folder, words)
     x = c.coded()
-    parts = [features.with_bias(x.where(F.col("domain") == d).withColumn("x", F.col("tf").cast("double")), c.docs.where(F.col("domain") == d), WORDS).withColumn("domain", F.lit(d)) for d in (SOURCE, TARGET)]
+    parts = [features.with_bias(x.where(F.col("domain") == d).withColumn("x", F.col("tf").cast("double")), c.docs.where(F.col("domain") == d), words).withColumn("domain", F.lit(d)) for d in (SOURCE, TARGET)]
     return features.stacked(*parts).select("domain", "doc_id", "j", "x")
 
 
@@ -144,13 +144,13 @@ def labelled_instances(spark: SparkSession, folder: str) -> DataFrame:
     return features.stacked(*parts).select("domain", "doc_id", "label")
 
 
-def append_features(spark: SparkSession, folder: str) -> DataFrame:
+def append_features(spark: SparkSession, folder: str, words: int = WORDS) -> DataFrame:
     """Weighted terms, and beside them at half weight the lengths of documents and their distinct terms."""
-    c = Corpus(spark, folder)
+    c = Corpus(spark, folder, words)
     x = c.weighted(2).select("doc_id", "j", F.col("w").alias("x"))
     g = c.coded().groupBy("doc_id").agg(F.sum("tf").alias("a"), F.count("*").alias("b"))
     more = g.select("doc_id", F.posexplode(F.array(F.col("a").cast("double"), F.col("b").cast("double"))).alias("j", "x")).withColumn("j", F.col("j").cast("bigint"))
-    return features.append(x, more, WORDS, 0.5).select("doc_id", "j", num("x").alias("x"))
+    return features.append(x, more, words, 0.5).select("doc_id", "j", num("x").alias("x"))
 
 
 def column_subset(spark: SparkSession, folder: str) -> DataFrame:
@@ -234,6 +234,9 @@ QUERIES = {
         news_categories, hyper_grid, best_param, grid_means, score_rows, activations, argmax_class, accuracy, class_report, roc_auc,
     )
 } | {name: partial(weights, code) for code, name in enumerate(TW_NAMES)}
+#: The same over the whole vocabulary; the SQL is of the 200 words.
+LONG = ("oov_encode", "doc_length_stats", "col_sums", "tfidf_fit_apply", "domain_union_bias", "append_features", *TW_NAMES)
+QUERIES |= {f"{name}_{WHOLE}": partial(QUERIES[name], words=WHOLE) for name in LONG}
 
 BASE = """
 WITH rec AS (SELECT review_id AS doc_id, domain, split, label, features FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY loaded_at) AS k FROM reviews) WHERE k = 1),

@@ -1,14 +1,16 @@
 """Queries do the whole job: all rows, words and settings that they name."""
 
+import re
 from pathlib import Path
 
 import pytest
 
-from corpusloom import queries_dense
+from corpusloom import queries_dense, queries_text
 from corpusloom.operators import estimators
 from corpusloom.plans import experiments
 from corpusloom.sources import reviews
 from corpusloom.sources.tables import table
+from tests.test_queries import QUERIES, SQL, database, rows
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -59,3 +61,16 @@ def test_adaptation_sees_reviews_without_a_label(spark, monkeypatch):
 def test_sfa_features_shows_every_review(spark):
     whole = domain_docs(spark)
     assert ids(queries_dense.sfa_features(spark, FOLDER)) == whole["books"] | whole["dvd"]
+
+
+@pytest.mark.parametrize("name", [*queries_text.LONG, "domain_mi"])
+def test_whole_vocabulary(spark, name):
+    """The same as the SQL with every number that stands for 200 words raised to 5,000; more than 200 of them occur."""
+    sql = re.sub(r"\b20([01])\b", r"500\1", SQL[name]).replace("<= 100 ", "<= 2500 ")
+    assert sql != SQL[name]
+    df = QUERIES[f"{name}_5000"](spark, FOLDER)
+    result = database().execute(sql)
+    names, got = [d[0] for d in result.description], df.collect()
+    assert rows(df.columns, got) == rows(names, result.fetchall())
+    few = QUERIES[name](spark, FOLDER)
+    assert rows(few.columns, few.collect()) != rows(df.columns, got)
