@@ -22,7 +22,7 @@ D = 64
 #: Settings of the queries.
 NOISE, REG, ALPHA, ETA = 0.9, 1e-2, 1.0, 0.1
 PARAMS = regularized.Params()
-STRENGTHS, CV = (0.1, 1.0, 10.0), 3
+CV = 3
 
 
 def rounded(x: np.ndarray, places: int = 6) -> np.ndarray:
@@ -271,7 +271,7 @@ def estimator_lsi_mda(spark: SparkSession, folder: str) -> DataFrame:
     c = review_corpus(spark, folder)
     W = denoise.mapping(moments(c.all(), c.d, [], bias=True).total()[2], NOISE, REG)
     hidden = [denoise.project(rows, W, c.d, bias=True) for rows in (c.source, c.target)]
-    return _accuracy(spark, "lsi_mda", estimators.LatentAdapter(estimators.Corpus(*hidden, c.d), 50, cv=CV, strengths=STRENGTHS).fit())
+    return _accuracy(spark, "lsi_mda", estimators.LatentAdapter(estimators.Corpus(*hidden, c.d), 50, cv=CV).fit())
 
 
 def _scores(spark: SparkSession, t: estimators.Transduction) -> DataFrame:
@@ -280,7 +280,7 @@ def _scores(spark: SparkSession, t: estimators.Transduction) -> DataFrame:
 
 
 def transductive_binary(spark: SparkSession, folder: str) -> DataFrame:
-    return _scores(spark, estimators.transductive(review_corpus(spark, folder), cv=CV, strengths=STRENGTHS, self_learning=True))
+    return _scores(spark, estimators.transductive(review_corpus(spark, folder), cv=CV, self_learning=True))
 
 
 def _vector_corpus(spark: SparkSession, folder: str) -> estimators.Corpus:
@@ -289,7 +289,7 @@ def _vector_corpus(spark: SparkSession, folder: str) -> estimators.Corpus:
 
 
 def transductive_multiclass(spark: SparkSession, folder: str) -> DataFrame:
-    return _scores(spark, estimators.transductive(_vector_corpus(spark, folder), cv=CV, strengths=(1.0,)))
+    return _scores(spark, estimators.transductive(_vector_corpus(spark, folder), cv=CV))
 
 
 def transductive_testfeat(spark: SparkSession, folder: str) -> DataFrame:
@@ -304,7 +304,7 @@ def transductive_testfeat(spark: SparkSession, folder: str) -> DataFrame:
     coded = vocabulary.encode(counts, voc).select("doc_id", F.col("wid").alias("j"), "tf")
     w = weighting.weigh(coded, voc.select(F.col("wid").alias("j"), "df"), 2, n, 0.0)
     own = feature_rows(docs, w.select("doc_id", "j", F.col("w").alias("x")))
-    return _scores(spark, estimators.transductive(review_corpus(spark, folder), cv=CV, strengths=STRENGTHS, target_features=(own, WORDS)))
+    return _scores(spark, estimators.transductive(review_corpus(spark, folder), cv=CV, target_features=(own, WORDS)))
 
 
 def transductive_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -326,19 +326,18 @@ def benchmark_task(spark: SparkSession, folder: str) -> DataFrame:
     """Task 0 of the registry (books to dvd) in its size: held-out reviews carry no label, so the labelled target is scored."""
     row = table(spark, folder, "tasks").orderBy("task_id").first()
     task = experiments.review_task(table(spark, folder, "reviews"), row["source_domain"], row["target_domain"], row["size"], WORDS)
-    out = experiments.benchmark(experiments.Task(task.corpus), NOISE, (1.0,), (0.1, 1.0), **_few)
+    out = experiments.benchmark(experiments.Task(task.corpus), NOISE, cv=CV)
     return spark.createDataFrame([(row["task_id"], out["acc_mda"], out["acc_domreg"], out["alpha"], out["eta"])], "task_id int, acc_mda double, acc_domreg double, alpha double, eta double")
 
 
 def transductive_job(spark: SparkSession, folder: str) -> DataFrame:
     """The job 12:0.9:2 of the registry."""
-    out = experiments.transductive_job("12:0.9:2", table(spark, folder, "reviews"), table(spark, folder, "tasks"), WORDS, **_few)
+    out = experiments.transductive_job("12:0.9:2", table(spark, folder, "reviews"), table(spark, folder, "tasks"), WORDS, cv=CV)
     names = ("task_id", "noise", "feat_type", "base_accuracy", "accuracy", "base_auc", "auc")
     kinds = ("int", "double", "int", "double", "double", "double", "double")
     return spark.createDataFrame([tuple(out[n] for n in names)], ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
 
 
-_few = {"cv": CV, "strengths": STRENGTHS}
 QUERIES = {
     f.__name__: f
     for f in (
@@ -351,11 +350,11 @@ QUERIES = {
     "filter_w_pos": partial(filter_w, "positive"),
     "filter_w_neg": partial(filter_w, "negative"),
     f"domain_mi_{WHOLE}": partial(domain_mi, words=WHOLE),
-    "no_transfer": partial(estimator, "no_transfer", lambda c: estimators.Adapter(c, **_few)),
-    "estimator_mda": partial(estimator, "mda", lambda c: estimators.MdaAdapter(c, **_few)),
-    "estimator_domreg": partial(estimator, "domain_regularized", lambda c: estimators.DomainAdapter(c, alphas=(1.0, 100.0), etas=(0.1, 1.0), **_few)),
-    "lsi_transfer": partial(estimator, "lsi", lambda c: estimators.LatentAdapter(c, 50, appended=True, **_few)),
-    "sfa_transfer": partial(estimator, "sfa", lambda c: estimators.AlignedAdapter(c, WORDS // 2, 20, **_few)),
+    "no_transfer": partial(estimator, "no_transfer", lambda c: estimators.Adapter(c, cv=CV)),
+    "estimator_mda": partial(estimator, "mda", lambda c: estimators.MdaAdapter(c, cv=CV)),
+    "estimator_domreg": partial(estimator, "domain_regularized", lambda c: estimators.DomainAdapter(c, cv=CV)),
+    "lsi_transfer": partial(estimator, "lsi", lambda c: estimators.LatentAdapter(c, 50, appended=True, cv=CV)),
+    "sfa_transfer": partial(estimator, "sfa", lambda c: estimators.AlignedAdapter(c, WORDS // 2, 20, cv=CV)),
 }
 QUERIES |= {f"reg_{m.lower()}": partial(reg_normal, m) for m in ("MDA", "TM", "TCM")}
 QUERIES |= {f"reg_{m.lower()}": partial(reg_domain_sylvester, m) for m in ("TDr", "TDM", "TDCM")}

@@ -1,13 +1,14 @@
 """Queries do the whole job: all rows, words and settings that they name."""
 
+import inspect
 import re
 from pathlib import Path
 
 import pytest
 
 from corpusloom import queries_dense, queries_text
-from corpusloom.operators import estimators
-from corpusloom.plans import experiments
+from corpusloom.operators import classify, estimators
+from corpusloom.plans import experiments, tasks
 from corpusloom.sources import reviews
 from corpusloom.sources.tables import table
 from tests.test_queries import QUERIES, SQL, database, rows
@@ -74,3 +75,23 @@ def test_whole_vocabulary(spark, name):
     assert rows(df.columns, got) == rows(names, result.fetchall())
     few = QUERIES[name](spark, FOLDER)
     assert rows(few.columns, few.collect()) != rows(df.columns, got)
+
+
+@pytest.mark.parametrize("name, module, call", [("benchmark_task", experiments, "benchmark"), ("transductive_job", experiments, "transductive_job"), ("transductive_multiclass", estimators, "transductive")])
+def test_the_whole_grid_is_searched(spark, monkeypatch, name, module, call):
+    called = inspect.signature(getattr(module, call))
+    args, named = passed(monkeypatch, module, call, QUERIES[name], spark)
+    bound = called.bind(*args, **named)
+    bound.apply_defaults()
+    got = bound.arguments | bound.arguments.get("cv", {}) if isinstance(bound.arguments.get("cv"), dict) else bound.arguments
+    assert got.get("strengths", classify.STRENGTHS) == classify.STRENGTHS
+    if call == "benchmark":
+        assert got["alphas"] == tasks.ALPHAS and got["etas"] == tasks.ETAS
+
+
+def test_estimator_domreg_tries_all_settings(spark, monkeypatch):
+    tried = []
+    monkeypatch.setattr(estimators, "cross_validated", lambda rows, d, k, strengths: tried.append(strengths) or (None, 1.0, 0.5))
+    monkeypatch.setattr(estimators.Adapter, "score", lambda self, rows: 0.5)
+    QUERIES["estimator_domreg"](spark, FOLDER)
+    assert tried == [classify.STRENGTHS] * len(tasks.ALPHAS) * len(tasks.ETAS)
