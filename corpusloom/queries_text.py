@@ -213,6 +213,12 @@ def argmax_class(spark: SparkSession, folder: str) -> DataFrame:
     return features.argmax_class(e, "vec_id").select("vec_id", F.col("cls").cast("bigint").alias("cls"))
 
 
+def argmax_class_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of each embedding by all its components taken as scores."""
+    e = table(spark, folder, "embeddings").select("vec_id", F.posexplode("embedding").alias("cls", "score"))
+    return features.argmax_class(e, "vec_id").select("vec_id", F.col("cls").cast("bigint").alias("cls"))
+
+
 def accuracy(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.accuracy(_scored(spark, folder)).select(num("accuracy").alias("accuracy"))
 
@@ -231,7 +237,7 @@ QUERIES = {
     for f in (
         token_counts, review_line_parse, vocab_df, vocab_tf_stopwords, news_clean, oov_encode, df_filter_binary, doc_length_stats, col_sums, class_histogram,
         tfidf_fit_apply, domain_union_bias, labels_pm1, labels_ova, labelled_instances, append_features, column_subset, task_registry_reviews, task_registry_news,
-        news_categories, hyper_grid, best_param, grid_means, score_rows, activations, argmax_class, accuracy, class_report, roc_auc,
+        news_categories, hyper_grid, best_param, grid_means, score_rows, activations, argmax_class, argmax_class_whole, accuracy, class_report, roc_auc,
     )
 } | {name: partial(weights, code) for code, name in enumerate(TW_NAMES)}
 #: The same over the whole vocabulary; the SQL is of the 200 words.

@@ -95,3 +95,9 @@ def test_estimator_domreg_tries_all_settings(spark, monkeypatch):
     monkeypatch.setattr(estimators.Adapter, "score", lambda self, rows: 0.5)
     QUERIES["estimator_domreg"](spark, FOLDER)
     assert tried == [classify.STRENGTHS] * len(tasks.ALPHAS) * len(tasks.ETAS)
+
+
+def test_argmax_over_the_whole_array(spark):
+    want = {r[0]: max(range(len(r[1])), key=lambda j: (r[1][j], -j)) for r in table(spark, FOLDER, "embeddings").select("vec_id", "embedding").collect()}
+    assert max(want.values()) > 9
+    assert {r[0]: r[1] for r in QUERIES["argmax_class_whole"](spark, FOLDER).collect()} == want
