@@ -209,6 +209,14 @@ def mda_project(spark: SparkSession, folder: str) -> DataFrame:
     return h.select("doc_id", "i", (F.round("h", 6) + 0.0).alias("h"))
 
 
+def mda_project_solved(spark: SparkSession, folder: str) -> DataFrame:
+    """Hidden features tanh(x W') of the solved mapping W."""
+    rows = vectors(spark, folder)
+    W = denoise.mapping(moments(rows, D, []).total()[2], NOISE, REG, bias=False)
+    h = denoise.hidden_long(denoise.project(rows.select("doc_id", "js", "xs"), W, D))
+    return h.select("doc_id", "i", (F.round("h", 6) + 0.0).alias("h"))
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """TF-IDF of two domains, domain-regularized denoising, hidden features of every review."""
     rows = texts(spark, folder).where(F.col("domain").isin(SOURCE, TARGET))
@@ -342,7 +350,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         gram_text, gram_dense, xty, domain_cross_moments, mda_expectations, mmd_linear, mmd_multisource, mmd_class, domain_mi, sfa_cooccurrence, ridge_domain_clf, mda_solve, mda_nobias,
-        mda_reduced_output, mda_domainreg, reg_td, mda_project, flagship, msda_stack, filter_w_project, lsi_features, sfa_features, estimator_lsi_mda, transductive_binary,
+        mda_reduced_output, mda_domainreg, reg_td, mda_project, mda_project_solved, flagship, msda_stack, filter_w_project, lsi_features, sfa_features, estimator_lsi_mda, transductive_binary,
         transductive_multiclass, transductive_testfeat, transductive_scores, ssl_transductive, benchmark_task, transductive_job,
     )
 } | {

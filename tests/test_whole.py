@@ -4,6 +4,7 @@ import inspect
 import re
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 from corpusloom import queries_dense, queries_text
@@ -101,3 +102,16 @@ def test_argmax_over_the_whole_array(spark):
     want = {r[0]: max(range(len(r[1])), key=lambda j: (r[1][j], -j)) for r in table(spark, FOLDER, "embeddings").select("vec_id", "embedding").collect()}
     assert max(want.values()) > 9
     assert {r[0]: r[1] for r in QUERIES["argmax_class_whole"](spark, FOLDER).collect()} == want
+
+
+def test_projection_by_the_solved_mapping(spark):
+    e = table(spark, FOLDER, "embeddings").select("vec_id", "embedding").collect()
+    X = np.array([r[1] for r in e], float)
+    S, q = X.T @ X, 1 - queries_dense.NOISE
+    Q = S * (q * q)
+    np.fill_diagonal(Q, q * np.diag(S))
+    H = np.tanh(X @ np.linalg.inv(Q + queries_dense.REG * np.eye(len(S))) @ (q * S))
+    at = {r[0]: k for k, r in enumerate(e)}
+    got = QUERIES["mda_project_solved"](spark, FOLDER).collect()
+    assert len(got) == H.size
+    assert max(abs(r["h"] - H[at[r["doc_id"]], r["i"]]) for r in got) < 2e-6
