@@ -11,8 +11,8 @@ text is scanned by the automaton of each shard in which it has a passage; it tra
 its text that holds those passages, overlapping passages merged. Shards are as many as the shuffle has tasks, more
 where the passages exceed ``passages_per_shard`` on average, which bounds what a task holds.
 
-Coverage. Matched intervals of a pair are merged; their covered length, exact size bounds and a parity word decide whether the
-pair is a candidate. Candidates are verified by the Jaccard similarity of the term sets.
+Candidates. A pair with a matched passage is a candidate where exact size bounds and a parity word allow it; candidates are verified by the
+Jaccard similarity of the term sets. This stands in place of a coverage by matched intervals; the covered terms of a pair and shard decide nothing.
 """
 
 from __future__ import annotations
