@@ -11,34 +11,50 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusloom.plans.session import shuffle_width
 
 Batches = Iterator[pa.RecordBatch]
-#: The widest vector, in numbers, that tasks may send to the driver (1.6 GB of doubles).
+#: The widest vector, in numbers, that the driver may receive (1.6 GB of doubles).
 WIDEST = 200_000_000
-#: Tasks of the first step of adding.
-STEP = 64
+#: Numbers of a slice: what one row of partial sums holds.
+SLICE = 1 << 16
 
 
 def summed(df: DataFrame, partial: Callable[[Batches], np.ndarray], width: int, kind: type = np.float64) -> np.ndarray:
-    """The sum of the vectors of ``width`` numbers that ``partial`` makes of each partition. Partial sums are added in two
-    steps on the executors, behind a shuffle so that the scan keeps all its tasks; the driver receives one vector, whatever the
-    number of rows or partitions."""
+    """The sum of the vectors of ``width`` numbers that ``partial`` makes of each partition.
+
+    Vectors travel in slices, zero slices not at all, and every reducer owns some slices; the driver receives each slice
+    once. Partitions of the input are read several to a task, so partial vectors are as many as the cluster
+    has cores, times four, however many files there are."""
     if width > WIDEST:
         raise ValueError(f"statistics of {width} numbers are too large for the driver; use fewer features or groups")
+    size = np.dtype(kind).itemsize
+    tasks = max(shuffle_width(df.sparkSession), 4 * df.sparkSession.sparkContext.defaultParallelism)
 
     def first(batches: Batches) -> Batches:
-        yield pa.RecordBatch.from_arrays([pa.array([partial(batches).astype(kind).tobytes()])], names=["v"])
+        v = np.ascontiguousarray(partial(batches), kind)
+        for k in range(0, width, SLICE):
+            part = v[k : k + SLICE]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k // SLICE]), pa.array([part.tobytes()], pa.binary())], names=["k", "v"])
 
     def add(batches: Batches) -> Batches:
-        out = None
+        out: dict[int, np.ndarray] = {}
         for batch in batches:
-            for v in batch.column(0):
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1)):
                 part = np.frombuffer(v.as_buffer(), kind)
-                out = part.copy() if out is None else np.add(out, part, out=out)
-        if out is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()])], names=["v"])
+                if k in out:
+                    out[k] += part
+                else:
+                    out[k] = part.copy()
+        for k, v in out.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([v.tobytes()], pa.binary())], names=["k", "v"])
 
-    some = df.mapInArrow(first, "v binary").repartition(min(shuffle_width(df.sparkSession), STEP)).mapInArrow(add, "v binary")
-    rows = some.repartition(1).mapInArrow(add, "v binary").collect()
-    return np.frombuffer(rows[0]["v"], kind) if rows else np.zeros(width, kind)
+    slices = -(-width // SLICE)
+    parts = df.coalesce(tasks).mapInArrow(first, "k long, v binary").repartition(min(shuffle_width(df.sparkSession), slices), "k")
+    total = np.zeros(width, kind)
+    for batch in parts.mapInArrow(add, "k long, v binary").toArrow().to_batches():
+        for k, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+            at = k * SLICE
+            total[at : at + len(v.as_py()) // size] = np.frombuffer(v.as_buffer(), kind)
+    return total
 
 
 def matrix_rows(spark: SparkSession, names: tuple[str, str], **values: np.ndarray) -> DataFrame:
