@@ -2,20 +2,28 @@
 
 Each record's bag gets TF-IDF weights (terms are the shingles of a bag, which has no word order). For each of
 ``bands * rows`` samples, the term that minimises the sampling key of Ioffe's scheme is taken, with its quantised weight; two bags
-agree in a sample with a probability equal to their weighted Jaccard similarity. Records that agree in all rows of a
+agree in a sample with a probability equal to the weighted Jaccard similarity of their weights. Records that agree in all rows of a
 band meet in that band's bucket. Within a bucket, pairs are compared by exact bounds (total frequency, and parity
 words that count differing terms from below), so only pairs that can reach the threshold leave it. Those are
 verified by their weighted Jaccard similarity on the frequencies themselves. A bucket too large for one task is compared
 in blocks spread over tasks.
 
+Recall. The result is defined on frequencies, sampling sees weights, so the idf is damped to lie between 1 and ``SPREAD``: a pair of
+frequency similarity t then has a weight similarity of at least t / (t + (1 - t) SPREAD), whatever terms its edits touch and
+however large the collection is. ``settings`` derives the bands from that bound: a pair at the threshold whose edits are all of the
+rarest and whose common terms are all of the commonest kind is missed with a probability of at most ``miss``, any other pair less often.
+The rows of a band are those that cost the least work for the number of records and the similarity of random ones.
+
 Random numbers of a (term, sample) come from one multiplied hash; gamma quantiles from tables of 65,536 steps.
 
-Exact copies travel as one class. Buckets are streamed in sorted order and compared row against row in vectors, so a
-large bucket is neither held as pairs nor sent to the driver. Recall (sf0.1, threshold 0.7, brute force): see README.
+Exact copies travel as one class. Buckets are streamed in sorted order and compared in vectors, so a
+large bucket is neither held as pairs nor sent to the driver. Recall against brute force: see README.
 """
 
 from __future__ import annotations
 
+from math import ceil, log, log1p
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -25,6 +33,10 @@ from corpusloom.plans.session import cut
 
 #: Steps of the quantile tables.
 STEPS = 65536
+#: How many times the weight of a term in every record a term in one record has.
+SPREAD = 1.5
+#: Nanoseconds, as measured: of a sample of a term, of a row that is shuffled, of a comparison within a bucket.
+SAMPLE_NS, ROW_NS, COMPARE_NS = 11.0, 2000.0, 3.0
 #: Entries of a block that stays in a core's cache while its samples are drawn.
 BLOCK = 1 << 14
 
@@ -75,11 +87,32 @@ class Sampler:
             out[:, k] = mix(h[at] ^ (t[at].astype(np.int64).view(U) * U(STEP)))
 
 
-def band_rows(bags: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(key, class, weight, p, q): a row for each class and band."""
+def damped(counts: np.ndarray, n: int) -> np.ndarray:
+    """The idf of terms with these record counts: 1 for a term in every record (or nearly so) up to SPREAD for one in a single record."""
+    return 1 + (SPREAD - 1) * np.log1p((n - counts) / np.maximum(counts, 1)).clip(0) / max(log1p(n), 1e-9)
+
+
+def settings(counts: np.ndarray, n: int, threshold: float, miss: float) -> tuple[int, int]:
+    """(bands, rows) for the record counts of terms and the number of records."""
+    least = threshold / (threshold + (1 - threshold) * SPREAD)
+    share, weight = np.minimum(counts / max(n, 1), 1), damped(counts, n)
+    common = float((weight * share * share).sum())
+    random = common / max(2 * float((weight * share).sum()) - common, 1e-9)  # similarity of two records drawn at random
+    terms = counts.sum() / max(n, 1)
+    best = None
+    for rows in range(3, 9):
+        bands = max(1, ceil(log(miss) / log1p(-min(least**rows, 1 - 1e-9))))
+        cost = bands * (rows * terms * SAMPLE_NS + ROW_NS + n * random**rows * COMPARE_NS)
+        if best is None or cost < best[0]:
+            best = cost, bands, rows
+    return best[1:]
+
+
+def band_rows(bags: DataFrame, threshold: float, miss: float, fixed: tuple[int, int] | None = None) -> DataFrame:
+    """(key, class, weight, p, q): a row for each class and band. ``fixed`` takes these bands and rows."""
     counts, n = term_counts(bags)
-    idf = np.log(np.log1p((n + 1) / np.maximum(counts, 1))).astype(np.float32)
-    sent = bags.sparkSession.sparkContext.broadcast(idf)
+    bands, rows = fixed or settings(counts, n, threshold, miss)
+    sent = bags.sparkSession.sparkContext.broadcast(np.log(damped(counts, n)).astype(np.float32))
 
     def emit(batches: Batches) -> Batches:
         idf, sampler, unseen = sent.value, Sampler(bands * rows), Unseen()
@@ -88,13 +121,14 @@ def band_rows(bags: DataFrame, bands: int, rows: int) -> DataFrame:
             if not len(h):
                 continue
             ids = class_ids(starts, h, f)
-            logw = np.log(f).astype(np.float32) + idf[(h % U(BUCKETS)).astype(np.intp)]
             new = unseen(ids)
             take = np.repeat(new, spans(starts, len(h)))
-            h, f, logw, ids = h[take], f[take], logw[take], ids[new]
-            starts = np.r_[0, np.cumsum(spans(starts, len(take))[new])[:-1]] if len(ids) else starts[:0]
+            size = spans(starts, len(h))[new]
+            h, f, ids = h[take], f[take], ids[new]
             if not len(ids):
                 continue
+            starts = np.r_[0, np.cumsum(size)[:-1]]
+            logw = np.log(f).astype(np.float32) + idf[(h % U(BUCKETS)).astype(np.intp)]
             code = sampler.codes(starts, h, logw).reshape(len(ids), bands, rows)
             key = np.zeros((len(ids), bands), U)
             for k in range(rows):
@@ -109,6 +143,8 @@ def band_rows(bags: DataFrame, bands: int, rows: int) -> DataFrame:
 
 #: Rows of a bucket that one task compares with each other; a larger bucket is cut in blocks of so many.
 HOT = 4096
+#: Rows of a bucket from which on it is compared in tiles, and the rows of a tile's side.
+MANY, TILE = 24, 256
 
 
 def near(one: tuple, two: tuple, threshold: float) -> np.ndarray:
@@ -119,6 +155,31 @@ def near(one: tuple, two: tuple, threshold: float) -> np.ndarray:
     return close & (differ <= (wa + wb) * ((1 - threshold) / (1 + threshold)) + 1e-9) & (ia != ib)
 
 
+def tiled(cols: tuple[np.ndarray, ...], others: tuple[np.ndarray, ...] | None, threshold: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that may reach the threshold within rows ordered by weight, or between them and ``others``. Tile against tile: parity
+    words first, against the largest bound of the tile, then each pair that is left against its own."""
+    found, two = [], cols if others is None else others
+    share = (1 - threshold) / (1 + threshold)
+    for i in range(0, len(cols[0]), TILE):
+        one = tuple(c[i : i + TILE] for c in cols)
+        for j in range(i if others is None else 0, len(two[0]), TILE):
+            side = tuple(c[j : j + TILE] for c in two)
+            low, high = max(one[1][0], side[1][0]), min(one[1][-1], side[1][-1])
+            if high < threshold * low - 1e-9:  # all of one tile are too light for the other
+                if others is None or side[1][0] > one[1][-1]:
+                    break
+                continue
+            differ = np.bitwise_count(one[2][:, None] ^ side[2][None, :])
+            differ += np.bitwise_count(one[3][:, None] ^ side[3][None, :])
+            a, b = np.nonzero(differ <= min((int(one[1][-1]) + int(side[1][-1])) * share + 1e-9, 255))
+            if others is None and i == j:
+                a, b = a[a < b], b[a < b]
+            if len(a):
+                good = near(tuple(c[a] for c in one), tuple(c[b] for c in side), threshold)
+                found.append((one[0][a[good]], side[0][b[good]]))
+    return [x for x in found if len(x[0])]
+
+
 def _columns(batch: pa.RecordBatch, names: tuple[str, ...]) -> tuple[np.ndarray, ...]:
     """Columns as arrays; the bits of parity words are counted unsigned."""
     return tuple(batch.column(c).to_numpy().view(U if c in "pq" else np.int64) for c in names)
@@ -141,7 +202,12 @@ def candidates(banded: DataFrame, threshold: float, hot: int = HOT) -> DataFrame
     schema = ", ".join(f"{c} long" for c in names)
 
     def small(key: np.ndarray, cols: tuple) -> Batches:
-        found, at, step = [], np.arange(len(key)), 1
+        heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sizes = np.diff(np.r_[heads, len(key)])
+        found, step = [], 1
+        for k in np.flatnonzero(sizes >= MANY).tolist():
+            found += tiled(tuple(c[heads[k] : heads[k] + sizes[k]] for c in cols), None, threshold)
+        at = np.flatnonzero(np.repeat(sizes < MANY, sizes))
         while len(at := at[(at < len(key) - step)]):
             at = at[(key[np.minimum(at + step, len(key) - 1)] == key[at])]
             at = at[cols[1][at] >= threshold * cols[1][at + step] - 1e-9]  # weights ascend
@@ -199,17 +265,13 @@ def candidates(banded: DataFrame, threshold: float, hot: int = HOT) -> DataFrame
             yield from cell(rest)
 
     def cell(cols: tuple) -> Batches:
-        side, found = cols[3], []
+        side = cols[3]
         if cols[1][0] == cols[2][0]:
             for pairs in small(np.zeros(len(side), np.int64), cols[4:]):
                 yield pairs.select(["a", "b"])
             return
         one, two = (tuple(c[side == k] for c in cols[4:]) for k in (0, 1))
-        for k in range(len(two[0])):
-            good = near(tuple(c[k : k + 1] for c in two), one, threshold)
-            if good.any():
-                found.append((np.full(int(good.sum()), two[0][k]), one[0][good]))
-        if found:
+        if found := tiled(one, two, threshold) if len(one[0]) and len(two[0]) else []:
             yield _batch(found, ["a", "b"])
 
     out = cut(banded.repartition("key").sortWithinPartitions("key", "weight").mapInArrow(stream, schema))
@@ -227,14 +289,23 @@ def candidates(banded: DataFrame, threshold: float, hot: int = HOT) -> DataFrame
     return pairs.distinct()
 
 
-def near_duplicates(records: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 3) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(records: DataFrame, threshold: float = 0.8, miss: float = 1e-3) -> tuple[DataFrame, DataFrame]:
     """(members, links) of records (review_id, split, domain, features): every record with terms once, with the class of
     its bag, and the links between classes (a, b, sim) with a weighted Jaccard similarity of at least the threshold.
 
-    Recall depends on bands and rows: a pair of TF-IDF similarity s is met with probability 1 - (1 - s^rows)^bands.
+    A pair is missed with a probability of at most ``miss``.
     """
     bags = hashed(records, F.col("review_id").alias("id"), "split", "domain")
-    return verified(bags, candidates(band_rows(bags, bands, rows), threshold), True, threshold)
+    return verified(bags, candidates(band_rows(bags, threshold, miss), threshold), True, threshold)
+
+
+def record_classes(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(review_id, class_id, n_copies, n_links): of each record its class, named by the least record in it, the records of that class, and
+    the other classes it is linked to. With ``links`` this says the same as all pairs of records, without writing them out."""
+    copies = members.groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("n_copies"))
+    linked = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_links"))
+    each = copies.join(linked, "class", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    return members.select(F.col("id").alias("review_id"), "class").join(each, "class").select("review_id", "class_id", "n_copies", "n_links")
 
 
 def record_pairs(members: DataFrame, links: DataFrame) -> DataFrame:

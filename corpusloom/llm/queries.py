@@ -44,6 +44,11 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return icws.record_pairs(*icws.near_duplicates(table(spark, folder, "reviews"), threshold=0.7))
 
 
+def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record with terms: its class of equal bags, named by its least record, and the other classes of a similarity of at least 0.7."""
+    return icws.record_classes(*icws.near_duplicates(table(spark, folder, "reviews"), threshold=0.7))
+
+
 def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
     """The container of 4,096 tokens of every commit."""
     return packing.pack(table(spark, folder, "documents"))
@@ -93,6 +98,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_counts": p4_counts,
     "p5_found": p5_found,
+    "p5_classes": p5_classes,
     "p6_containers": p6_containers,
     "p7_found": p7_found,
     "p8_pieces": p8_pieces,
@@ -112,6 +118,14 @@ SELECT DISTINCT doc_id, item_id FROM a JOIN b USING (g)""",
     "p3_counts": _OVERLAP
     + """, one AS (SELECT DISTINCT review_id, split, domain FROM reviews WHERE review_id IN (SELECT review_id FROM whole))
     SELECT split, domain, count(*) AS n_records, count(*) FILTER (review_id IN (SELECT a FROM pair UNION SELECT b FROM pair)) AS n_overlapping FROM one GROUP BY ALL""",
+    "p5_classes": _BAG
+    + """, cls AS (SELECT review_id, list(t || chr(9) || f ORDER BY t) AS c FROM bag GROUP BY review_id),
+    rep AS (SELECT c, min(review_id) AS class_id, count(*) AS n_copies FROM cls GROUP BY c),
+    one AS (SELECT bag.* FROM bag JOIN rep ON review_id = class_id),
+    low AS (SELECT a.review_id AS a, b.review_id AS b, sum(least(a.f, b.f)) AS l FROM one a JOIN one b ON a.t = b.t AND a.review_id < b.review_id GROUP BY ALL),
+    link AS (SELECT a, b FROM low JOIN whole x ON x.review_id = a JOIN whole y ON y.review_id = b WHERE l / (x.w + y.w - l) >= 0.7),
+    deg AS (SELECT i, count(*) AS n FROM (SELECT a AS i FROM link UNION ALL SELECT b FROM link) GROUP BY i)
+    SELECT review_id, class_id, n_copies, coalesce(n, 0) AS n_links FROM cls JOIN rep USING (c) LEFT JOIN deg ON i = class_id""",
     "p5_found": _BAG
     + """, low AS (SELECT a.review_id AS a, b.review_id AS b, sum(least(a.f, b.f)) AS l FROM bag a JOIN bag b ON a.t = b.t AND a.review_id < b.review_id GROUP BY ALL)
     SELECT a AS review_id_a, b AS review_id_b FROM low JOIN whole x ON x.review_id = a JOIN whole y ON y.review_id = b WHERE l / (x.w + y.w - l) >= 0.7""",

@@ -104,6 +104,67 @@ def test_near_duplicates(spark, seed):
     assert members.count() == len({r[0] for r in rows if bag(r[3])})
 
 
+def test_classes_say_the_same_as_pairs(spark):
+    rows = corpus(4)
+    members, links = icws.near_duplicates(spark.createDataFrame(rows, SCHEMA), 0.7)
+    got = {r["review_id"]: r for r in icws.record_classes(members, links).collect()}
+    pairs, each = brute(rows, True, 0.7), {r[0]: bag(r[3]) for r in rows}
+    groups = defaultdict(list)
+    for k, x in each.items():
+        if x:
+            groups[frozenset(x.items())].append(k)
+    assert got.keys() == {k for k, x in each.items() if x}
+    for ks in groups.values():
+        linked = {frozenset(each[b if a == ks[0] else a].items()) for a, b in pairs if ks[0] in (a, b)} - {frozenset(each[ks[0]].items())}
+        for k in ks:
+            assert (got[k]["class_id"], got[k]["n_copies"], got[k]["n_links"]) == (min(ks), len(ks), len(linked))
+
+
+@pytest.mark.parametrize("pool", [60, 200])
+@pytest.mark.parametrize("own", [4, 6])
+def test_edits_of_rare_terms(spark, pool, own):
+    """Pairs that share common terms and differ in terms that no other record has."""
+    rng, rows = random.Random(pool + own), []
+    for k in range(1500):
+        shared = rng.sample(range(pool), 30)
+        for side in (0, 1):
+            terms = [(f"c{t}", 1) for t in shared] + [(f"r{k}-{side}-{j}", 1) for j in range(own)]
+            rows.append((2 * k + side, rng.choice(["labelled", "unlabeled"]), "x", terms, None))
+    members, links = icws.near_duplicates(spark.createDataFrame(rows, SCHEMA), 0.7)
+    found = {tuple(r) for r in icws.record_pairs(members, links).collect()}
+    assert sum((2 * k, 2 * k + 1) in found for k in range(1500)) >= 0.99 * 1500
+
+
+def test_settings_follow_from_the_threshold():
+    counts = np.r_[np.full(50, 500.0), np.ones(5000)]
+    for threshold in (0.5, 0.7, 0.8, 0.95):
+        bands, rows = icws.settings(counts, 1000, threshold, 1e-3)
+        least = threshold / (threshold + (1 - threshold) * icws.SPREAD)
+        assert (1 - least**rows) ** bands <= 1e-3
+    assert icws.settings(np.r_[np.full(50, 5e8), np.ones(5000)], 10**9, 0.7, 1e-3)[1] > icws.settings(counts, 1000, 0.7, 1e-3)[1]
+    weights = icws.damped(np.array([1.0, 10.0, 1000.0]), 1000)
+    assert weights[0] == pytest.approx(icws.SPREAD, abs=1e-3) and weights[2] == 1 and weights[0] > weights[1] > weights[2]
+
+
+def test_tiles_find_what_single_comparisons_find():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, (40, 2), dtype=np.uint64)
+    n = 700
+    pick = rng.integers(0, 40, n)
+    flips = np.uint64(1) << rng.integers(0, 64, (n, 2)).astype(np.uint64)
+    words = base[pick] ^ flips
+    weight = np.sort(rng.integers(30, 90, n))
+    cols = (np.arange(n), weight, words[:, 0].copy(), words[:, 1].copy())
+    a, b = np.triu_indices(n, 1)
+    good = icws.near(tuple(c[a] for c in cols), tuple(c[b] for c in cols), 0.7)
+    want = set(zip(a[good].tolist(), b[good].tolist()))
+    got = [p for x in icws.tiled(cols, None, 0.7) for p in zip(x[0].tolist(), x[1].tolist())]
+    assert len(got) == len(want) and set(got) == want
+    one, two = tuple(c[::2] for c in cols), tuple(c[1::2] for c in cols)
+    apart = {tuple(sorted(p)) for x in icws.tiled(one, two, 0.7) for p in zip(x[0].tolist(), x[1].tolist())}
+    assert apart == {p for p in want if p[0] % 2 != p[1] % 2}
+
+
 def test_near_duplicates_of_nothing(spark):
     members, links = icws.near_duplicates(spark.createDataFrame([], SCHEMA))
     assert icws.record_pairs(members, links).count() == 0
@@ -113,7 +174,7 @@ def test_large_buckets_give_the_same_pairs(spark):
     from pyspark.sql import functions as F
 
     df = bags.hashed(spark.createDataFrame(corpus(5), SCHEMA), F.col("review_id").alias("id"), "split", "domain")
-    banded = icws.band_rows(df, 8, 1)
+    banded = icws.band_rows(df, 0.7, 1e-3, (8, 1))
     want = {tuple(r) for r in icws.candidates(banded, 0.7).collect()}
     for hot in (1, 3, 20):
         got = [tuple(r) for r in icws.candidates(banded, 0.7, hot).collect()]
