@@ -79,15 +79,23 @@ def class_ids(starts: np.ndarray, h: np.ndarray, f: np.ndarray | None = None) ->
     return mix(np.add.reduceat(each, starts)) if len(starts) else each
 
 
-def parity(starts: np.ndarray, h: np.ndarray, words: int) -> list[np.ndarray]:
-    """``words`` 64-bit words per bag in which every term flips one bit. The bits that differ between two bags are
-    never more than the terms that only one of them has."""
-    place = (h >> U(32)) % U(64 * words)
-    out = []
-    for k in range(words):
-        bit = np.where(place // U(64) == U(k), U(1) << (place % U(64)), U(0))
-        out.append(np.bitwise_xor.reduceat(bit, starts) if len(starts) else bit)
-    return out
+#: Frequencies that parity words tell apart; larger ones count as this one.
+LEVELS = 4
+
+
+def parity(starts: np.ndarray, h: np.ndarray, words: int, f: np.ndarray | None = None) -> list[np.ndarray]:
+    """``words`` 64-bit words per bag in which every term flips one bit, with frequencies f a bit for each of its first LEVELS
+    occurrences. The bits that differ between two bags are never more than the terms that only one of them has, or with
+    frequencies the occurrences."""
+    out = [np.zeros(len(h), U) for _ in range(words)]
+    for level in range(1 if f is None else LEVELS):
+        on = slice(None) if not level else np.flatnonzero(f > level)
+        place = (mix(h[on] + U(level)) if level else h[on]) >> U(32)
+        place = place % U(64 * words)
+        bit = U(1) << (place % U(64))
+        for k in range(words):
+            out[k][on] ^= np.where(place // U(64) == U(k), bit, U(0))
+    return [np.bitwise_xor.reduceat(x, starts) if len(starts) else x for x in out]
 
 
 def spans(starts: np.ndarray, total: int) -> np.ndarray:

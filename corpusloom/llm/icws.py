@@ -4,7 +4,7 @@ Each record's bag gets TF-IDF weights (terms are the shingles of a bag, which ha
 ``bands * rows`` samples, the term that minimises the sampling key of Ioffe's scheme is taken, with its quantised weight; two bags
 agree in a sample with a probability equal to the weighted Jaccard similarity of their weights. Records that agree in all rows of a
 band meet in that band's bucket. Within a bucket, pairs are compared by exact bounds (total frequency, and parity
-words that count differing terms from below), so only pairs that can reach the threshold leave it. Those are
+words that count differing occurrences from below), so only pairs that can reach the threshold leave it. Those are
 verified by their weighted Jaccard similarity on the frequencies themselves. A bucket too large for one task is compared
 in blocks spread over tasks.
 
@@ -109,7 +109,7 @@ def settings(counts: np.ndarray, n: int, threshold: float, miss: float) -> tuple
 
 
 def band_rows(bags: DataFrame, threshold: float, miss: float, fixed: tuple[int, int] | None = None) -> DataFrame:
-    """(key, class, weight, p, q): a row for each class and band. ``fixed`` takes these bands and rows."""
+    """(key, class, weight, p, q, r, s): a row for each class and band. ``fixed`` takes these bands and rows."""
     counts, n = term_counts(bags)
     bands, rows = fixed or settings(counts, n, threshold, miss)
     sent = bags.sparkSession.sparkContext.broadcast(np.log(damped(counts, n)).astype(np.float32))
@@ -134,13 +134,17 @@ def band_rows(bags: DataFrame, threshold: float, miss: float, fixed: tuple[int,
             for k in range(rows):
                 key = mix(key + code[:, :, k] * U(MIX_A))
             key = mix(key ^ np.arange(bands, dtype=U)[None, :] * U(STEP))
-            p, q = parity(starts, h, 2)
-            each = [ids.view(np.int64), np.add.reduceat(f, starts), p.view(np.int64), q.view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), *(pa.array(np.repeat(x, bands)) for x in each)], names=["key", "class", "weight", "p", "q"])
+            weight, words = np.add.reduceat(f, starts), parity(starts, h, 4, f)
+            fine = [np.where(weight > LONG, x, U(0)) for x in words[2:]]
+            each = [ids.view(np.int64), weight, *(x.view(np.int64) for x in (words[0] ^ words[2], words[1] ^ words[3], *fine))]
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), *(pa.array(np.repeat(x, bands)) for x in each)], names=["key", *ROW])
 
-    return bags.mapInArrow(emit, "key long, class long, weight long, p long, q long")
+    return bags.mapInArrow(emit, ", ".join(f"{c} long" for c in ("key", *ROW)))
 
 
+#: What a row of a bucket says of a class: p and q are 128 parity bits; r and s, zero up to a weight of LONG, make them 256.
+ROW = ("class", "weight", "p", "q", "r", "s")
+LONG = 96
 #: Rows of a bucket that one task compares with each other; a larger bucket is cut in blocks of so many.
 HOT = 4096
 #: Rows of a bucket from which on it is compared in tiles, and the rows of a tile's side.
@@ -148,9 +152,11 @@ MANY, TILE = 24, 256
 
 
 def near(one: tuple, two: tuple, threshold: float) -> np.ndarray:
-    """Which rows of two equally long sets of columns (class, weight, p, q) may be pairs: sizes and differing terms allow it."""
-    (ia, wa, pa_, qa), (ib, wb, pb, qb) = one, two
-    differ = np.bitwise_count(pa_ ^ pb).astype(np.int64) + np.bitwise_count(qa ^ qb)
+    """Which rows of two equally long sets of columns (ROW) may be pairs: sizes and differing occurrences allow it."""
+    (ia, wa, *xa), (ib, wb, *xb) = one, two
+    p, q, r, s = (a ^ b for a, b in zip(xa, xb))
+    ones = lambda *x: sum(np.bitwise_count(y).astype(np.int64) for y in x)
+    differ = np.where(np.minimum(wa, wb) > LONG, ones(p ^ r, q ^ s, r, s), ones(p, q))
     close = np.minimum(wa, wb) >= threshold * np.maximum(wa, wb) - 1e-9
     return close & (differ <= (wa + wb) * ((1 - threshold) / (1 + threshold)) + 1e-9) & (ia != ib)
 
@@ -182,7 +188,7 @@ def tiled(cols: tuple[np.ndarray, ...], others: tuple[np.ndarray, ...] | None, t
 
 def _columns(batch: pa.RecordBatch, names: tuple[str, ...]) -> tuple[np.ndarray, ...]:
     """Columns as arrays; the bits of parity words are counted unsigned."""
-    return tuple(batch.column(c).to_numpy().view(U if c in "pq" else np.int64) for c in names)
+    return tuple(batch.column(c).to_numpy().view(U if c in "pqrs" else np.int64) for c in names)
 
 
 def _batch(found: list[tuple[np.ndarray, np.ndarray]], names: list[str]) -> pa.RecordBatch:
@@ -198,7 +204,7 @@ def candidates(banded: DataFrame, threshold: float, hot: int = HOT) -> DataFrame
     Buckets are streamed in the order of key and weight. Those of at most ``hot`` rows are compared at once; the rows of
     larger ones are passed on by blocks, and pairs of blocks whose weights come near enough are compared in tasks of their own.
     """
-    row, names = ("class", "weight", "p", "q"), ["a", "b", "key", "block", "class", "weight", "p", "q"]
+    row, names = ROW, ["a", "b", "key", "block", *ROW]
     schema = ", ".join(f"{c} long" for c in names)
 
     def small(key: np.ndarray, cols: tuple) -> Batches:

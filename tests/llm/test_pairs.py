@@ -148,13 +148,13 @@ def test_settings_follow_from_the_threshold():
 
 def test_tiles_find_what_single_comparisons_find():
     rng = np.random.default_rng(3)
-    base = rng.integers(0, 2**63, (40, 2), dtype=np.uint64)
+    base = rng.integers(0, 2**63, (40, 4), dtype=np.uint64)
     n = 700
     pick = rng.integers(0, 40, n)
-    flips = np.uint64(1) << rng.integers(0, 64, (n, 2)).astype(np.uint64)
+    flips = np.uint64(1) << rng.integers(0, 64, (n, 4)).astype(np.uint64)
     words = base[pick] ^ flips
-    weight = np.sort(rng.integers(30, 90, n))
-    cols = (np.arange(n), weight, words[:, 0].copy(), words[:, 1].copy())
+    weight = np.sort(rng.integers(60, 150, n))
+    cols = (np.arange(n), weight, *(words[:, k].copy() for k in range(4)))
     a, b = np.triu_indices(n, 1)
     good = icws.near(tuple(c[a] for c in cols), tuple(c[b] for c in cols), 0.7)
     want = set(zip(a[good].tolist(), b[good].tolist()))
