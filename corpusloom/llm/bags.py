@@ -170,8 +170,9 @@ def members(bags: DataFrame, marks: np.ndarray, weighted: bool) -> DataFrame:
     return bags.mapInArrow(rows_of, "class long, id long, split string, domain string, hs array<long>, fs array<long>")
 
 
-def similarity(weighted: bool, threshold: float) -> Callable[[Batches], Batches]:
-    """Keeps the pairs (a, b, ha, fa, hb, fb) whose (weighted) Jaccard similarity reaches the threshold, with it as ``sim``."""
+def similarity(weighted: bool, threshold: float, cover: bool = False) -> Callable[[Batches], Batches]:
+    """Keeps the pairs (a, b, ha, fa, hb, fb) whose (weighted) Jaccard similarity reaches the threshold, with it as ``sim``; with
+    ``cover`` also n_terms, the terms of a, and a bitmap of those that b holds."""
 
     def check(batches: Batches) -> Batches:
         for batch in batches:
@@ -187,15 +188,24 @@ def similarity(weighted: bool, threshold: float) -> Callable[[Batches], Batches]
             low = np.bincount(pair[same], np.minimum(f[same], f[same + 1]), n)
             sim = low / np.maximum(np.bincount(pair, f, n) - low, 1)
             good = np.flatnonzero(sim >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(good)), batch.column("b").take(pa.array(good)), pa.array(sim[good])], names=["a", "b", "sim"])
+            cols = [batch.column("a").take(pa.array(good)), batch.column("b").take(pa.array(good)), pa.array(sim[good])]
+            if cover:
+                words = (na + 63) // 64
+                offsets = np.r_[0, np.cumsum(words)]
+                place = order[same] - (np.cumsum(na) - na)[pair[same]]  # the entry of a stands before that of b
+                bits = np.zeros(offsets[-1], U)
+                np.bitwise_or.at(bits, offsets[pair[same]] + (place >> 6), U(1) << (place & 63).astype(U))
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(bits.view(np.int64)))
+                cols += [pa.array(na[good].astype(np.int64)), lists.take(pa.array(good))]
+            yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "sim", "n_terms", "cover"][: len(cols)])
 
     return check
 
 
-def verified(bags: DataFrame, pairs: DataFrame, weighted: bool, threshold: float, same: bool = False) -> tuple[DataFrame, DataFrame]:
+def verified(bags: DataFrame, pairs: DataFrame, weighted: bool, threshold: float, same: bool = False, cover: bool = False) -> tuple[DataFrame, DataFrame]:
     """(members, links): all records with their class, once each, and the candidate pairs of classes that reach the
     threshold exactly (a, b, sim). Only bags of classes in a pair are shuffled. With ``same``, pairs of a class with itself
-    are kept, as they are."""
+    are kept, as they are; ``cover`` is that of ``similarity``."""
     spark = bags.sparkSession
     pairs = cut(pairs)
     every = cut(members(bags, marks_of(spark, pairs), weighted))
@@ -203,7 +213,12 @@ def verified(bags: DataFrame, pairs: DataFrame, weighted: bool, threshold: float
     one = terms.select(F.col("class").alias("a"), F.col("hs").alias("ha"), F.col("fs").alias("fa"))
     two = terms.select(F.col("class").alias("b"), F.col("hs").alias("hb"), F.col("fs").alias("fb"))
     compared = pairs.where("a <> b").join(one, "a").join(two, "b").select("a", "b", "ha", "fa", "hb", "fb")
-    links = compared.mapInArrow(similarity(weighted, threshold), "a long, b long, sim double")
+    links = compared.mapInArrow(similarity(weighted, threshold, cover), "a long, b long, sim double" + ", n_terms long, cover array<long>" * cover)
     if same:
-        links = links.union(pairs.where("a = b").select("a", "b", F.lit(1.0)))
+        own = pairs.where("a = b").select("a", "b", F.lit(1.0).alias("sim"))
+        if cover:  # a class covers itself: full words, then the rest of the terms
+            size = F.size("ha").cast("bigint")
+            word = F.transform(F.sequence(F.lit(0), F.shiftright(F.size("ha") - 1, 6)), lambda w: F.when(F.size("ha") - 64 * w >= 64, F.lit(-1)).otherwise(F.expr("shiftrightunsigned(-1L, 64 - size(ha) % 64)")))
+            own = own.join(one.select("a", "ha"), "a").select("a", "b", "sim", size.alias("n_terms"), word.cast("array<bigint>").alias("cover"))
+        links = links.union(own)
     return every.select("class", "id", "split", "domain").dropDuplicates(["class", "id"]), links

@@ -29,6 +29,11 @@ def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
     return automata.overlap_counts(*automata.overlaps(table(spark, folder, "reviews")))
 
 
+def p3_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """How many of its terms the overlapping training records of each evaluation record hold together."""
+    return automata.coverage(*automata.overlaps(table(spark, folder, "reviews"), cover=True))
+
+
 def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
     """The terms that at least 1/500 of all rows hold, with their rows."""
     return heavy.heavy_hitters(table(spark, folder, "review_terms"), "ts", 1 / 500).select("ts", "n_rows")
@@ -95,6 +100,7 @@ QUERIES = {
     "p2_vocabulary": p2_vocabulary,
     "p3_found": p3_found,
     "p3_counts": p3_counts,
+    "p3_coverage": p3_coverage,
     "p4_found": p4_found,
     "p4_counts": p4_counts,
     "p5_found": p5_found,
@@ -118,6 +124,10 @@ SELECT DISTINCT doc_id, item_id FROM a JOIN b USING (g)""",
     "p3_counts": _OVERLAP
     + """, one AS (SELECT DISTINCT review_id, split, domain FROM reviews WHERE review_id IN (SELECT review_id FROM whole))
     SELECT split, domain, count(*) AS n_records, count(*) FILTER (review_id IN (SELECT a FROM pair UNION SELECT b FROM pair)) AS n_overlapping FROM one GROUP BY ALL""",
+    "p3_coverage": _OVERLAP
+    + """, held AS (SELECT a AS review_id, count(DISTINCT x.t) AS n_covered FROM pair JOIN bag x ON x.review_id = a JOIN bag y ON y.review_id = b AND x.t = y.t GROUP BY a),
+    one AS (SELECT DISTINCT review_id, domain FROM reviews)
+    SELECT review_id, domain, whole.n AS n_terms, n_covered FROM held JOIN whole USING (review_id) JOIN one USING (review_id)""",
     "p5_classes": _BAG
     + """, cls AS (SELECT review_id, list(t || chr(9) || f ORDER BY t) AS c FROM bag GROUP BY review_id),
     rep AS (SELECT c, min(review_id) AS class_id, count(*) AS n_copies FROM cls GROUP BY c),

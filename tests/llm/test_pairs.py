@@ -24,7 +24,7 @@ def corpus(seed, n=120):
                     own.append((rng.choice(words), rng.randint(1, 3)))
             rng.shuffle(own)
         else:
-            own = [(rng.choice(words[: rng.choice([20, 400])]), rng.randint(1, 4)) for _ in range(rng.choice([1, 2, 3, 8, 30, 60]))]
+            own = [(rng.choice(words[: rng.choice([20, 400])]), rng.randint(1, 4)) for _ in range(rng.choice([1, 2, 3, 8, 30, 60, 200]))]
         own = [(rng.choice([t, t, t.upper(), f" {t}\t"]) if t else t, f) for t, f in own]
         rows.append((k, rng.choice(["labelled", "unlabeled"]), rng.choice(["books", None]), own, "extra"))
     rows += [(n, "labelled", "x", None, None), (n + 1, "unlabeled", "x", [], None), (n + 2, None, "x", rows[3][3], None), (n + 3, "labelled", "x", [(None, 1), (" \t", 2), ("a", 0), ("b", None), ("c", -1)], None)]
@@ -78,6 +78,17 @@ def test_overlaps_are_complete(spark, seed, per_shard):
     assert counts == {k: tuple(v) for k, v in want.items()}
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_coverage_merges_all_training_records(spark, seed):
+    rows = corpus(seed + 20)
+    got = {r["review_id"]: (r["n_terms"], r["n_covered"]) for r in automata.coverage(*automata.overlaps(spark.createDataFrame(rows, SCHEMA), cover=True)).collect()}
+    each, want = {r[0]: (r[1], bag(r[3])) for r in rows}, defaultdict(set)
+    for a, b in brute(rows, False, 0.8):
+        one, two = (a, b) if each[a][0] == "unlabeled" else (b, a)
+        want[one] |= each[one][1].keys() & each[two][1].keys()
+    assert got == {k: (len(each[k][1]), len(v)) for k, v in want.items()} and got
+
+
 @pytest.mark.parametrize("threshold", [0.7, 0.75, 0.95])
 def test_other_thresholds(spark, threshold):
     rows = corpus(11)
