@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-#: Frequent English function words.
+#: This library's default stop words, frequent English function words; the list of another library is passed as ``stop``.
 STOP_WORDS = (
     "a about above after again all am an and any are as at be because been before being below between both but by can did do does doing down during each "
     "few for from further had has have having he her here hers him his how i if in into is it its just me more most my no nor not now of off on once only "

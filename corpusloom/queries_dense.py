@@ -1,7 +1,7 @@
 """Queries over moments, solvers, projections and estimators; with their SQL.
 
 Texts: TF-IDF of the reviews' 200 words. Vectors: ``embeddings``, of which domain 2 (vec_id modulo 3) is the target, with
-labels known for every tenth of its rows. Solved matrices are shown through their normal equations, whose right side SQL computes.
+labels known for every tenth of its rows. The SQL of solved matrices is in ``solver_sql``.
 """
 
 from __future__ import annotations
@@ -11,10 +11,12 @@ from functools import partial
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from corpusloom import solver_sql
 from corpusloom.operators import baselines, denoise, estimators, features, regularized
 from corpusloom.operators.moments import Moments, dense_rows, feature_rows, mean_gap, moments
 from corpusloom.plans import experiments
 from corpusloom.plans.partial import matrix_rows
+from corpusloom.plans.session import cut
 from corpusloom.queries_text import BASE, LENGTHS, SOURCE, TARGET, WHOLE, WORDS, Corpus
 from corpusloom.sources.tables import table
 
@@ -110,135 +112,73 @@ def filter_w(keep: str, spark: SparkSession, folder: str) -> DataFrame:
     return out.select("i", "j", (F.col("v") + F.lit(0.0)).alias("v"))
 
 
+def solved(spark: SparkSession, W: np.ndarray) -> DataFrame:
+    """(i, j, w) of a solved matrix."""
+    return matrix_rows(spark, ("i", "j"), w=rounded(W))
+
+
 def ridge_domain_clf(spark: SparkSession, folder: str) -> DataFrame:
     m = vector_moments(spark, folder)
     xd = m.of(lambda g: g[1] != "source")[1] - m.of(lambda g: g[1] == "source")[1]
-    S = m.total()[2]
-    c = denoise.domain_classifier(S, xd, ALPHA)
-    return matrix_rows(spark, ("j", "one"), lhs=rounded(((S + ALPHA * np.eye(D)) @ c)[:, None], 4)).select("j", "lhs")
+    return solved(spark, denoise.domain_classifier(m.total()[2], xd, ALPHA)[:, None]).select(F.col("i").alias("j"), "w")
 
 
 def mda_solve(spark: SparkSession, folder: str) -> DataFrame:
-    S = moments(texts(spark, folder), WORDS, [], bias=True).total()[2]
-    W, Q = denoise.mapping(S, NOISE, REG), denoise.expectations(S, NOISE, True)[1]
-    return matrix_rows(spark, ("i", "j"), lhs=rounded(W @ (Q + denoise.ridge(len(Q), REG, True)), 4))
+    return solved(spark, denoise.mapping(moments(texts(spark, folder), WORDS, [], bias=True).total()[2], NOISE, REG))
 
 
 def mda_nobias(spark: SparkSession, folder: str) -> DataFrame:
-    S = vector_moments(spark, folder).total()[2]
-    W, Q = denoise.mapping(S, NOISE, REG, bias=False), denoise.expectations(S, NOISE, False)[1]
-    return matrix_rows(spark, ("i", "j"), lhs=rounded(W @ (Q + denoise.ridge(D, REG, False)), 4))
+    return solved(spark, denoise.mapping(vector_moments(spark, folder).total()[2], NOISE, REG, bias=False))
 
 
 def mda_reduced_output(spark: SparkSession, folder: str) -> DataFrame:
     """Only the 20 most frequent words are reconstructed; these are the first of the vocabulary."""
-    rows = texts(spark, folder)
-    S = moments(rows, WORDS, [], bias=True).total()[2]
-    W, Q = denoise.mapping(S, NOISE, REG, outputs=estimators.most_frequent(rows, 20)), denoise.expectations(S, NOISE, True)[1]
-    return matrix_rows(spark, ("i", "j"), lhs=rounded(W @ (Q + denoise.ridge(len(Q), REG, True)), 4))
+    rows = cut(texts(spark, folder))
+    return solved(spark, denoise.mapping(moments(rows, WORDS, [], bias=True).total()[2], NOISE, REG, outputs=estimators.most_frequent(rows, 20)))
 
 
 def mda_domainreg(spark: SparkSession, folder: str) -> DataFrame:
-    """W (Q + reg) after the domain term is taken off again: P of plain denoising."""
     m = vector_moments(spark, folder)
-    total, S = m.total()[1:]
     xd = m.of(lambda g: g[1] != "source")[1] - m.of(lambda g: g[1] == "source")[1]
-    W = denoise.domain_mapping(S, total, xd, NOISE, ALPHA, ETA, reg=REG)
-    c = denoise.domain_classifier(S, xd, ALPHA)
-    left = (denoise.expectations(S, NOISE, False)[1] + REG * np.eye(D)) @ W.T @ (np.eye(D) + ETA * np.outer(c, c))
-    return matrix_rows(spark, ("i", "j"), lhs=rounded(left - ETA * (1 - NOISE) * np.outer(total, c), 4))
-
-
-def reg_normal(method: str, spark: SparkSession, folder: str) -> DataFrame:
-    m = vector_moments(spark, folder)
-    W, _, x = regularized.solve(method, m, PARAMS)
-    A = x.Qa + PARAMS.mda_reg * np.eye(D)
-    if method != "MDA":
-        gap = regularized.discrepancy(m) if method == "TM" else regularized.class_discrepancy(m)
-        A = A + PARAMS.tm_lambda * (denoise.marginal(gap, np.full(D, 1 - PARAMS.noise)) + regularized.TINY * np.eye(D))
-    return matrix_rows(spark, ("i", "j"), lhs=rounded(A @ W, 4))
+    return solved(spark, denoise.domain_mapping(m.total()[2], m.total()[1], xd, NOISE, ALPHA, ETA, reg=REG))
 
 
-def reg_td(spark: SparkSession, folder: str) -> DataFrame:
-    """Qa W (I + eta ZD ZD') less the push to the target: Pa of plain denoising."""
-    W, _, x = regularized.solve("TD", vector_moments(spark, folder), PARAMS)
-    ZD = np.linalg.solve(x.Sa + PARAMS.td_reg * np.eye(D), x.XYD)
-    left = x.Qa @ W @ (np.eye(D) + PARAMS.td_eta * ZD @ ZD.T) - PARAMS.td_eta * (1 - PARAMS.noise) * x.Pd @ ZD.T
-    return matrix_rows(spark, ("i", "j"), lhs=rounded(left, 4))
-
-
-def reg_domain_sylvester(method: str, spark: SparkSession, folder: str) -> DataFrame:
-    """The equation of TDr, TDM and TDCM multiplied by Qa, less the push to the target: Pa of plain denoising."""
-    m = vector_moments(spark, folder)
-    W, _, x = regularized.solve(method, m, PARAMS)
-    one = np.eye(D)
-    ZD = np.linalg.solve(x.Sa + PARAMS.td_reg * one, x.XYD)
-    M = PARAMS.mda_reg * one
-    if method != "TDr":
-        gap = regularized.discrepancy(m) if method == "TDM" else regularized.class_discrepancy(m)
-        M = M + PARAMS.tm_lambda * (denoise.marginal(gap, np.full(D, 1 - PARAMS.noise)) + regularized.TINY * one)
-    left = M @ W + x.Qa @ W @ (one + PARAMS.td_eta * ZD @ ZD.T) - PARAMS.td_eta * (1 - PARAMS.noise) * x.Pd @ ZD.T
-    return matrix_rows(spark, ("i", "j"), lhs=rounded(left, 4))
-
-
-def reg_class(method: str, iterate: bool, spark: SparkSession, folder: str) -> DataFrame:
-    """The equation of a method with class classifiers (one for each source, or alternating with W until the loss settles)
-    multiplied out, less the terms of the classifier and the push to the target: Pa of plain denoising."""
-    W, _, x = regularized.solve(method, vector_moments(spark, folder), PARAMS, iterate=iterate)
-    one, keep = np.eye(D), 1 - PARAMS.noise
-    ZC, XY = x.used
-    left = PARAMS.tc_gamma * (x.Q @ W @ ZC @ ZC.T - keep * XY @ ZC.T)
-    if method.startswith("TD"):
-        ZD = np.linalg.solve(x.Sa + PARAMS.td_reg * one, x.XYD)
-        left += x.Qa @ W @ (one + PARAMS.td_eta * ZD @ ZD.T) - PARAMS.td_eta * keep * x.Pd @ ZD.T
-    else:
-        left += (x.Qa + PARAMS.mda_reg * one + (0 if x.gap is None else PARAMS.tm_lambda * x.gap)) @ W
-    return matrix_rows(spark, ("i", "j"), lhs=rounded(left, 4))
-
-
-def reg_weights(method: str, spark: SparkSession, folder: str) -> DataFrame:
-    """W itself of a method with a class classifier, alternating until the loss settles."""
-    return matrix_rows(spark, ("i", "j"), w=rounded(regularized.solve(method, vector_moments(spark, folder), PARAMS, iterate=True)[0]))
+def reg_solve(method: str, iterate: bool, spark: SparkSession, folder: str) -> DataFrame:
+    """W of a method; those with class classifiers have one for each source, or one that alternates with W until the loss settles."""
+    return solved(spark, regularized.solve(method, vector_moments(spark, folder), PARAMS, iterate=iterate)[0])
 
 
 def mda_project(spark: SparkSession, folder: str) -> DataFrame:
-    """Hidden features tanh(x W') of the mapping W = P for SQL's sake: expected moments in place of the solved mapping."""
+    """Hidden features tanh(x W')."""
     rows = vectors(spark, folder)
-    P, _ = denoise.expectations(rounded(moments(rows, D, []).total()[2] / 1000, 9), NOISE, False)
-    h = denoise.hidden_long(denoise.project(rows.select("doc_id", "js", "xs"), P, D))
-    return h.select("doc_id", "i", (F.round("h", 6) + 0.0).alias("h"))
+    W = denoise.mapping(moments(rows, D, []).total()[2], NOISE, REG, bias=False)
+    return _hidden(denoise.project(rows.select("doc_id", "js", "xs"), W, D))
 
 
-def mda_project_solved(spark: SparkSession, folder: str) -> DataFrame:
-    """Hidden features tanh(x W') of the solved mapping W."""
-    rows = vectors(spark, folder)
-    W = denoise.mapping(moments(rows, D, []).total()[2], NOISE, REG, bias=False)
-    h = denoise.hidden_long(denoise.project(rows.select("doc_id", "js", "xs"), W, D))
-    return h.select("doc_id", "i", (F.round("h", 6) + 0.0).alias("h"))
+def _hidden(rows: DataFrame) -> DataFrame:
+    return denoise.hidden_long(rows).select("doc_id", "i", (F.round("h", 6) + 0.0).alias("h"))
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    """TF-IDF of two domains, domain-regularized denoising, hidden features of every review."""
-    rows = texts(spark, folder).where(F.col("domain").isin(SOURCE, TARGET))
+    """TF-IDF of two domains, domain-regularized denoising, hidden features of every review of them."""
+    rows = cut(texts(spark, folder).where(F.col("domain").isin(SOURCE, TARGET)))
     m = moments(rows, WORDS, ["domain"])
-    total, S = m.total()[1:]
     xd = m.of(lambda g: g[0] == TARGET)[1] - m.of(lambda g: g[0] == SOURCE)[1]
-    W = denoise.domain_mapping(S, total, xd, NOISE, ALPHA, ETA, reg=REG)
-    h = denoise.hidden_long(denoise.project(rows.select("doc_id", "js", "xs"), W, WORDS))
-    return h.select("doc_id", "i", (F.round("h", 6) + 0.0).alias("h"))
+    W = denoise.domain_mapping(m.total()[2], m.total()[1], xd, NOISE, ALPHA, ETA, reg=REG)
+    return _hidden(denoise.project(rows.select("doc_id", "js", "xs"), W, WORDS))
 
 
 def msda_stack(spark: SparkSession, folder: str) -> DataFrame:
     """Hidden features of the last of three layers."""
     outs, _ = denoise.stack(vectors(spark, folder).select("doc_id", "js", "xs"), D, layers=3, noise=0.5)
-    return denoise.hidden_long(outs[-1]).select("doc_id", "i", (F.round("h", 6) + 0.0).alias("h"))
+    return _hidden(outs[-1])
 
 
 def filter_w_project(spark: SparkSession, folder: str) -> DataFrame:
     """Hidden features of a mapping of which each row keeps its ten largest weights."""
     rows = vectors(spark, folder)
     W = denoise.filtered(denoise.mapping(moments(rows, D, [], bias=True).total()[2], 0.5), "top", 10)
-    return denoise.hidden_long(denoise.project(rows.select("doc_id", "js", "xs"), W, D, bias=True)).select("doc_id", "i", (F.round("h", 6) + 0.0).alias("h"))
+    return _hidden(denoise.project(rows.select("doc_id", "js", "xs"), W, D, bias=True))
 
 
 def lsi_features(spark: SparkSession, folder: str) -> DataFrame:
@@ -350,7 +290,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         gram_text, gram_dense, xty, domain_cross_moments, mda_expectations, mmd_linear, mmd_multisource, mmd_class, domain_mi, sfa_cooccurrence, ridge_domain_clf, mda_solve, mda_nobias,
-        mda_reduced_output, mda_domainreg, reg_td, mda_project, mda_project_solved, flagship, msda_stack, filter_w_project, lsi_features, sfa_features, estimator_lsi_mda, transductive_binary,
+        mda_reduced_output, mda_domainreg, mda_project, flagship, msda_stack, filter_w_project, lsi_features, sfa_features, estimator_lsi_mda, transductive_binary,
         transductive_multiclass, transductive_testfeat, transductive_scores, ssl_transductive, benchmark_task, transductive_job,
     )
 } | {
@@ -364,13 +304,9 @@ QUERIES = {
     "lsi_transfer": partial(estimator, "lsi", lambda c: estimators.LatentAdapter(c, 50, appended=True, cv=CV)),
     "sfa_transfer": partial(estimator, "sfa", lambda c: estimators.AlignedAdapter(c, WORDS // 2, 20, cv=CV)),
 }
-QUERIES |= {f"reg_{m.lower()}": partial(reg_normal, m) for m in ("MDA", "TM", "TCM")}
-QUERIES |= {f"reg_{m.lower()}": partial(reg_domain_sylvester, m) for m in ("TDr", "TDM", "TDCM")}
 CLASS_METHODS = ("TCW", "TFW", "TDCW", "TDFW", "TMCW", "TMFW", "TCMCW", "TCMFW")
-FROM_MAP = ("TWC", "TDWC", "TMWC", "TCMWC")
-QUERIES |= {f"reg_{m.lower()}": partial(reg_class, m, True) for m in (*CLASS_METHODS, *FROM_MAP)}
-QUERIES |= {f"reg_{m.lower()}_per_source": partial(reg_class, m, False) for m in CLASS_METHODS}
-QUERIES |= {"reg_tdcw_weights": partial(reg_weights, "TDCW")}
+REGULARIZED = {f"reg_{m.lower()}": (m, True) for m in regularized.METHODS} | {f"reg_{m.lower()}_per_source": (m, False) for m in CLASS_METHODS}
+QUERIES |= {name: partial(reg_solve, *how) for name, how in REGULARIZED.items()}
 
 VEC = """
 WITH e AS (SELECT vec_id, vec_id % 3 AS dom, vec_id % 3 < 2 AS src, vec_id % 3 < 2 OR vec_id % 10 = 0 AS known, label,
@@ -379,14 +315,11 @@ g AS (SELECT a.j AS i, b.j AS j, sum(a.x * b.x) AS s FROM e a JOIN e b USING (ve
 c AS (SELECT DISTINCT label AS cls FROM embeddings)
 """
 _GAP = ", o AS (SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS m FROM v a JOIN v b USING (k) GROUP BY ALL) SELECT i, j, round(m, 6) + 0.0 AS m, round(m * CASE WHEN i = j THEN 0.9 ELSE 0.9 * 0.9 END, 6) + 0.0 AS qm FROM o"
-_PA = VEC + "SELECT i, j, round(s * (1 - CAST(0.1 AS DOUBLE)), 4) + 0.0 AS lhs FROM g"
-_P = VEC + "SELECT i, j, round(s * (1 - CAST(0.9 AS DOUBLE)), 4) + 0.0 AS lhs FROM g"
 TFIDF = (
     BASE
     + LENGTHS
     + """, z AS (SELECT doc_id, j, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM y), t AS (SELECT doc_id, j, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS x FROM z)"""
 )
-_TEXT_P = TFIDF + ", b AS (SELECT * FROM t UNION ALL SELECT doc_id, CAST(200 AS BIGINT), CAST(1 AS DOUBLE) FROM docs), p AS (SELECT a.j AS i, b.j AS j, round(sum(a.x * b.x * CASE WHEN b.j = 200 THEN 1.0 ELSE 1 - CAST(0.9 AS DOUBLE) END), 4) + 0.0 AS lhs FROM t a JOIN b USING (doc_id) GROUP BY ALL)"
 _CELLS = ", cells AS (SELECT i, j FROM (SELECT unnest(generate_series(0, {0})) AS i), (SELECT unnest(generate_series(0, {1})) AS j)) "
 SQL = {
     "gram_text": BASE + _CELLS.format(199, 199) + """, s AS (SELECT a.j AS i, b.j AS j, sum(a.tf * b.tf) AS s FROM x a JOIN x b USING (doc_id) GROUP BY ALL)
@@ -418,12 +351,72 @@ SQL = {
     "filter_w_topk": VEC + "SELECT i, j, CASE WHEN row_number() OVER (PARTITION BY i ORDER BY round(s, 6) DESC, j) <= 10 THEN round(s, 6) + 0.0 ELSE CAST(0 AS DOUBLE) END AS v FROM g",
     "filter_w_pos": VEC + "SELECT i, j, greatest(round(s, 6), 0) + 0.0 AS v FROM g",
     "filter_w_neg": VEC + "SELECT i, j, least(round(s, 6), 0) + 0.0 AS v FROM g",
-    "ridge_domain_clf": VEC + "SELECT j, round(sum(CASE WHEN src THEN -x ELSE x END), 4) + 0.0 AS lhs FROM e GROUP BY j",
-    "mda_solve": _TEXT_P + ", cell AS (SELECT i, j FROM (SELECT unnest(generate_series(0, 199)) AS i), (SELECT unnest(generate_series(0, 200)) AS j)) SELECT i, j, coalesce(lhs, 0) AS lhs FROM cell LEFT JOIN p USING (i, j)",
-    "mda_reduced_output": _TEXT_P + ", cell AS (SELECT i, j FROM (SELECT unnest(generate_series(0, 19)) AS i), (SELECT unnest(generate_series(0, 200)) AS j)) SELECT i, j, coalesce(lhs, 0) AS lhs FROM cell LEFT JOIN p USING (i, j)",
-    "mda_project": VEC
-    + """, p AS (SELECT i, j, round(s / 1000, 9) * (1 - CAST(0.9 AS DOUBLE)) AS p FROM g)
-    SELECT vec_id AS doc_id, i, round(tanh(sum(x * p)), 6) + 0.0 AS h FROM e JOIN p USING (j) GROUP BY ALL""",
 }
-SQL |= {k: _P for k in ("mda_nobias", "mda_domainreg")} | {k: _PA for k in ("reg_mda", "reg_tm", "reg_tcm", "reg_td", "reg_tdr", "reg_tdm", "reg_tdcm")}
-SQL |= {k: _PA for k in QUERIES if k.startswith("reg_") and k not in SQL and not k.endswith("_weights")}
+SQL |= {name: solver_sql.regularized(*how) for name, how in REGULARIZED.items()}
+
+
+def _total_and_side(x: solver_sql.Algebra, rows: str, target: str) -> tuple[str, str]:
+    """Columns of the sums of features and of those with the domain's sign, of rows (j, x and what ``target`` looks at)."""
+    return tuple(x.matrix(f"(SELECT j AS i, 0 AS j, sum({v}) AS v FROM {rows} GROUP BY j)") for v in ("x", f"CASE WHEN {target} THEN x ELSE -x END"))
+
+
+def _vector_sql(kind: str) -> str:
+    x = solver_sql.Algebra(solver_sql.VECTORS)
+    S = x.matrix("g", "s")
+    total, xd = _total_and_side(x, "e", "NOT src")
+    if kind == "ridge":
+        return x.query(f"SELECT j, w FROM ({x.rows(x.solve(x.ridged(S, ALPHA), xd), ('j', 'one'))})")
+    if kind == "domain":
+        return x.rows(x.domain_mapping(S, total, xd, NOISE, ALPHA, ETA, REG))
+    W = x.mapping(S, NOISE, REG, bias=False)
+    if kind == "plain":
+        return x.rows(W)
+    return x.query(_PROJECTED.format(W=W, rows="(SELECT vec_id AS doc_id, list(x ORDER BY j) AS v FROM e GROUP BY vec_id)"))
+
+
+_PROJECTED = """SELECT doc_id, CAST(generate_subscripts(h, 1) - 1 AS BIGINT) AS i, round(unnest(h), 6) + 0.0 AS h
+FROM (SELECT doc_id, list_transform(W.m, lambda r: tanh(list_dot_product(r, rows.v))) AS h FROM {rows} rows, {W} W)"""
+_ONE = "list_concat(v, [CAST(1 AS DOUBLE)])"
+
+
+def _stack_sql(layers: int, noise: float, reg: float, top: int | None) -> str:
+    """Layers of denoising with a bias over the vectors; ``top`` keeps the largest weights of each row."""
+    x = solver_sql.Algebra(solver_sql.VECTORS)
+    rows = x.table("SELECT vec_id AS doc_id, list(x ORDER BY j) AS v FROM e GROUP BY vec_id")
+    for _ in range(layers):
+        S = x.matrix(f"(SELECT a.i, b.i AS j, sum(a.x * b.x) AS v FROM (SELECT doc_id, generate_subscripts({_ONE}, 1) AS i, unnest({_ONE}) AS x FROM {rows}) a JOIN (SELECT doc_id, generate_subscripts({_ONE}, 1) AS i, unnest({_ONE}) AS x FROM {rows}) b USING (doc_id) GROUP BY ALL)")
+        W = x.mapping(S, noise, reg, bias=True)
+        if top:
+            W = x.table(f"SELECT list_transform(m, lambda r: list_transform(r, lambda y: CASE WHEN y >= list_sort(r, 'DESC')[{top}] THEN y ELSE CAST(0 AS DOUBLE) END)) AS m FROM {W}")
+        rows = x.table(f"SELECT doc_id, list_transform(W.m, lambda r: tanh(list_dot_product(r, {_ONE}))) AS v FROM {rows}, {W} W")
+    return x.query(f"SELECT doc_id, CAST(generate_subscripts(v, 1) - 1 AS BIGINT) AS i, round(unnest(v), 6) + 0.0 AS h FROM {rows}")
+
+
+def _text_sql(outputs: int | None = None, domains: bool = False) -> str:
+    """Over TF-IDF of the reviews: W of denoising with a bias, or the hidden features of the domain-regularized one of two domains."""
+    on = f"domain IN ('{SOURCE}', '{TARGET}')" if domains else "true"
+    x = solver_sql.Algebra(TFIDF)
+    d = x.table(f"SELECT doc_id, domain FROM docs WHERE {on}")
+    every = x.table(f"SELECT doc_id, domain, j, x FROM t JOIN {d} USING (doc_id)" + ("" if domains else f" UNION ALL SELECT doc_id, domain, CAST({WORDS} AS BIGINT), CAST(1 AS DOUBLE) FROM {d}"))
+    n = WORDS - 1 if domains else WORDS
+    cells = x.table(f"SELECT i, j FROM (SELECT unnest(generate_series(0, {n})) AS i), (SELECT unnest(generate_series(0, {n})) AS j)")
+    S = x.matrix(f"(SELECT i, j, coalesce(v, CAST(0 AS DOUBLE)) AS v FROM {cells} LEFT JOIN (SELECT a.j AS i, b.j AS j, sum(a.x * b.x) AS v FROM {every} a JOIN {every} b USING (doc_id) GROUP BY ALL) USING (i, j))")
+    if not domains:
+        return x.rows(x.mapping(S, NOISE, REG, True, outputs))
+    zero = f"(SELECT j, domain, x FROM {every} UNION ALL SELECT DISTINCT j, '{SOURCE}', CAST(0 AS DOUBLE) FROM {cells})"
+    W = x.domain_mapping(S, *_total_and_side(x, zero, f"domain = '{TARGET}'"), NOISE, ALPHA, ETA, REG)
+    full = f"(SELECT doc_id, list(coalesce(x, CAST(0 AS DOUBLE)) ORDER BY j) AS v FROM (SELECT doc_id, j FROM {d}, (SELECT DISTINCT j FROM {cells})) LEFT JOIN {every} USING (doc_id, j) GROUP BY doc_id)"
+    return x.query(_PROJECTED.format(W=W, rows=full))
+
+
+SQL |= {
+    "ridge_domain_clf": _vector_sql("ridge"),
+    "mda_nobias": _vector_sql("plain"),
+    "mda_domainreg": _vector_sql("domain"),
+    "mda_project": _vector_sql("project"),
+    "msda_stack": _stack_sql(3, 0.5, 1e-5, None),
+    "filter_w_project": _stack_sql(1, 0.5, 1e-2, 10),
+    "mda_solve": _text_sql(),
+    "mda_reduced_output": _text_sql(20),
+    "flagship": _text_sql(domains=True),
+}

@@ -293,12 +293,24 @@ FROM h GROUP BY line_id, token, lab
 _STOP = ", ".join(f"'{w}'" for w in vocabulary.STOP_WORDS)
 
 
-def _values(rows: list[tuple]) -> str:
-    return ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else f"'{v}'" for v in r) + ")" for r in rows)
-
-
-_NEWS = [(k, *(reversed(p.split("_vs_")) if k % 2 else p.split("_vs_")), "all") for k in range(12) for p in [list(newsgroups.CATEGORIES)[k // 2]]]
-_CATS = [(p, side, 1 - k, c) for p, sides in newsgroups.CATEGORIES.items() for side, lists in sides.items() for k, cs in enumerate(lists) for c in cs]
+_NEWS = """SELECT * FROM (VALUES
+(0, 'comp', 'sci', 'all'), (1, 'sci', 'comp', 'all'), (2, 'rec', 'talk', 'all'), (3, 'talk', 'rec', 'all'), (4, 'rec', 'sci', 'all'), (5, 'sci', 'rec', 'all'),
+(6, 'sci', 'talk', 'all'), (7, 'talk', 'sci', 'all'), (8, 'comp', 'rec', 'all'), (9, 'rec', 'comp', 'all'), (10, 'comp', 'talk', 'all'), (11, 'talk', 'comp', 'all')) v(task_id, source, target, size)"""
+_CATEGORIES = """
+WITH v AS (SELECT * FROM (VALUES
+('comp_vs_sci', 'source', 1, 'comp.graphics comp.os.ms-windows.misc'), ('comp_vs_sci', 'source', 0, 'sci.crypt sci.electronics'),
+('comp_vs_sci', 'target', 1, 'comp.sys.ibm.pc.hardware comp.sys.mac.hardware comp.windows.x'), ('comp_vs_sci', 'target', 0, 'sci.med sci.space'),
+('rec_vs_talk', 'source', 1, 'rec.autos rec.motorcycles'), ('rec_vs_talk', 'source', 0, 'talk.politics.guns talk.politics.misc'),
+('rec_vs_talk', 'target', 1, 'rec.sport.baseball rec.sport.hockey'), ('rec_vs_talk', 'target', 0, 'talk.politics.mideast talk.religion.misc'),
+('rec_vs_sci', 'source', 1, 'sci.space sci.med'), ('rec_vs_sci', 'source', 0, 'rec.autos rec.sport.baseball'),
+('rec_vs_sci', 'target', 1, 'sci.crypt sci.electronics'), ('rec_vs_sci', 'target', 0, 'rec.sport.hockey rec.motorcycles'),
+('sci_vs_talk', 'source', 1, 'sci.electronics sci.med'), ('sci_vs_talk', 'source', 0, 'talk.politics.misc talk.religion.misc'),
+('sci_vs_talk', 'target', 1, 'sci.crypt sci.space'), ('sci_vs_talk', 'target', 0, 'talk.politics.guns talk.politics.mideast'),
+('comp_vs_rec', 'source', 1, 'comp.graphics comp.sys.ibm.pc.hardware comp.sys.mac.hardware'), ('comp_vs_rec', 'source', 0, 'rec.sport.hockey rec.motorcycles'),
+('comp_vs_rec', 'target', 1, 'comp.os.ms-windows.misc comp.windows.x'), ('comp_vs_rec', 'target', 0, 'rec.autos rec.sport.baseball'),
+('comp_vs_talk', 'source', 1, 'comp.graphics comp.windows.x comp.sys.mac.hardware'), ('comp_vs_talk', 'source', 0, 'talk.politics.mideast talk.politics.misc'),
+('comp_vs_talk', 'target', 1, 'comp.os.ms-windows.misc comp.sys.ibm.pc.hardware'), ('comp_vs_talk', 'target', 0, 'talk.politics.guns talk.politics.misc')) v(pair, side, cls, cats))
+SELECT pair, side, cls, unnest(string_split(cats, ' ')) AS category FROM v"""
 SQL = {name: weight_sql(code) for code, name in enumerate(TW_NAMES)} | {
     "token_counts": BASE + "SELECT doc_id, token, tf FROM counts",
     "review_line_parse": _LINES,
@@ -344,8 +356,8 @@ SELECT doc_id, length(array_to_string(CASE WHEN k > 0 AND len(l) > k THEN l[1:le
     "task_registry_reviews": """
 WITH d AS (SELECT * FROM (VALUES (0, 'dvd'), (1, 'books'), (2, 'kitchen'), (3, 'electronics')) v(k, name)), z AS (SELECT * FROM (VALUES ('all'), ('small')) v(size))
 SELECT CAST(row_number() OVER (ORDER BY size, s.k, t.k) - 1 AS INTEGER) AS task_id, s.name AS source, t.name AS target, size FROM d s, d t, z WHERE s.k <> t.k""",
-    "task_registry_news": f"SELECT * FROM (VALUES {_values(_NEWS)}) v(task_id, source, target, size)",
-    "news_categories": f"SELECT * FROM (VALUES {_values(_CATS)}) v(pair, side, cls, category)",
+    "task_registry_news": _NEWS,
+    "news_categories": _CATEGORIES,
     "hyper_grid": f"""
 SELECT CAST(alpha AS DOUBLE) AS alpha, CAST(eta AS DOUBLE) AS eta, round(eta / (1 - eta / (1 + alpha)), 6) + 0.0 AS factor
 FROM (SELECT CAST(unnest({list(tasks.ALPHAS)}) AS DOUBLE) AS alpha), (SELECT CAST(unnest({list(tasks.ETAS)}) AS DOUBLE) AS eta)""",

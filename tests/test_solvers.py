@@ -147,3 +147,17 @@ def test_projection_stack_and_latent(spark):
     assert denoise.filtered(np.array([[1.0, 3, 2]]), "top", 2).tolist() == [[0, 3, 2]]
     with pytest.raises(ValueError):
         denoise.project(rows, W, 3, "softmax")
+
+
+TERMS = {"td_eta": ("TD", "TDr", "TDM", "TDCM", "TDCW", "TDFW", "TDWC"), "tm_lambda": ("TM", "TCM", "TDM", "TDCM", "TMCW", "TMFW", "TCMCW", "TCMFW", "TMWC", "TCMWC"), "tc_gamma": [m for m in METHODS if "W" in m], "noise": METHODS}
+
+
+@pytest.mark.parametrize("name", sorted(TERMS))
+def test_weights_show_every_term_to_the_places_queries_print(spark, name):
+    """The queries print W to six places; each term of a method changes what they print."""
+    from corpusloom import queries_dense
+
+    m = queries_dense.vector_moments(spark, "/root/testdata/sf0.001")
+    for method in TERMS[name]:
+        one, two = (np.round(solve(method, m, p, iterate=True)[0], 6) for p in (Params(), Params(**{name: getattr(Params(), name) * 0.9})))
+        assert (one != two).mean() > 0.5, method
