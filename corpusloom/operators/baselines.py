@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.operators.denoise import project
-from corpusloom.operators.moments import Moments, moments
+from corpusloom.operators.moments import Moments, ids, moments
 
 TINY = 1e-8
 
@@ -41,9 +41,9 @@ def unit(rows: DataFrame) -> DataFrame:
 
 def beside(rows: DataFrame, more: DataFrame, offset: int, gamma: float = 1.0, key: str = "doc_id") -> DataFrame:
     """``rows`` with the features of ``more`` renumbered from ``offset`` and scaled by gamma."""
-    added = more.select(key, F.transform("js", lambda j: j + offset).alias("_j"), F.transform("xs", lambda x: x * gamma).alias("_x"))
+    added = more.select(key, F.transform(ids(), lambda j: j + offset).alias("_j"), F.transform("xs", lambda x: x * gamma).alias("_x"))
     both = rows.join(added, key)
-    return both.withColumn("js", F.concat("js", "_j")).withColumn("xs", F.concat("xs", "_x")).drop("_j", "_x")
+    return both.withColumn("js", F.concat(ids(), "_j")).withColumn("xs", F.concat("xs", "_x")).drop("_j", "_x")
 
 
 def domain_information(presence: DataFrame, n_source: int, n_target: int) -> DataFrame:

@@ -1,25 +1,34 @@
-"""Logistic regression with cross-validated strength, all fits of a grid in the same scans.
+"""Logistic regression with cross-validated strength, all fits of a grid together.
 
-The objective is C times the log loss plus half the squared weights, the intercept included. Newton's method needs a
-gradient and a Hessian per model; one scan of the feature rows sums those of all models (strengths, folds and
-classes) at once, so a grid search takes as many scans as one fit takes rounds. Several classes are fitted one against the rest.
+The objective is C times the log loss plus half the squared weights, the intercept included. All models (strengths, folds and
+classes) advance in step by L-BFGS, which needs only their gradients; several classes are fitted one against the rest. There are two plans
+for the same minimisation, and both end at the same relative gradient or fail:
+
+* up to ``most_local`` numbers of labelled features (rows times features, counted), rows go to every executor and tasks share the models;
+* beyond that, rows stay where they are, and one scan sums the gradients of all models.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.operators.moments import block, slices
+from corpusloom.plans.blas import single_thread
 from corpusloom.plans.partial import Batches, summed
 from corpusloom.plans.session import cut
 
 #: The strengths that are tried.
 STRENGTHS = (1e-4, 1e-3, 0.1, 1.0, 10.0)
-ROUNDS = 12
+#: Steps of L-BFGS that are remembered, the gradient at its end as a share of that at its start, rounds after which it fails.
+MEMORY, TOLERANCE, ROUNDS = 10, 1e-4, 1000
+#: Numbers (rows times features) that are sent to every executor: 96 MB.
+MOST_LOCAL = 12_000_000
 
 
 @dataclass
@@ -57,85 +66,179 @@ class Classifier:
 
 
 def folds(rows: DataFrame, k: int) -> DataFrame:
-    """``rows`` with ``fold``, spread evenly within each label by document id."""
-    place = F.row_number().over(Window.partitionBy("label").orderBy("doc_id"))
-    return rows.withColumn("fold", (place % k).cast("int"))
-
+    """``rows`` with ``fold``, by a hash of the document id."""
+    return rows.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(k)).cast("int"))
 
-def newton(rows: DataFrame, d: int, listed: list, models: list[tuple[float, int]]) -> np.ndarray:
-    """Weights (models, classes or 1, d + 1) of models (strength, fold left out or -1)."""
-    heads = listed[1:] if len(listed) == 2 else listed
-    m, c = d + 1, len(heads)
-    W = np.zeros((len(models), c, m))
-    best, back = np.full((len(models), c), np.inf), W.copy()
-    one = m * m + m + 1
 
+@dataclass
+class Problems:
+    """Binary fits: of each its strength, the fold it leaves out (or -1) and the class it sets against the others."""
+
+    strength: np.ndarray
+    left: np.ndarray
+    head: np.ndarray
+
+    def some(self, at: list[int]) -> Problems:
+        return Problems(self.strength[at], self.left[at], self.head[at])
+
+    def gradients(self, x: np.ndarray, label: np.ndarray, fold: np.ndarray, W: np.ndarray) -> np.ndarray:
+        """(problems, features + 1): gradients of the log loss and, last, the loss itself, added up over rows."""
+        on = fold[:, None] != self.left[None, :]
+        y = label[:, None] == self.head[None, :]
+        z = x @ W.T
+        error = (1 / (1 + np.exp(-np.clip(z, -700, 700))) - y) * on
+        return np.c_[error.T @ x, ((np.logaddexp(0, z) - y * z) * on).sum(axis=0)]
+
+
+class Descent:
+    """L-BFGS of one problem: ``trial`` is the point whose value and gradient it wants to be told next."""
+
+    def __init__(self, m: int) -> None:
+        self.trial, self.w, self.done = np.zeros(m), None, False
+        self.pairs: list[tuple[np.ndarray, np.ndarray, float]] = []
+
+    def tell(self, f: float, g: np.ndarray) -> None:
+        if self.w is None:
+            self.least = TOLERANCE * float(np.sqrt(g @ g))
+        else:
+            slope = float(self.g @ self.p)
+            if not f <= self.f + 1e-4 * self.step * slope:  # too far: to the least of the parabola, or a tenth
+                if self.step < 1e-12:
+                    raise ArithmeticError("the classifier's line search found no descent")
+                bend = f - self.f - self.step * slope
+                self.step *= min(max(-slope * self.step / (2 * bend), 0.1), 0.5) if np.isfinite(bend) and bend > 0 else 0.1
+                self.trial = self.w + self.step * self.p
+                return
+            s, y = self.trial - self.w, g - self.g
+            if s @ y > 1e-12 * np.sqrt((s @ s) * (y @ y)):
+                self.pairs = [*self.pairs[1 - MEMORY :], (s, y, 1 / float(s @ y))]
+        self.w, self.f, self.g = self.trial, f, g
+        norm = float(np.sqrt(g @ g))
+        if norm <= self.least:
+            self.done = True
+            return
+        q, back = g.copy(), []
+        for s, y, r in reversed(self.pairs):
+            back.append(r * float(s @ q))
+            q -= back[-1] * y
+        if self.pairs:
+            s, y, r = self.pairs[-1]
+            q *= 1 / (r * float(y @ y))
+        for (s, y, r), c in zip(self.pairs, reversed(back)):
+            q += (c - r * float(y @ q)) * s
+        self.p, self.step = -q, 1.0 if self.pairs else 1 / norm
+        self.trial = self.w + self.step * self.p
+
+
+def minimise(problems: Problems, m: int, evaluate: Callable[[Problems, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Weights (problems, m); ``evaluate`` gives ``gradients`` over all rows of the problems that still run."""
+    each = [Descent(m) for _ in problems.left]
     for _ in range(ROUNDS):
-        now = W.copy()
+        at = [k for k, x in enumerate(each) if not x.done]
+        if not at:
+            return np.stack([x.w for x in each])
+        W = np.stack([each[k].trial for k in at])
+        for k, w, out in zip(at, W, evaluate(problems.some(at), W)):
+            c = float(problems.strength[k])
+            each[k].tell(c * out[-1] + 0.5 * float(w @ w), c * out[:-1] + w)
+    raise ArithmeticError(f"the classifier did not converge in {ROUNDS} rounds")
+
+
+def right(models: list[Classifier], left: np.ndarray, x: np.ndarray, label: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """(models, 2): rows of the fold that each model leaves out which it gets right, and all of them."""
+    out = np.zeros((len(models), 2))
+    for i, (model, k) in enumerate(zip(models, left)):
+        on = fold == k
+        if on.any():
+            out[i] = (np.array(model.classes)[model.scores(x[on]).argmax(axis=1)] == label[on]).sum(), on.sum()
+    return out
+
+
+def _matrix(batch: pa.RecordBatch, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return block(batch, d, True), batch.column("label").to_numpy(), batch.column("fold").to_numpy()
+
+
+def _of(models: list[tuple[float, int]], heads: list) -> Problems:
+    every = [(s, left, h) for s, left in models for h in heads]
+    return Problems(np.array([e[0] for e in every]), np.array([e[1] for e in every]), np.array([e[2] for e in every]))
+
+
+def _heads(listed: list) -> list:
+    """The classes that are set against the others: one of two."""
+    if len(listed) < 2:
+        raise ValueError("a classifier needs rows of at least two classes")
+    return listed[1:] if len(listed) == 2 else listed
 
-        def partial(batches: Batches, now: np.ndarray = now) -> np.ndarray:
-            out = np.zeros((len(models), c, one))
+
+def _by_scans(ready: DataFrame, d: int, models: list[tuple[float, int]]) -> tuple[list, np.ndarray, np.ndarray]:
+    ready = cut(ready.drop("doc_id"))
+    listed = sorted(r[0] for r in ready.select("label").distinct().collect())
+    heads = _heads(listed)
+
+    def over(width: tuple[int, int], add: Callable[..., np.ndarray]) -> np.ndarray:
+        def partial(batches: Batches) -> np.ndarray:
+            out = np.zeros(width)
             for whole in batches:
                 for batch in slices(whole, d):
-                    x, fold = block(batch, d, True), batch.column("fold").to_numpy()
-                    label = batch.column("label").to_numpy()
-                    for k, (_, left) in enumerate(models):
-                        on = fold != left
-                        xs = x[on]
-                        for j, head in enumerate(heads):
-                            y = (label[on] == head).astype(float)
-                            z = xs @ now[k, j]
-                            p = 1 / (1 + np.exp(-z))
-                            out[k, j, : m * m] += ((xs * (p * (1 - p))[:, None]).T @ xs).reshape(-1)
-                            out[k, j, m * m : -1] += xs.T @ (p - y)
-                            out[k, j, -1] += (np.logaddexp(0, z) - y * z).sum()
+                    out += add(*_matrix(batch, d))
             return out.reshape(-1)
 
-        s = summed(rows, partial, W.size // m * one).reshape(len(models), c, one)
-        moved = 0.0
-        for k, (strength, _) in enumerate(models):
-            for j in range(c):
-                loss = strength * s[k, j, -1] + 0.5 * W[k, j] @ W[k, j]
-                if loss > best[k, j] + 1e-12 * abs(best[k, j]):
-                    W[k, j] = (W[k, j] + back[k, j]) / 2  # a step too far: half of it
-                    moved = 1.0
-                    continue
-                best[k, j], back[k, j] = loss, W[k, j].copy()
-                step = np.linalg.solve(strength * s[k, j, : m * m].reshape(m, m) + np.eye(m), strength * s[k, j, m * m : -1] + W[k, j])
-                W[k, j] -= step
-                moved = max(moved, float(np.abs(step).max()))
-        if moved < 1e-6:
-            break
-    return W
-
-
-def cross_validated(rows: DataFrame, d: int, k: int = 5, strengths: tuple = STRENGTHS) -> tuple[Classifier, float, float]:
-    """(classifier fitted on all labelled rows with the best strength, that strength, its mean accuracy over the folds).
+        return summed(ready, partial, width[0] * width[1]).reshape(width)
 
-    Of equal strengths the smaller one is taken. ``rows`` are feature rows with a label that is neither null nor -1.
-    """
-    ready = cut(folds(rows.where("label > -1"), k).select("label", "fold", "js", "xs"))
-    listed = sorted(r[0] for r in ready.select("label").distinct().collect())
-    if len(listed) < 2:
-        raise ValueError("a classifier needs rows of at least two classes")
-    models = [(s, f) for s in strengths for f in (*range(k), -1)] if len(strengths) > 1 else [(strengths[0], -1)]
-    W = newton(ready, d, listed, models)
-    if len(models) == 1:
-        return Classifier(W[0], listed, d), strengths[0], float("nan")
-    tried = [Classifier(w, listed, d) for w in W]
-
-    def hits(batches: Batches) -> np.ndarray:
-        out = np.zeros((len(models), 2))
+    W = minimise(_of(models, heads), d + 1, lambda some, W: over((len(W), d + 2), lambda x, label, fold: some.gradients(x, label, fold, W)))
+    W = W.reshape(len(models), len(heads), d + 1)
+    fitted, left = [Classifier(w, listed, d) for w in W], np.array([f for _, f in models])
+    return listed, W, over((len(models), 2), lambda x, label, fold: right(fitted, left, x, label, fold))
+
+
+def _by_models(ready: DataFrame, d: int, models: list[tuple[float, int]]) -> tuple[list, np.ndarray, np.ndarray]:
+    def dense(batches: Batches) -> Batches:
         for whole in batches:
             for batch in slices(whole, d):
-                x, fold, label = block(batch, d, True), batch.column("fold").to_numpy(), batch.column("label").to_numpy()
-                for i, (_, left) in enumerate(models):
-                    on = fold == left
-                    if on.any():
-                        out[i] += (np.array(listed)[tried[i].scores(x[on]).argmax(axis=1)] == label[on]).sum(), on.sum()
-        return out.reshape(-1)
-
-    right = summed(ready, hits, 2 * len(models)).reshape(-1, 2)
-    means = [np.mean([right[i, 0] / max(right[i, 1], 1) for i, (s, f) in enumerate(models) if s == strength and f >= 0]) for strength in strengths]
+                x, label, fold = _matrix(batch, d)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(label), pa.array(fold)], names=["doc_id", "x", "label", "fold"])
+
+    spark = ready.sparkSession
+    got = ready.mapInArrow(dense, f"doc_id {ready.schema['doc_id'].dataType.simpleString()}, x binary, label int, fold int").toArrow()
+    order = pa.compute.sort_indices(got.column("doc_id"))  # whatever the order of arrival, the same sums
+    x = np.frombuffer(b"".join(v.as_py() for v in got.column("x")), float).reshape(-1, d + 1)[order]
+    label, fold = (got.column(c).to_numpy()[order] for c in ("label", "fold"))
+    listed = np.unique(label).tolist()
+    heads, sent = _heads(listed), spark.sparkContext.broadcast((x, label, fold))
+
+    def fit(batches: Batches) -> Batches:
+        single_thread()
+        x, label, fold = sent.value
+        own = [k for batch in batches for k in batch.column(0).to_pylist()]
+        if not own:
+            return
+        mine = [models[k] for k in own]
+        W = minimise(_of(mine, heads), d + 1, lambda some, W: some.gradients(x, label, fold, W)).reshape(len(mine), len(heads), d + 1)
+        hits = right([Classifier(w, listed, d) for w in W], np.array([f for _, f in mine]), x, label, fold)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([w.tobytes() for w in W], pa.binary()), pa.array(hits[:, 0]), pa.array(hits[:, 1])], names=["k", "w", "hit", "n"])
+
+    tasks = min(len(models), spark.sparkContext.defaultParallelism)
+    out = spark.range(0, len(models), 1, tasks).mapInArrow(fit, "k long, w binary, hit double, n double").toArrow().sort_by("k")
+    W = np.frombuffer(b"".join(v.as_py() for v in out.column("w")), float).reshape(len(models), len(heads), d + 1)
+    return listed, W, np.stack([out.column("hit").to_numpy(), out.column("n").to_numpy()], axis=1)
+
+
+def cross_validated(
+    rows: DataFrame, d: int, k: int = 5, strengths: tuple = STRENGTHS, n: int | None = None, most_local: int = MOST_LOCAL
+) -> tuple[Classifier, float, float]:
+    """(classifier fitted on all labelled rows with the best strength, that strength, its mean accuracy over the folds).
+
+    Of equal strengths the smaller one is taken. Rows whose label is null or -1 are left out; ``n`` may say how many are left, which
+    saves counting them. A fold without rows is left out of the mean.
+    """
+    known = rows.where("label > -1")
+    n = known.count() if n is None else n
+    ready = folds(known, k).select("doc_id", F.col("label").cast("int").alias("label"), "fold", "js", "xs")
+    models = [(s, f) for s in strengths for f in (*range(k), -1)]
+    listed, W, hits = (_by_models if n * (d + 1) <= most_local else _by_scans)(ready, d, models)
+    means = []
+    for s in strengths:
+        own = [hits[i, 0] / hits[i, 1] for i, (t, f) in enumerate(models) if t == s and f >= 0 and hits[i, 1]]
+        means.append(float(np.mean(own)) if own else 0.0)
     best = int(np.argmax(means))
-    return tried[models.index((strengths[best], -1))], strengths[best], float(means[best])
+    return Classifier(W[models.index((strengths[best], -1))], listed, d), strengths[best], means[best]

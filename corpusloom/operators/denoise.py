@@ -111,7 +111,7 @@ def project(rows: DataFrame, W: np.ndarray, d: int, layer: str | int = "tanh", b
             for batch in slices(whole, d):
                 h = f(block(batch, d, bias) @ sent.value)
                 offsets = pa.array(np.arange(len(h) + 1, dtype=np.int32) * h.shape[1])
-                js = pa.ListArray.from_arrays(offsets, pa.array(np.tile(np.arange(h.shape[1]), len(h))))
+                js = pa.ListArray.from_arrays(pa.array(np.zeros(len(h) + 1, np.int32)), pa.array([], pa.int64()))
                 xs = pa.ListArray.from_arrays(offsets, pa.array(h.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), js, xs], names=[*others, "js", "xs"])
 

@@ -10,22 +10,34 @@ from pyspark.sql import DataFrame, functions as F
 from corpusloom.functions import metrics
 from corpusloom.operators import baselines, denoise
 from corpusloom.operators.classify import STRENGTHS, Classifier, cross_validated
-from corpusloom.operators.moments import moments
+from corpusloom.operators.moments import ids, moments
 from corpusloom.plans.session import cut
 from corpusloom.plans.tasks import ALPHAS, ETAS
 
 
 @dataclass
 class Corpus:
-    """A source with labels and a target whose labels, if any, are used for scores only; all rows have features 0 .. d - 1."""
+    """A source with labels and a target; all rows have features 0 .. d - 1. Labels of the target are used for scores only, unless
+    ``semi_supervised`` takes the labelled target rows into training."""
 
     source: DataFrame
     target: DataFrame
     d: int
+    semi_supervised: bool = False
+    counted: int | None = None
 
     def all(self) -> DataFrame:
         return self.source.unionByName(self.target)
 
+    def training(self) -> DataFrame:
+        """The rows that classifiers learn from."""
+        return (self.all() if self.semi_supervised else self.source).where("label > -1")
+
+    def n_training(self) -> int:
+        if self.counted is None:
+            self.counted = self.training().count()
+        return self.counted
+
     def has_target_labels(self) -> bool:
         return not self.target.where("label > -1").isEmpty()
 
@@ -44,8 +56,8 @@ class Adapter:
         return self.corpus.d
 
     def fit(self) -> Adapter:
-        labelled = self.corpus.source.where("label > -1")  # before they are transformed; cross-validation takes no others
-        self.classifier, self.strength, self.cv_score = cross_validated(self.transform(labelled), self.width(), self.cv, self.strengths)
+        labelled = self.corpus.training()  # before they are transformed
+        self.classifier, self.strength, self.cv_score = cross_validated(self.transform(labelled), self.width(), self.cv, self.strengths, self.corpus.n_training())
         return self
 
     def predict(self, rows: DataFrame) -> DataFrame:
@@ -154,7 +166,7 @@ class AlignedAdapter(Adapter):
 
 def document_frequencies(rows: DataFrame) -> DataFrame:
     """(j, df): rows with a non-zero value of each feature."""
-    e = rows.select(F.explode(F.arrays_zip("js", "xs")).alias("e")).where("e.xs <> 0")
+    e = rows.select(F.explode(F.arrays_zip(ids().alias("js"), "xs")).alias("e")).where("e.xs <> 0")
     return e.groupBy(F.col("e.js").alias("j")).agg(F.count("*").alias("df"))
 
 
@@ -189,8 +201,8 @@ def transduce(scored: DataFrame, d: int, n_classes: int, noise: float = 0.9, reg
     """
     many = 1 if n_classes == 2 else n_classes
     shown = F.slice("probability", 2, 1) if many == 1 else F.col("probability")
-    ids = F.array(*[F.lit(d + k).cast("bigint") for k in range(many)])
-    rows = cut(scored.withColumn("js", F.concat("js", ids)).withColumn("xs", F.concat("xs", shown)))
+    added = F.array(*[F.lit(d + k).cast("bigint") for k in range(many)])
+    rows = cut(scored.withColumn("js", F.concat(ids(), added)).withColumn("xs", F.concat("xs", shown)))
     S = moments(rows, d + many, [], bias=True).total()[2]
     W = denoise.mapping(S, noise, reg, outputs=np.arange(d, d + many))
     h = denoise.project(rows, W, d + many, layer, bias=True)

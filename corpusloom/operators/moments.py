@@ -1,6 +1,7 @@
 """First and second moments of feature rows by group: what every closed-form solver needs.
 
-Feature rows are documents with sparse arrays ``js`` (feature ids) and ``xs`` (values). One scan gives, for each group
+Feature rows are documents with sparse arrays ``js`` (feature ids) and ``xs`` (values); with ``js`` empty, ``xs`` are the values of
+features 0, 1, ... One scan gives, for each group
 (such as domain and class), the number of documents, the sums of features and the second-moment (Gram)
 matrix. Each Arrow batch becomes a dense block whose product with itself is added up in its task; tasks send one
 vector of fixed size, so there is no shuffle of feature pairs and no group is ever gathered.
@@ -12,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.plans.blas import single_thread
 from corpusloom.plans.partial import Batches, summed
@@ -20,6 +21,8 @@ from corpusloom.plans.partial import Batches, summed
 #: More features than this need another representation than a dense matrix on the driver.
 WIDEST = 5000
 BLOCK = 2048
+#: Groups (values of the keys, such as domain and class) that moments are taken of.
+MOST_GROUPS = 1000
 
 
 def feature_rows(docs: DataFrame, x: DataFrame) -> DataFrame:
@@ -32,16 +35,25 @@ def feature_rows(docs: DataFrame, x: DataFrame) -> DataFrame:
 def dense_rows(df: DataFrame, column: str) -> DataFrame:
     """Rows of an array column as feature rows; a null array is a row of zeros."""
     xs = F.coalesce(F.col(column).cast("array<double>"), F.array().cast("array<double>"))
-    js = F.when(F.size(xs) > 0, F.sequence(F.lit(0).cast("bigint"), (F.size(xs) - 1).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
-    return df.withColumn("js", js).withColumn("xs", xs)
+    return df.withColumn("js", F.array().cast("array<bigint>")).withColumn("xs", xs)
+
+
+def ids() -> Column:
+    """The ids of a row's features, whether ``js`` names them or not."""
+    dense = (F.size("js") == 0) & (F.size("xs") > 0)
+    return F.when(dense, F.sequence(F.lit(0).cast("bigint"), (F.size("xs") - 1).cast("bigint"))).otherwise(F.col("js"))
 
 
 def block(batch: pa.RecordBatch, d: int, bias: bool = False) -> np.ndarray:
     """The features of a batch as a dense matrix, with a last column of ones for a bias."""
     js, xs = batch.column("js"), batch.column("xs")
     out = np.zeros((batch.num_rows, d + bias))
-    row = np.repeat(np.arange(batch.num_rows), js.value_lengths().to_numpy(zero_copy_only=False))
-    out[row, js.flatten().to_numpy()] = xs.flatten().to_numpy()
+    size, named = (c.value_lengths().to_numpy(zero_copy_only=False) for c in (xs, js))
+    row = np.repeat(np.arange(batch.num_rows), size)
+    value = xs.flatten().to_numpy()
+    at = np.arange(len(value)) - np.repeat(np.cumsum(size) - size, size)
+    at[np.repeat(named > 0, size)] = js.flatten().to_numpy()
+    out[row, at] = value
     if bias:
         out[:, d] = 1.0
     return out
@@ -77,27 +89,36 @@ def moments(rows: DataFrame, d: int, keys: list[str], bias: bool = False) -> Mom
     """Moments of feature rows by the values of the ``keys`` columns, which have few distinct values."""
     if d > WIDEST:
         raise ValueError(f"{d} features; the solvers hold matrices of at most {WIDEST} features")
-    groups = [tuple(r) for r in rows.select(*keys).distinct().collect()] if keys else [()]
     single_thread()
-    groups.sort(key=lambda g: tuple((x is None, x) for x in g))
+    groups = [()]
+    if keys:
+        found = rows.select(*keys).distinct().limit(MOST_GROUPS + 1).collect()
+        if len(found) > MOST_GROUPS:
+            raise ValueError(f"more than {MOST_GROUPS} groups of {keys}")
+        groups = sorted((tuple(r) for r in found), key=lambda g: tuple((x is None, x) for x in g))
     number, m = {g: k for k, g in enumerate(groups)}, d + bias
-    one = m * m + m + 1
+    upper = np.triu_indices(m)
+    one = len(upper[0]) + m + 1
 
     def partial(batches: Batches) -> np.ndarray:
-        out = np.zeros((len(groups), one))
+        S, s, n = np.zeros((len(groups), m, m)), np.zeros((len(groups), m)), np.zeros(len(groups))
         for whole in batches:
             for batch in slices(whole, d):
                 x = block(batch, d, bias)
                 own = np.array([number[g] for g in zip(*[batch.column(k).to_pylist() for k in keys])] if keys else [0] * len(x), np.int64)
                 for k in np.unique(own):
                     part = x[own == k]
-                    out[k, : m * m] += (part.T @ part).reshape(-1)
-                    out[k, m * m : -1] += part.sum(axis=0)
-                    out[k, -1] += len(part)
-        return out.reshape(-1)
+                    S[k] += part.T @ part
+                    s[k] += part.sum(axis=0)
+                    n[k] += len(part)
+        return np.concatenate([np.r_[S[k][upper], s[k], n[k]] for k in range(len(groups))])
 
     all_ = summed(rows.select(*keys, "js", "xs"), partial, len(groups) * one).reshape(len(groups), one)
-    return Moments(groups, all_[:, -1], all_[:, m * m : -1], all_[:, : m * m].reshape(-1, m, m))
+    S = np.zeros((len(groups), m, m))
+    for k in range(len(groups)):
+        S[k][upper] = all_[k, : len(upper[0])]
+        S[k] += np.triu(S[k], 1).T
+    return Moments(groups, all_[:, -1], all_[:, len(upper[0]) : -1], S)
 
 
 def mean_gap(m: Moments, one, two) -> np.ndarray:  # noqa: ANN001

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import metrics
 from corpusloom.operators import estimators
-from corpusloom.operators.classify import cross_validated
+from corpusloom.operators.classify import STRENGTHS, TOLERANCE, cross_validated
 from corpusloom.operators.moments import dense_rows
 
 RNG = np.random.default_rng(3)
@@ -19,12 +19,45 @@ def corpus(spark, classes=2, n=160, d=5):
     return estimators.Corpus(rows.where("doc_id < 80"), rows.where("doc_id >= 80"), d), x, y
 
 
-def test_newton_reaches_the_optimum(spark):
+@pytest.mark.parametrize("most_local", [0, 10**9])
+def test_gradients_end_where_the_optimum_is(spark, most_local):
     c, x, y = corpus(spark)
-    model, _, _ = cross_validated(c.source, c.d, 2, (0.5,))
-    w, xs, ys = model.weights[0], np.c_[x[:80], np.ones(80)], y[:80]
-    gradient = 0.5 * xs.T @ (1 / (1 + np.exp(-xs @ w)) - ys) + w
-    assert np.abs(gradient).max() < 1e-4
+    xs, ys = np.c_[x[:80], np.ones(80)], y[:80]
+    for strength in (1e-4, 0.5, 10.0):
+        model, best, score = cross_validated(c.source, c.d, 2, (strength,), most_local=most_local)
+        w = model.weights[0]
+        at = lambda w: strength * xs.T @ (1 / (1 + np.exp(-xs @ w)) - ys) + w  # noqa: E731, B023
+        assert np.linalg.norm(at(w)) <= 1.001 * TOLERANCE * np.linalg.norm(at(0 * w))
+        assert best == strength and 0 <= score <= 1
+
+
+@pytest.mark.parametrize("classes", [2, 4])
+def test_both_plans_fit_the_same_models(spark, classes):
+    c, _, _ = corpus(spark, classes)
+    one, two = (cross_validated(c.source, c.d, 3, (1e-3, 1.0), most_local=k) for k in (0, 10**9))
+    assert one[0].classes == two[0].classes == list(range(classes)) and one[1:] == two[1:]
+    assert np.allclose(one[0].weights, two[0].weights, atol=1e-3)
+
+
+@pytest.mark.parametrize("most_local", [0, 10**9])
+def test_default_grid_at_5000_features(spark, most_local):
+    rng, rows = np.random.default_rng(5), []
+    for k in range(60):
+        js = rng.choice(5000, 40, replace=False)
+        rows.append((k, k % 2, [int(j) for j in [*js, 5000 - 1 - k % 2]], [1.0] * 41))
+    rows = [(k, y, list(dict.fromkeys(js)), [1.0] * len(set(js))) for k, y, js, _ in rows]
+    model, strength, score = cross_validated(spark.createDataFrame(rows, "doc_id long, label int, js array<bigint>, xs array<double>"), 5000, most_local=most_local)
+    assert model.weights.shape == (1, 5001) and strength in STRENGTHS and score > 0.9
+
+
+def test_labelled_target_rows_join_the_training(spark):
+    c, _, _ = corpus(spark)
+    both = estimators.Corpus(c.source, c.target, c.d, semi_supervised=True)
+    assert both.n_training() == 160 and c.n_training() == 80
+    fitted = estimators.DomainAdapter(both, 0.3, (1.0,), (0.01,), cv=2, strengths=(1.0,)).fit()
+    assert fitted.score(c.target) > 0.9
+    none = estimators.Corpus(c.source, c.target.withColumn("label", F.lit(None).cast("int")), c.d, semi_supervised=True)
+    assert none.n_training() == 80
 
 
 @pytest.mark.parametrize("classes", [2, 3])
