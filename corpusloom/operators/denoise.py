@@ -118,12 +118,14 @@ def project(rows: DataFrame, W: np.ndarray, d: int, layer: str | int = "tanh", b
     return rows.select(*others, "js", "xs").mapInArrow(map_, schema)
 
 
-def stack(rows: DataFrame, d: int, layers: int = 5, noise: float = 0.9, reg: float = 1e-5, layer: str | int = "tanh") -> tuple[list[DataFrame], list[np.ndarray]]:
-    """Outputs and mappings of stacked autoencoders; each layer's rows are written before the next reads them twice."""
+def stack(rows: DataFrame, d: int, layers: int = 5, noise: float = 0.9, reg: float = 1e-5, layer: str | int = "tanh", outputs: np.ndarray | None = None) -> tuple[list[DataFrame], list[np.ndarray]]:
+    """Outputs and mappings of stacked autoencoders; each layer's rows are written before the next reads them twice. The first layer
+    reconstructs all features or the listed ``outputs``, later ones all that they get."""
     outs, maps = [], []
-    for _ in range(layers):
-        W = mapping(moments(rows, d, [], bias=True).total()[2], noise, reg)
+    for k in range(layers):
+        W = mapping(moments(rows, d, [], bias=True).total()[2], noise, reg, outputs=None if k else outputs)
         rows = cut(project(rows, W, d, layer, bias=True))
+        d = len(W)
         outs.append(rows)
         maps.append(W)
     return outs, maps

@@ -225,13 +225,16 @@ def transductive(corpus: Corpus, noise: float = 0.9, cv: int = 5, strengths: tup
     features beside which they are denoised. Both the score without transfer and that of self-learning are kept."""
     base = Adapter(corpus, cv, strengths).fit()
     n_classes = len(base.classifier.classes)
-    marked = base.predict(corpus.target).select("doc_id", "predicted", "probability")
+    marked = cut(base.predict(corpus.target).select("doc_id", "predicted", "probability"))
     rows, d = target_features or (corpus.target, corpus.d)
     scored = cut(rows.join(marked, "doc_id"))
     out = _rates(transduce(scored.drop("predicted"), d, n_classes, noise), n_classes)
     if self_learning:
-        taught = corpus.target.join(marked.select("doc_id", "predicted"), "doc_id").withColumn("own", F.col("label")).withColumn("label", F.col("predicted"))
-        model = cross_validated(taught.drop("own", "predicted"), corpus.d, cv, strengths)[0]
+        taught = corpus.target.join(marked.select("doc_id", "predicted"), "doc_id").withColumn("label", F.col("predicted")).drop("predicted")
+        if marked.agg(F.count_distinct("predicted")).first()[0] < 2:
+            out.self_accuracy = out.base_accuracy  # taught a single class, a model says that class, as the first one did
+            return out
+        model = cross_validated(taught, corpus.d, cv, strengths)[0]
         out.self_accuracy = metrics.accuracy(model.predict(corpus.target.where("label > -1"))).first()[0]
     return out
 

@@ -12,6 +12,19 @@ def pm1(label: Column) -> Column:
     return 2 * label - 1
 
 
+def least_label(docs: DataFrame) -> int | None:
+    """The smallest label of labelled documents, null without any."""
+    return labelled(docs).agg(F.min("label")).first()[0]
+
+
+def relabelled(docs: DataFrame) -> DataFrame:
+    """(doc_id, y): labels 0 and 1 of labelled documents as -1 and +1; fails where the smallest label is not 0."""
+    least = least_label(docs)
+    if least not in (None, 0):
+        raise ValueError(f"labels must begin at 0, not at {least}")
+    return labelled(docs).select("doc_id", pm1(F.col("label")).alias("y"))
+
+
 def one_vs_all(df: DataFrame, classes: DataFrame, label: str = "label", key: str = "doc_id") -> DataFrame:
     """(key, cls, y): +1 for a row's own class, -1 for every other of the few ``classes`` (cls)."""
     listed = [r[0] for r in classes.orderBy("cls").collect()]

@@ -19,6 +19,8 @@ class Task:
 
     corpus: estimators.Corpus
     held_out: DataFrame | None = None
+    #: The target beside a vocabulary of its own: rows, features.
+    own: tuple[DataFrame, int] | None = None
 
 
 def features(docs: DataFrame, counts: DataFrame, vocabulary_: DataFrame, words: int, code: int, fit: DataFrame | None = None) -> DataFrame:
@@ -46,14 +48,26 @@ def review_task(all_reviews: DataFrame, source: str, target: str, size: str = "s
     return Task(estimators.Corpus(chosen.where(F.col("domain") == source), chosen.where(F.col("domain") == target), words), held)
 
 
-def news_task(posts: DataFrame, task_id: int, words: int = 10_000, code: int = 2, fit_all: bool = True) -> Task:
-    """Source and target of a newsgroup task (posts: doc_id, category, text); vocabulary of both or of the source only."""
+def news_task(posts: DataFrame, task_id: int, words: int = 10_000, code: int = 2, fit_all: bool = True, own: bool = False) -> Task:
+    """Source and target of a newsgroup task (posts: doc_id, category, text); vocabulary of both or of the source only. With ``own``, the
+    task also has the target's features over a vocabulary of the target only."""
     docs = cut(newsgroups.labelled_posts(posts.withColumn("text", newsgroups.clean(F.coalesce("text", F.lit("")))), task_id))
     counts = cut(newsgroups.tokens(docs))
     fit = docs if fit_all else docs.where("domain = 'source'")
     voc = cut(vocabulary.by_total(counts.join(fit.select("doc_id"), "doc_id", "left_semi"), words))
     rows = cut(features(docs.select("doc_id", "domain", "label"), counts, voc, words, code, fit))
-    return Task(estimators.Corpus(rows.where("domain = 'source'"), rows.where("domain = 'target'"), words))
+    target = None
+    if own:
+        mine, theirs = docs.where("domain = 'target'").select("doc_id", "domain", "label"), counts.join(docs.where("domain = 'target'").select("doc_id"), "doc_id", "left_semi")
+        target = cut(features(mine, theirs, cut(vocabulary.by_total(theirs, words)), words, code)), words
+    return Task(estimators.Corpus(rows.where("domain = 'source'"), rows.where("domain = 'target'"), words), own=target)
+
+
+def with_baseline(adapter: estimators.Adapter, test: DataFrame | None = None) -> tuple[float, float]:
+    """(accuracy of the features as they are, accuracy of the adapter), both fitted on the adapter's corpus and scored on ``test`` or the target."""
+    test = adapter.corpus.target if test is None else test
+    plain = estimators.Adapter(adapter.corpus, adapter.cv, adapter.strengths).fit()
+    return plain.score(test), adapter.fit().score(test)
 
 
 def benchmark(task: Task, noise: float = 0.9, alphas: tuple = ALPHAS, etas: tuple = ETAS, **cv) -> dict:  # noqa: ANN003
@@ -81,3 +95,12 @@ def transductive_job(text: str, reviews_: DataFrame, tasks: DataFrame, words: in
         beside = (mine.target, words)
     out = estimators.transductive(corpus, job.noise, target_features=beside, **cv)
     return {"task_id": job.task_id, "noise": job.noise, "feat_type": job.feat_type} | out.__dict__
+
+
+def news_job(text: str, posts: DataFrame, words: int = 10_000, own_features: bool = False, **cv) -> dict:  # noqa: ANN003
+    """A job ``task:noise:feature type`` over newsgroup tasks; ``own_features`` denoises beside a vocabulary of the target's own, and then
+    classifies by a vocabulary of the source only."""
+    job = Job.parse(text)
+    task = news_task(posts, job.task_id, words, job.feat_type, fit_all=not own_features, own=own_features)
+    out = estimators.transductive(task.corpus, job.noise, target_features=task.own, **cv)
+    return {"task_id": job.task_id, "noise": job.noise, "feat_type": job.feat_type} | out.__dict__

@@ -64,3 +64,25 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, value) of numeric text files, a value a line; a line that is no number gives null."""
     lines = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.posexplode(F.split(F.rtrim("value", F.lit(" \r\n")), "\r?\n")).alias("line", "text"))
     return lines.select("file", "line", F.trim("text").try_cast("double").alias("value"))
+
+
+def write_registry(registry: DataFrame, path: str) -> None:
+    """A task registry (of a few rows) as one parquet file."""
+    registry.coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def write_scores(spark: SparkSession, path: str, task_id: int, result: dict, words: int, feat_type: int, alphas: tuple = ALPHAS, etas: tuple = ETAS) -> None:
+    """What ``experiments.benchmark`` returns: PATH/scores as text, a file of two lines (denoising, then domain-regularized accuracy in
+    percent) in a folder of the task, readable by ``read_results``; and PATH/parameters as rows of the grid in ascending order."""
+    lines = spark.createDataFrame([(0, f"{100 * result['acc_mda']:.6f}"), (1, f"{100 * result['acc_domreg']:.6f}")], "k int, value string")
+    lines.coalesce(1).sortWithinPartitions("k").select("value").write.mode("overwrite").text(f"{path}/scores/{task_id}")
+    rows = [(task_id, k, float(score), float(alpha), float(eta), alpha in alphas and eta in etas, words, feat_type) for k, (score, alpha, eta) in enumerate(result["tried"])]
+    grid_ = spark.createDataFrame(rows, "task_id int, place int, score double, alpha double, eta double, of_the_grid boolean, max_words int, feat_type int")
+    grid_.coalesce(1).write.mode("overwrite").parquet(f"{path}/parameters/{task_id}")
+
+
+def job_results(spark: SparkSession, results: list[dict]) -> DataFrame:
+    """(task_id, noise, feat_type, base_accuracy, accuracy, row): results of jobs, with a tab-parted row as printed."""
+    names = ("task_id", "noise", "feat_type", "base_accuracy", "accuracy")
+    df = spark.createDataFrame([tuple(r[n] for n in names) for r in results], "task_id int, noise double, feat_type int, base_accuracy double, accuracy double")
+    return df.withColumn("row", F.concat_ws("\t", *[F.col(n).cast("string") for n in names]))

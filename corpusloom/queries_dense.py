@@ -17,7 +17,7 @@ from corpusloom.operators.moments import Moments, dense_rows, feature_rows, mean
 from corpusloom.plans import experiments
 from corpusloom.plans.partial import matrix_rows
 from corpusloom.plans.session import cut
-from corpusloom.queries_text import BASE, LENGTHS, SOURCE, TARGET, WHOLE, WORDS, Corpus
+from corpusloom.queries_text import BASE, LENGTHS, SOURCE, TARGET, WHOLE, WORDS, Corpus, whole
 from corpusloom.sources.tables import table
 
 D = 64
@@ -183,15 +183,15 @@ def filter_w_project(spark: SparkSession, folder: str) -> DataFrame:
 
 def lsi_features(spark: SparkSession, folder: str) -> DataFrame:
     """Squared lengths of the reviews in the space of 20 latent directions, free of signs."""
-    rows = texts(spark, folder)
+    rows = cut(texts(spark, folder))
     V, s = baselines.latent(rows, WORDS, 20)
     z = baselines.latent_features(rows, V, s, WORDS)
     return z.select("doc_id", (F.round(F.aggregate("xs", F.lit(0.0), lambda a, x: a + x * x), 6) + 0.0).alias("length2"))
 
 
 def review_corpus(spark: SparkSession, folder: str) -> estimators.Corpus:
-    """All reviews of the two domains; only fits of classifiers and scores leave out those without a label."""
-    rows = texts(spark, folder)
+    """All reviews of the two domains, written once; only fits of classifiers and scores leave out those without a label."""
+    rows = cut(texts(spark, folder).where(F.col("domain").isin(SOURCE, TARGET)))
     return estimators.Corpus(rows.where(F.col("domain") == SOURCE), rows.where(F.col("domain") == TARGET), WORDS)
 
 
@@ -214,6 +214,19 @@ def estimator(name: str, make, spark: SparkSession, folder: str) -> DataFrame:
     return _accuracy(spark, name, make(review_corpus(spark, folder)).fit())
 
 
+def beside_baseline(name: str, make, spark: SparkSession, folder: str) -> DataFrame:  # noqa: ANN001
+    """The accuracy of the features as they are, and that of the adapted ones."""
+    values = (name, *experiments.with_baseline(make(review_corpus(spark, folder))))
+    return spark.createDataFrame([values], "estimator string, base_accuracy double, target_accuracy double")
+
+
+def estimator_domreg_labelled(spark: SparkSession, folder: str) -> DataFrame:
+    """One setting of the domain-regularized estimator, labelled target reviews among those that the classifier learns from."""
+    c = review_corpus(spark, folder)
+    both = estimators.Corpus(c.source, c.target, c.d, semi_supervised=True)
+    return _accuracy(spark, "domain_regularized_labelled", estimators.DomainAdapter(both, alphas=(ALPHA,), etas=(ETA,), cv=CV).fit())
+
+
 def estimator_lsi_mda(spark: SparkSession, folder: str) -> DataFrame:
     """Denoised features, then latent directions of them."""
     c = review_corpus(spark, folder)
@@ -290,7 +303,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         gram_text, gram_dense, xty, domain_cross_moments, mda_expectations, mmd_linear, mmd_multisource, mmd_class, domain_mi, sfa_cooccurrence, ridge_domain_clf, mda_solve, mda_nobias,
-        mda_reduced_output, mda_domainreg, mda_project, flagship, msda_stack, filter_w_project, lsi_features, sfa_features, estimator_lsi_mda, transductive_binary,
+        mda_reduced_output, mda_domainreg, mda_project, flagship, msda_stack, filter_w_project, lsi_features, sfa_features, estimator_lsi_mda, estimator_domreg_labelled, transductive_binary,
         transductive_multiclass, transductive_testfeat, transductive_scores, ssl_transductive, benchmark_task, transductive_job,
     )
 } | {
@@ -302,7 +315,8 @@ QUERIES = {
     "estimator_mda": partial(estimator, "mda", lambda c: estimators.MdaAdapter(c, cv=CV)),
     "estimator_domreg": partial(estimator, "domain_regularized", lambda c: estimators.DomainAdapter(c, cv=CV)),
     "lsi_transfer": partial(estimator, "lsi", lambda c: estimators.LatentAdapter(c, 50, appended=True, cv=CV)),
-    "sfa_transfer": partial(estimator, "sfa", lambda c: estimators.AlignedAdapter(c, WORDS // 2, 20, cv=CV)),
+    "mda_beside_baseline": partial(beside_baseline, "mda", lambda c: estimators.MdaAdapter(c, cv=CV)),
+    "sfa_transfer": partial(beside_baseline, "sfa", lambda c: estimators.AlignedAdapter(c, WORDS // 2, 20, cv=CV)),
 }
 CLASS_METHODS = ("TCW", "TFW", "TDCW", "TDFW", "TMCW", "TMFW", "TCMCW", "TCMFW")
 REGULARIZED = {f"reg_{m.lower()}": (m, True) for m in regularized.METHODS} | {f"reg_{m.lower()}_per_source": (m, False) for m in CLASS_METHODS}
@@ -420,3 +434,4 @@ SQL |= {
     "mda_reduced_output": _text_sql(20),
     "flagship": _text_sql(domains=True),
 }
+SQL[f"domain_mi_{WHOLE}"] = whole(SQL["domain_mi"])

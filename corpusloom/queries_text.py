@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -130,7 +131,7 @@ def domain_union_bias(spark: SparkSession, folder: str, words: int = WORDS) -> D
 
 
 def labels_pm1(spark: SparkSession, folder: str) -> DataFrame:
-    return features.labelled(Corpus(spark, folder).docs).select("doc_id", features.pm1(F.col("label")).alias("y"))
+    return features.relabelled(Corpus(spark, folder).docs)
 
 
 def labels_ova(spark: SparkSession, folder: str) -> DataFrame:
@@ -208,13 +209,7 @@ def _scored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def argmax_class(spark: SparkSession, folder: str) -> DataFrame:
-    """The class of each embedding by its ten first components taken as scores."""
-    e = table(spark, folder, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 10)).alias("cls", "score"))
-    return features.argmax_class(e, "vec_id").select("vec_id", F.col("cls").cast("bigint").alias("cls"))
-
-
-def argmax_class_whole(spark: SparkSession, folder: str) -> DataFrame:
-    """The class of each embedding by all its components taken as scores."""
+    """The class of each embedding by its components taken as scores."""
     e = table(spark, folder, "embeddings").select("vec_id", F.posexplode("embedding").alias("cls", "score"))
     return features.argmax_class(e, "vec_id").select("vec_id", F.col("cls").cast("bigint").alias("cls"))
 
@@ -237,10 +232,10 @@ QUERIES = {
     for f in (
         token_counts, review_line_parse, vocab_df, vocab_tf_stopwords, news_clean, oov_encode, df_filter_binary, doc_length_stats, col_sums, class_histogram,
         tfidf_fit_apply, domain_union_bias, labels_pm1, labels_ova, labelled_instances, append_features, column_subset, task_registry_reviews, task_registry_news,
-        news_categories, hyper_grid, best_param, grid_means, score_rows, activations, argmax_class, argmax_class_whole, accuracy, class_report, roc_auc,
+        news_categories, hyper_grid, best_param, grid_means, score_rows, activations, argmax_class, accuracy, class_report, roc_auc,
     )
 } | {name: partial(weights, code) for code, name in enumerate(TW_NAMES)}
-#: The same over the whole vocabulary; the SQL is of the 200 words.
+#: The same over the whole vocabulary.
 LONG = ("oov_encode", "doc_length_stats", "col_sums", "tfidf_fit_apply", "domain_union_bias", "append_features", *TW_NAMES)
 QUERIES |= {f"{name}_{WHOLE}": partial(QUERIES[name], words=WHOLE) for name in LONG}
 
@@ -322,7 +317,7 @@ SELECT token, tf, row_number() OVER (ORDER BY tf DESC, token) - 1 AS wid FROM c
     "news_clean": r"""
 WITH a AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 b AS (SELECT doc_id, string_split(CASE WHEN contains(t, chr(10) || chr(10)) THEN substr(t, strpos(t, chr(10) || chr(10)) + 2) ELSE t END, chr(10)) AS l FROM a),
-c AS (SELECT doc_id, string_split(trim(array_to_string(list_filter(l, lambda x: NOT regexp_matches(x, 'writes in|writes:|wrote:|says:|said:|^(In article|Quoted from|\||>)')), chr(10)),
+c AS (SELECT doc_id, string_split(trim(array_to_string(list_filter(l, lambda x: NOT regexp_matches(x, 'writes in|writes:|wrote:|says:|said:|^In article|^Quoted from|^\||^>')), chr(10)),
     chr(32) || chr(9) || chr(13) || chr(10)), chr(10)) AS l FROM b),
 d AS (SELECT doc_id, l, coalesce(list_position(list_reverse(list_transform(l, lambda x: regexp_full_match(x, '[ \t\r-]*'))), true), 0) AS k FROM c)
 SELECT doc_id, length(array_to_string(CASE WHEN k > 0 AND len(l) > k THEN l[1:len(l) - k] ELSE l END, chr(10))) AS n_kept FROM d""",
@@ -371,7 +366,7 @@ FROM grid_scores JOIN tasks USING (task_id) WHERE score IS NOT NULL GROUP BY tas
 WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS j, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)
 SELECT vec_id, j, round(tanh(x), 6) + 0.0 AS tanh, round(1 / (1 + exp(-x)), 6) + 0.0 AS sigmoid, round(greatest(x, 0), 6) + 0.0 AS relu FROM e""",
     "argmax_class": """
-WITH e AS (SELECT vec_id, generate_subscripts(embedding[1:10], 1) - 1 AS cls, unnest(embedding[1:10]) AS score FROM embeddings)
+WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS cls, unnest(embedding) AS score FROM embeddings)
 SELECT vec_id, cls FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, cls) AS k FROM e) WHERE k = 1""",
     "accuracy": BASE + SCORED + "SELECT round(avg(CAST(label = predicted AS DOUBLE)), 6) + 0.0 AS accuracy FROM p",
     "class_report": BASE
@@ -385,3 +380,11 @@ SELECT vec_id, cls FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER
     + """, r AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS rk FROM p)
     SELECT round((sum(rk) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)), 6) + 0.0 AS auc FROM r""",
 }
+
+
+def whole(sql: str) -> str:
+    """The SQL of 200 words for the whole vocabulary: every number that stands for their count, or half of it, raised."""
+    return re.sub(r"\b20([01])\b", rf"{WHOLE // 10}\1", sql).replace("<= 100 ", f"<= {WHOLE // 2} ")
+
+
+SQL |= {f"{name}_{WHOLE}": whole(SQL[name]) for name in LONG}

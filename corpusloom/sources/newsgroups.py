@@ -41,6 +41,15 @@ def task(task_id: int) -> tuple[str, bool]:
     return pairs[task_id // 2], task_id % 2 == 1
 
 
+def task_named(source: str, target: str) -> int:
+    """The task that adapts from one group of categories to the other, such as sci and comp."""
+    for k in range(2 * len(CATEGORIES)):
+        pair, swapped = task(k)
+        if f"{target}_vs_{source}" == pair and swapped or f"{source}_vs_{target}" == pair and not swapped:
+            return k
+    raise ValueError(f"no newsgroup task from {source} to {target}")
+
+
 def task_table(spark: SparkSession) -> DataFrame:
     """(task_id, source, target, size) of all newsgroup tasks."""
     rows = []
@@ -66,8 +75,9 @@ def labelled_posts(posts: DataFrame, task_id: int) -> DataFrame:
     return posts.join(F.broadcast(named), "category").select("doc_id", "text", "category", "domain", "label")  # at most 10 rows
 
 
-#: Patterns of quoted lines and of lines that part a footer from the text; each looks at one line.
-QUOTED = r"writes in|writes:|wrote:|says:|said:|^(In article|Quoted from|\||>)"
+#: Fixed value: the pattern of quoted lines as published with the newsgroup loader of scikit-learn.
+QUOTED = r"(writes in|writes:|wrote:|says:|said:|^In article|^Quoted from|^\||^>)"
+#: Lines that part a footer from the text.
 PARTING = r"\A[ \t\r-]*\z"
 
 

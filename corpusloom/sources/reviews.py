@@ -6,7 +6,9 @@ Wide document-by-term matrices become rows (doc_id, token, tf); documents withou
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.functions.terms import counts_in_bag, term
 from corpusloom.operators.quarantine import split_review_lines
@@ -32,10 +34,31 @@ def of_size(df: DataFrame, size: str) -> DataFrame:
     return df.where(F.col("file_name").isin(*PARTS[FILES[size]]))
 
 
+def read_files(spark: SparkSession, prefix: str, domain: str, size: str) -> tuple[DataFrame, DataFrame]:
+    """(records, rejects) of the raw files of a domain and size, PREFIX/DOMAIN/FILE: each line once as it stands, with
+    domain, file_name and a line_id that is unique in this reading. Records also have features and label."""
+    lines = spark.read.text(dataset_path(prefix, domain, size)).select(
+        F.monotonically_increasing_id().alias("line_id"), F.lit(domain).alias("domain"), F.lit(FILES[size]).alias("file_name"), F.col("value").alias("line_text")
+    )
+    return split_review_lines(lines)
+
+
+def read_domains(spark: SparkSession, prefix: str, domains: tuple[str, ...], size: str) -> DataFrame:
+    """Records of several domains' raw files in the form of ``records``; a document's id is made of its domain and line."""
+    parts = [read_files(spark, prefix, d, size)[0] for d in domains]
+    split = F.lit({"small": "labelled", "test": "unlabeled", "all": None}[size]).cast("string")
+    rows = reduce(DataFrame.unionByName, [p.withColumn("doc_id", F.xxhash64(F.lit(d), "line_id")) for p, d in zip(parts, domains)])
+    return rows.select("doc_id", "domain", split.alias("split"), "label", "features")
+
+
 def records(reviews: DataFrame) -> DataFrame:
-    """Each record once, whatever its deliveries: (doc_id, domain, split, label, features)."""
-    one = reviews.dropDuplicates(["review_id"])
-    return one.select(F.col("review_id").alias("doc_id"), "domain", "split", "label", "features")
+    """Each record once, as in its earliest delivery: (doc_id, domain, split, label, features). Without ``loaded_at`` deliveries are equal."""
+    kept = ["domain", "split", "label", "features"]
+    if "loaded_at" not in reviews.columns:
+        return reviews.dropDuplicates(["review_id"]).select(F.col("review_id").alias("doc_id"), *kept)
+    late = F.coalesce(F.col("loaded_at").cast("timestamp"), F.lit("9999-12-31").cast("timestamp"))
+    one = reviews.groupBy(F.col("review_id").alias("doc_id")).agg(F.min_by(F.struct(*kept), late).alias("r"))
+    return one.select("doc_id", *[f"r.{c}" for c in kept])
 
 
 def spine(recs: DataFrame) -> DataFrame:

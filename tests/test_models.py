@@ -96,6 +96,11 @@ def test_news_task_and_job(spark):
     assert estimators.Adapter(task.corpus, 2, (1.0, 10.0)).fit().score(task.corpus.target) == 1.0
     out = experiments.benchmark(task, 0.3, (1.0,), (0.01,), cv=2, strengths=(1.0, 10.0))
     assert out["acc_mda"] > 0.9 and len(out["tried"]) == 1
+    for own in (False, True):
+        out = experiments.news_job("0:0.3:2", spark.createDataFrame(posts, "doc_id long, category string, text string"), 20, own, cv=2, strengths=(1.0, 10.0))
+        assert out["base_accuracy"] == 1.0 and 0 <= out["accuracy"] <= 1
+    base, adapted = experiments.with_baseline(estimators.MdaAdapter(task.corpus, 0.3, cv=2, strengths=(1.0, 10.0)))
+    assert base == 1.0 and adapted > 0.9
     rows = [(k, d, "labelled", k % 2, [("good" if k % 2 else "bad", 1), (f"{d}{k % 3}", 2)]) for d in ("a", "b") for k in range(100 * (d == "b"), 100 * (d == "b") + 40)]
     table = spark.createDataFrame(rows, "review_id long, domain string, split string, label int, features array<struct<ts string, tfreq int>>")
     jobs = spark.createDataFrame([(3, "a", "b", "small")], "task_id int, source_domain string, target_domain string, size string")
@@ -104,3 +109,11 @@ def test_news_task_and_job(spark):
         assert out["base_accuracy"] == 1.0 and out["accuracy"] > 0.9
     with pytest.raises(ValueError):
         experiments.transductive_job("4:0.3:2", table, jobs)
+
+
+def test_stack_reconstructs_the_listed_outputs_first(spark):
+    from corpusloom.operators import denoise
+
+    c, _, _ = corpus(spark)
+    outs, maps = denoise.stack(c.all().select("doc_id", "js", "xs"), c.d, 3, 0.5, outputs=np.array([0, 2]))
+    assert [w.shape for w in maps] == [(2, 6), (2, 3), (2, 3)] and len(outs[-1].first()["xs"]) == 2

@@ -13,7 +13,7 @@ FOLDER = "/root/testdata/sf0.001"
 MODULES = (queries_rows, queries_text, queries_dense)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
-SLOW = ("estimator_", "transductive_", "ssl_", "lsi_transfer", "sfa_transfer", "no_transfer", "benchmark_")
+SLOW = ("estimator_", "transductive_", "ssl_", "lsi_transfer", "sfa_transfer", "no_transfer", "benchmark_", "mda_beside")
 
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="needs the test tables")
 

@@ -50,3 +50,48 @@ def test_jobs_results_and_ties(spark, tmp_path):
     assert [tuple(r) for r in tasks.read_results(spark, str(tmp_path)).orderBy("line").collect()] == [("12", 0, 81.5), ("12", 1, 82.25)]
     tasks.write_corpus(spark.createDataFrame([("a", 1)], "domain string, x int"), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_earliest_delivery_counts(spark):
+    rows = [(1, "a", "labelled", 1, [("x", 1)], "2020-01-02"), (1, "a", "labelled", 0, [("y", 1)], "2020-01-01"), (2, "b", None, None, None, None), (1, "a", "labelled", 1, [("z", 1)], None)]
+    df = spark.createDataFrame(rows, "review_id long, domain string, split string, label int, features array<struct<ts string, tfreq int>>, at string")
+    got = {r["doc_id"]: r for r in reviews.records(df.withColumn("loaded_at", F.col("at").cast("timestamp"))).collect()}
+    assert got[1]["label"] == 0 and got[1]["features"][0]["ts"] == "y" and got[2]["domain"] == "b" and len(got) == 2
+
+
+def test_raw_files_of_domains(spark, tmp_path):
+    for domain, lines in (("dvd", ["a:1 b:2 a:3 #label#:positive", "broken #label#:negative", ""]), ("books", ["c:1 #label#:negative"])):
+        (tmp_path / domain).mkdir()
+        (tmp_path / domain / "labelled.review").write_text("\n".join(lines) + "\n")
+    good, bad = reviews.read_files(spark, str(tmp_path), "dvd", "small")
+    assert [r["label"] for r in good.collect()] == [1] and sorted(r["reason"] for r in bad.collect()) == ["empty", "entry"]
+    recs = reviews.read_domains(spark, str(tmp_path), ("dvd", "books"), "small")
+    assert recs.select("doc_id").distinct().count() == 2
+    assert {(r["domain"], r["token"], r["tf"]) for r in reviews.term_counts(recs).collect()} == {("dvd", "a", 4), ("dvd", "b", 2), ("books", "c", 1)}
+
+
+def test_labels_must_begin_at_zero(spark):
+    docs = spark.createDataFrame([(1, 0), (2, 1), (3, -1), (4, None)], "doc_id long, label int")
+    assert sorted(map(tuple, features.relabelled(docs).collect())) == [(1, -1), (2, 1)] and features.least_label(docs) == 0
+    with pytest.raises(ValueError):
+        features.relabelled(docs.where("doc_id = 2"))
+    assert features.relabelled(docs.limit(0)).count() == 0
+
+
+def test_news_tasks_by_name():
+    assert [newsgroups.task_named(*x) for x in (("comp", "sci"), ("sci", "comp"), ("talk", "comp"))] == [0, 1, 11]
+    with pytest.raises(ValueError):
+        newsgroups.task_named("comp", "comp")
+
+
+def test_scores_and_registry_are_written(spark, tmp_path):
+    out = {"acc_mda": 0.8105, "acc_domreg": 0.8152, "tried": [(0.5, 1.0, 0.1), (0.7, 50.0, 1.0)]}
+    tasks.write_scores(spark, str(tmp_path), 12, out, 5000, 2)
+    got = tasks.read_results(spark, str(tmp_path / "scores/12/*.txt")).where("value IS NOT NULL").orderBy("line")
+    assert [r["value"] for r in got.collect()] == [81.05, 81.52]
+    rows = spark.read.parquet(str(tmp_path / "parameters/12")).orderBy("place").collect()
+    assert [(r["score"], r["alpha"], r["eta"]) for r in rows] == out["tried"]
+    tasks.write_registry(tasks.review_tasks(spark), str(tmp_path / "registry"))
+    assert spark.read.parquet(str(tmp_path / "registry")).count() == 24
+    jobs = tasks.job_results(spark, [{"task_id": 3, "noise": 0.5, "feat_type": 2, "base_accuracy": 0.5, "accuracy": 0.75, "auc": None}])
+    assert jobs.first()["row"] == "3\t0.5\t2\t0.5\t0.75"

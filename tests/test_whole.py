@@ -69,7 +69,7 @@ def test_sfa_features_shows_every_review(spark):
 def test_whole_vocabulary(spark, name):
     """The same as the SQL with every number that stands for 200 words raised to 5,000; more than 200 of them occur."""
     sql = re.sub(r"\b20([01])\b", r"500\1", SQL[name]).replace("<= 100 ", "<= 2500 ")
-    assert sql != SQL[name]
+    assert sql != SQL[name] and sql == SQL[f"{name}_5000"]
     df = QUERIES[f"{name}_5000"](spark, FOLDER)
     result = database().execute(sql)
     names, got = [d[0] for d in result.description], df.collect()
@@ -92,7 +92,7 @@ def test_the_whole_grid_is_searched(spark, monkeypatch, name, module, call):
 
 def test_estimator_domreg_tries_all_settings(spark, monkeypatch):
     tried = []
-    monkeypatch.setattr(estimators, "cross_validated", lambda rows, d, k, strengths: tried.append(strengths) or (None, 1.0, 0.5))
+    monkeypatch.setattr(estimators, "cross_validated", lambda rows, d, k, strengths, n: tried.append(strengths) or (None, 1.0, 0.5))
     monkeypatch.setattr(estimators.Adapter, "score", lambda self, rows: 0.5)
     QUERIES["estimator_domreg"](spark, FOLDER)
     assert tried == [classify.STRENGTHS] * len(tasks.ALPHAS) * len(tasks.ETAS)
@@ -101,7 +101,7 @@ def test_estimator_domreg_tries_all_settings(spark, monkeypatch):
 def test_argmax_over_the_whole_array(spark):
     want = {r[0]: max(range(len(r[1])), key=lambda j: (r[1][j], -j)) for r in table(spark, FOLDER, "embeddings").select("vec_id", "embedding").collect()}
     assert max(want.values()) > 9
-    assert {r[0]: r[1] for r in QUERIES["argmax_class_whole"](spark, FOLDER).collect()} == want
+    assert {r[0]: r[1] for r in QUERIES["argmax_class"](spark, FOLDER).collect()} == want
 
 
 def test_projection_by_the_solved_mapping(spark):
@@ -112,6 +112,6 @@ def test_projection_by_the_solved_mapping(spark):
     np.fill_diagonal(Q, q * np.diag(S))
     H = np.tanh(X @ np.linalg.inv(Q + queries_dense.REG * np.eye(len(S))) @ (q * S))
     at = {r[0]: k for k, r in enumerate(e)}
-    got = QUERIES["mda_project_solved"](spark, FOLDER).collect()
+    got = QUERIES["mda_project"](spark, FOLDER).collect()
     assert len(got) == H.size
     assert max(abs(r["h"] - H[at[r["doc_id"]], r["i"]]) for r in got) < 2e-6
