@@ -47,3 +47,8 @@ def cut(df: DataFrame) -> DataFrame:
 def shuffle_width(spark: SparkSession) -> int:
     """Tasks of a shuffle whose partitions are addressed by number: the session's setting, at least the cores."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def input_width(df: DataFrame) -> int:
+    """Tasks of a shuffle of all rows of an input: as many as it is read in, so that they grow with it, at least the session's setting."""
+    return max(shuffle_width(df.sparkSession), df.rdd.getNumPartitions())
