@@ -24,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from math import ceil
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -169,6 +168,8 @@ def scan(one: Texts, two: Texts, threshold: float) -> Iterator[pa.RecordBatch]:
     order = np.argsort(which, kind="stable")
     posts = np.searchsorted(one.ends, at[keep][order], "right")
     first = np.r_[0, np.cumsum(np.bincount(which, minlength=len(patterns)))]
+    import ahocorasick  # needed on executors, by this operator only
+
     letters = one.chars.tobytes().decode("latin-1")
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     for k, (low, n) in enumerate(zip(at[keep][begin].tolist(), length[keep][begin].tolist())):

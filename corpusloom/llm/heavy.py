@@ -2,20 +2,26 @@
 
 First scan: every row's term is hashed to 64 bits; for each level, a prefix of the hash is counted in a count-sketch
 (``depth`` rows of ``width`` counters, signed hashes). The shortest prefixes are few and counted exactly. Sketches
-are linear: tasks add their own, the sums are added in two steps. Memory is ``levels * depth * width`` counters
-whatever the number of rows or distinct values.
+are linear: tasks add their own, the sums are added by slices. Memory is that of the counters, which follow from ``share`` alone,
+whatever the number of rows or distinct values; a share that needs more than ``most_cells`` of them is refused.
 
-Descent: from the short prefixes that reach the threshold, less the sketch's own error (a multiple of
-sqrt(F2 / width), F2 estimated by the sketch), to their children, down to whole hashes: the candidates.
+Width. What no term of ``share`` holds has a second moment of at most share * N * N, so with width = 32 / share a row's standard error is at
+most share * N / sqrt(32); a row is off by half of share * N only beyond 2.8 of these, or where two of the at most 2 / share heavier
+prefixes meet, and an estimate (the median of 7 rows) only where four rows are. So prefixes from half of the threshold on are kept.
 
-Second scan: rows whose hash is a candidate are counted by term. The counts are exact, so a result never holds a
-term below the threshold, and misses one only if the sketch errs by more than ``slack`` standard errors in most rows.
+Descent: from the short prefixes that reach the threshold to their children, twice, to prefixes of about 40 bits: the candidates, at most
+``8 / share`` at each level (checked).
+
+Second scan: rows whose hash begins with a candidate are counted by term. The counts are exact, so a result never holds a
+term below the threshold.
 
 Defined results: null and blank terms count in the total only; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from math import ceil, log2
+
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
@@ -23,8 +29,8 @@ from corpusloom.functions.terms import term
 from corpusloom.llm.bags import BLANK, STEP, Batches, U, mix
 from corpusloom.plans.partial import summed
 
-#: Lengths of the prefixes in bits; the first is counted exactly.
-LEVELS = (16, 28, 40, 52, 64)
+#: Bits that each level adds to the prefixes; there are two sketched levels.
+STEP_BITS, LEVELS = 12, 3
 #: Rows whose equal hashes are added up before they reach the sketch.
 CHUNK = 1 << 19
 
@@ -32,10 +38,18 @@ CHUNK = 1 << 19
 class Sketch:
     """A count-sketch for each level of prefixes, as one vector of counters that can be added to another's."""
 
-    def __init__(self, depth: int = 5, width: int = 1 << 14, cells: np.ndarray | None = None) -> None:
-        self.depth, self.width = depth, width
-        self.exact = 1 << LEVELS[0]
-        self.size = 1 + self.exact + (len(LEVELS) - 1) * depth * width
+    def __init__(self, share: float, cells: np.ndarray | None = None, depth: int = 7, most_cells: int = 1 << 26) -> None:
+        if not 0 < share <= 1:
+            raise ValueError("share must be above 0 and at most 1")
+        self.share, self.depth = share, depth
+        self.width = 1 << ceil(log2(32 / share))
+        #: Bits of the prefixes of each level; the first level is counted exactly.
+        first = max(12, ceil(log2(8 / share)))
+        self.bits = tuple(first + STEP_BITS * k for k in range(LEVELS))
+        self.exact = 1 << first
+        self.size = 1 + self.exact + (LEVELS - 1) * depth * self.width
+        if self.size > most_cells:
+            raise ValueError(f"a share of {share} needs {self.size} counters, more than {most_cells}")
         self.cells = np.zeros(self.size, np.int64) if cells is None else cells
 
     def _table(self, level: int, row: int) -> np.ndarray:
@@ -49,7 +63,7 @@ class Sketch:
     def add(self, hashes: np.ndarray) -> None:
         self.cells[0] += len(hashes)
         h, n = np.unique(hashes[hashes.view(np.int64) != BLANK], return_counts=True)
-        for level, bits in enumerate(LEVELS):
+        for level, bits in enumerate(self.bits):
             prefix = h >> U(64 - bits)
             if level == 0:
                 self.cells[1 : 1 + self.exact] += np.bincount(prefix.astype(np.intp), n, self.exact).astype(np.int64)
@@ -65,53 +79,54 @@ class Sketch:
             rows.append(self._table(level, row)[place] * sign)
         return np.median(rows, axis=0)
 
-    def error(self, level: int) -> float:
-        """Standard error of one row's estimate."""
-        return float(np.sqrt(np.median([np.square(self._table(level, row).astype(float)).sum() for row in range(self.depth)]) / self.width))
-
-    def heavy(self, least: float, slack: float) -> dict[int, int]:
-        """Hashes with an estimate of at least ``least``, less the error: hash to estimate."""
-        short = self.cells[1 : 1 + self.exact]
+    def heavy(self, least: float) -> dict[int, int]:
+        """Prefixes of the last level with an estimate of at least half of ``least``: prefix to estimate."""
+        short, most = self.cells[1 : 1 + self.exact], ceil(8 / self.share)
         found, counts = np.flatnonzero(short >= max(least, 1)).astype(U), None
-        for level in range(1, len(LEVELS)):
-            step = LEVELS[level] - LEVELS[level - 1]
-            floor, kept = max(least - slack * self.error(level), least / 2), []
+        for level in range(1, LEVELS):
+            kept = []
             for some in np.array_split(found, max(1, len(found) // 64)):
-                child = (some[:, None] << U(step) | np.arange(1 << step, dtype=U)[None, :]).reshape(-1)
+                child = (some[:, None] << U(STEP_BITS) | np.arange(1 << STEP_BITS, dtype=U)[None, :]).reshape(-1)
                 value = self.estimates(child, level) if len(child) else np.zeros(0)
-                kept.append((child[value >= floor], value[value >= floor]))
+                on = value >= max(least / 2, 0.5)
+                kept.append((child[on], value[on]))
             found, counts = (np.concatenate(x) for x in zip(*kept))
-        return dict(zip(found.view(np.int64).tolist(), np.round(counts).astype(np.int64).tolist()))
+            if len(found) > most:
+                raise ArithmeticError(f"{len(found)} prefixes seem heavy, more than {most}: the sketch does not tell this input's terms apart")
+        return dict(zip(found.astype(np.int64).tolist(), np.round(counts).astype(np.int64).tolist()))
+
+
+#: Candidates that are written into the plan; more are sent as a table.
+IN_PLAN = 1000
 
 
-def heavy_hitters(values: DataFrame, column: str, share: float, depth: int = 5, width: int = 1 << 14, slack: float = 4.0) -> DataFrame:
-    """(ts, estimate, n_rows): the terms of a column that at least ``share`` of all rows hold, whatever else the rows hold."""
+def heavy_hitters(values: DataFrame, column: str, share: float, most_cells: int = 1 << 26) -> DataFrame:
+    """(ts, estimate, n_rows, n_all): the terms of a column that at least ``share`` of all rows hold, whatever else the rows hold, with the
+    sketch's estimate and the exact number of their rows, and the number of all rows."""
     spark = values.sparkSession
     hashed = values.select(F.xxhash64(term(F.coalesce(F.col(column), F.lit("")))).alias("h"))
+    empty = Sketch(share, most_cells=most_cells)
+    chunk = max(CHUNK, empty.width)
 
     def partial(batches: Batches) -> np.ndarray:
-        sketch, waiting, rows = Sketch(depth, width), [], 0
+        sketch, waiting, rows = Sketch(share, most_cells=most_cells), [], 0
         for batch in batches:
             waiting.append(batch.column(0).to_numpy().view(U))
             rows += batch.num_rows
-            if rows >= CHUNK:
+            if rows >= chunk:
                 sketch.add(np.concatenate(waiting))
                 waiting, rows = [], 0
         if waiting:
             sketch.add(np.concatenate(waiting))
         return sketch.cells
 
-    sketch = Sketch(depth, width)
-    sketch = Sketch(depth, width, summed(hashed, partial, sketch.size, np.int64))
+    sketch = Sketch(share, summed(hashed, partial, empty.size, np.int64), most_cells=most_cells)
     total = int(sketch.cells[0])
-    found = sketch.heavy(share * total, slack)
+    found = sketch.heavy(share * total)
     if not found:
-        return spark.createDataFrame([], "ts string, estimate long, n_rows long")
-    # at most about 2 / share candidates, whatever the input
-    rows = values.select(term(F.col(column)).alias("ts")).withColumn("h", F.xxhash64("ts")).where(F.col("h").isin(list(found)))
-    counted = rows.groupBy("ts", "h").agg(F.count("*").alias("n_rows")).where(F.col("n_rows") >= share * total)
-    estimate = F.element_at(F.create_map(*[F.lit(x) for kv in found.items() for x in kv]), F.col("h")) if len(found) < 200 else None
-    if estimate is None:
-        estimates = F.broadcast(spark.createDataFrame(list(found.items()), "h long, estimate long"))
-        return counted.join(estimates, "h").select("ts", "estimate", "n_rows")
-    return counted.select("ts", estimate.alias("estimate"), "n_rows")
+        return spark.createDataFrame([], "ts string, estimate long, n_rows long, n_all long")
+    rows = values.select(term(F.col(column)).alias("ts")).withColumn("h", F.shiftrightunsigned(F.xxhash64("ts"), 64 - sketch.bits[-1]))
+    estimates = F.broadcast(spark.createDataFrame(list(found.items()), "h long, estimate long"))  # at most 8 / share rows
+    rows = rows.where(F.col("h").isin(list(found))) if len(found) <= IN_PLAN else rows.join(estimates.select("h"), "h", "left_semi")
+    counted = rows.groupBy("ts", "h").agg(F.count("*").alias("n_rows")).where((F.col("n_rows") >= share * total) & (F.col("ts") != ""))
+    return counted.join(estimates, "h").select("ts", "estimate", "n_rows", F.lit(total).cast("bigint").alias("n_all"))

@@ -44,6 +44,12 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return p4_counts(spark, folder).select("ts")
 
 
+def p4_estimates(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each such term its rows, and whether the sketch's estimate is off by less than half of the threshold."""
+    h = heavy.heavy_hitters(table(spark, folder, "review_terms"), "ts", 1 / 500)
+    return h.select("ts", "n_rows", (F.abs(F.col("estimate") - F.col("n_rows")) < F.col("n_all") / 1000).alias("is_close"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of records whose bags have a weighted Jaccard similarity of at least 0.7."""
     return icws.record_pairs(*icws.near_duplicates(table(spark, folder, "reviews"), threshold=0.7))
@@ -103,6 +109,7 @@ QUERIES = {
     "p3_coverage": p3_coverage,
     "p4_found": p4_found,
     "p4_counts": p4_counts,
+    "p4_estimates": p4_estimates,
     "p5_found": p5_found,
     "p5_classes": p5_classes,
     "p6_containers": p6_containers,
@@ -114,6 +121,7 @@ SQL = {
     "p2_vocabulary": _VOCABULARY + "SELECT * FROM v",
     "p4_found": _HEAVY + "SELECT ts FROM t WHERE n_rows >= (SELECT count(*) FROM review_terms) / 500",
     "p4_counts": _HEAVY + "SELECT ts, n_rows FROM t WHERE n_rows >= (SELECT count(*) FROM review_terms) / 500",
+    "p4_estimates": _HEAVY + "SELECT ts, n_rows, true AS is_close FROM t WHERE n_rows >= (SELECT count(*) FROM review_terms) / 500",
     "p7_found": """
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all(lower(item_text), '[a-z0-9]+') AS w FROM eval_items),

@@ -6,8 +6,10 @@ the coarsest kind (file, hunk, paragraph, line) found in the farther half win, a
 there, the farthest of the nearer half; only without any at all, a cut between two tokens. The successor table is then squared: after k rounds it leads over 2^k cuts, and the cuts known so far lead to as many
 new ones. So all greedy cuts of all texts of a batch come out in log2(pieces) vector steps instead of one after another.
 
-Sizes are tokens of the whole text. Windows leave ``reserve`` tokens free, as a piece that is tokenized by itself may
-have a few tokens more where a cut parts what the tokenizer's pattern keeps together.
+Sizes are tokens of the whole text. A piece that is tokenized by itself may have more of them where a cut parts what the tokenizer's pattern
+keeps together, so windows leave ``reserve`` tokens free. A cut behind a line end can only part a run of white space: where that
+has at most half of ``reserve`` bytes, the piece fits for sure. Any other piece is tokenized by itself, and a text with one above the limit is
+split again with twice the reserve.
 
 Texts are independent rows, so there is no shuffle; a text of at most ``limit`` bytes cannot have more tokens and is
 not tokenized. Defined results: null and empty texts and those within the limit give no pieces; equal rows give equal pieces.
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.llm.bags import Batches
-from corpusloom.llm.tokens import RANKS, tokenizer
+from corpusloom.llm.tokens import RANKS, Tokenizer, tokenizer
 
 #: Kinds of boundaries from the coarsest; a cut stands where the match ends, or before it for files and hunks.
 KINDS = ("file", "hunk", "paragraph", "line", "token", "end")
@@ -101,6 +103,17 @@ def split_texts(texts: list[bytes], ends: list[np.ndarray], limit: int, overlap:
     return np.split(pieces, np.searchsorted(reached, heads[1:]))
 
 
+def plain_cut(text: bytes, at: int, most: int) -> bool:
+    """Whether a cut is at an end of the text, or parts at most a run of ``most`` bytes of ASCII white space behind a line end."""
+    if at in (0, len(text)):
+        return True
+    if text[at - 1] != 10 or text[at] >= 128:  # other white space may follow
+        return False
+    left, right = text[max(at - most, 0) : at], text[at : at + most]
+    run = len(left) - len(left.rstrip()) + len(right) - len(right.lstrip())
+    return run <= most and text[at + len(right) - len(right.lstrip()) :][:1] < b"\x80"
+
+
 def split_documents(docs: DataFrame, limit: int = 2048, overlap: int = 128, reserve: int = 16, tokens: str = RANKS) -> DataFrame:
     """(doc_id, piece, n_tokens, overlap, cut, text) of the documents (doc_id, text) with more than ``limit`` tokens: pieces in
     order from 0, their tokens, how many of them the piece before has too, the kind of boundary at their end."""
@@ -125,9 +138,26 @@ def split_documents(docs: DataFrame, limit: int = 2048, overlap: int = 128, rese
             if ids:
                 yield out(batch, ids, texts, ends)
 
+    def fitting(encoder: Tokenizer, texts: list[bytes], ends: list[np.ndarray]) -> list[np.ndarray]:
+        free, todo, done = reserve, list(range(len(texts))), [np.zeros((0, 3), np.int64)] * len(texts)
+        while todo:
+            for k, pieces in zip(todo, split_texts([texts[k] for k in todo], [ends[k] for k in todo], limit - free, overlap)):
+                done[k] = pieces
+            free *= 2
+            if 2 * overlap >= limit - free:
+                break
+            todo = [k for k in todo if too_long(encoder, texts[k], np.r_[0, ends[k]], done[k])]
+        return done
+
+    def too_long(encoder: Tokenizer, text: bytes, at: np.ndarray, pieces: np.ndarray) -> bool:
+        for a, b, _ in pieces.tolist():
+            if not (plain_cut(text, int(at[a]), reserve // 2) and plain_cut(text, int(at[b]), reserve // 2)) and encoder.count(text[at[a] : at[b]].decode()) > limit:
+                return True
+        return False
+
     def out(batch: pa.RecordBatch, ids: list[int], texts: list[bytes], ends: list[np.ndarray]) -> pa.RecordBatch:
         rows = []
-        for row, text, end, pieces in zip(ids, texts, ends, split_texts(texts, ends, limit - reserve, overlap)):
+        for row, text, end, pieces in zip(ids, texts, ends, fitting(tokenizer(tokens), texts, ends)):
             at = np.r_[0, end]
             before = 0
             for k, (a, b, kind) in enumerate(pieces.tolist()):

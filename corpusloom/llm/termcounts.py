@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.functions.terms import term
 from corpusloom.llm.bags import Batches
+from corpusloom.plans.session import input_width
 
 #: Rows that are counted in one vectorised step.
 CHUNK = 1 << 18
@@ -60,7 +61,7 @@ class Counters:
 def term_frequencies(tokens: DataFrame, most_terms: int = 1_000_000) -> DataFrame:
     """(ts, n_total, n_records) of tokens (review_id, pos, ts, tfreq): total frequency and records of every term."""
     good = tokens.select("review_id", "pos", term(F.col("ts")).alias("t"), "tfreq").where("review_id IS NOT NULL AND t <> '' AND tfreq >= 1")
-    spread = good.repartition("review_id", "t").sortWithinPartitions("review_id", "pos", "t", "tfreq")
+    spread = good.repartition(input_width(tokens), "review_id", "t").sortWithinPartitions("review_id", "pos", "t", "tfreq")
 
     def count(batches: Batches) -> Batches:
         counters, waiting, rows, last = Counters(), [], 0, (None, None, None)

@@ -7,7 +7,9 @@ far as ``span`` words can reach, and count if the common run has ``span`` words.
 
 Words, k-grams and windows are vectorised over the text buffers of Arrow batches, in pieces of fixed size, so a very
 long text needs no more memory than its words. Test items stay with the tasks while they have at most
-``most_broadcast`` fingerprints (checked); beyond it, fingerprints with the words around them are joined by a shuffle.
+``most_broadcast`` fingerprints (checked); beyond it, fingerprints with the words around them are joined by a shuffle. Documents then
+send only fingerprints that a bit table of the test fingerprints (16 MB, whatever their number) holds, so the words around others never travel;
+the join is left to adaptive execution, which splits a fingerprint of very many documents.
 
 Defined results: null or empty texts and texts of fewer than ``span`` words have no fingerprint and leak nothing; repeated
 rows give their pair once; an empty side gives no rows.
@@ -22,9 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.llm.bags import MIX_B, STEP, Batches, U, mix
+from corpusloom.plans.session import cut
 
 #: Bytes of text that are split into words in one step.
 PIECE = 1 << 20
+#: Bits of the table of test fingerprints, as a power of two.
+BITS = 27
 #: An odd multiplier of the polynomial over a word's bytes.
 BASE = STEP
 WORD = np.zeros(256, bool)
@@ -116,14 +121,35 @@ def long_runs(one: np.ndarray, two: np.ndarray, k: int, span: int) -> np.ndarray
     return same[:, side : side + k].all(axis=1) & (left + k + right >= span)
 
 
-def _prints(df: DataFrame, key: str, text: str, k: int, span: int, outside: int) -> DataFrame:
-    """(fp, key, context) of every fingerprint."""
+def bit_table(fingerprints_: DataFrame) -> np.ndarray:
+    """Bits of the places, two for each, of fingerprints (fp)."""
+    place = F.explode(F.array(*[F.shiftrightunsigned("fp", 64 - BITS), F.col("fp").bitwiseAND((1 << BITS) - 1)]))
+    words = fingerprints_.select(place.alias("m")).groupBy(F.shiftright("m", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(m % 64 AS int))")).alias("v"))
+    table = np.zeros(1 << BITS - 6, np.int64)
+    for part in words.toArrow().to_batches():
+        table[part.column(0).to_numpy()] = part.column(1).to_numpy()
+    return table.view(U)
+
+
+def in_table(table: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    on = np.ones(len(fp), bool)
+    for m in (fp >> U(64 - BITS), fp & U((1 << BITS) - 1)):
+        on &= (table[(m >> U(6)).astype(np.intp)] >> (m & U(63))) & U(1) == 1
+    return on
+
+
+def _prints(df: DataFrame, key: str, text: str, k: int, span: int, outside: int, table: np.ndarray | None = None) -> DataFrame:
+    """(fp, key, context) of every fingerprint, or of those that a bit table holds."""
+    sent = None if table is None else df.sparkSession.sparkContext.broadcast(table)
 
     def emit(batches: Batches) -> Batches:
         split = Words()
         for batch, some in ((b, s) for b in batches for s in pieces(b.column(1))):
             rows, words = split(batch.column(1)[some])
             at, fp = fingerprints(rows, words, k, span)
+            if sent is not None:
+                on = in_table(sent.value, fp)
+                at, fp = at[on], fp[on]
             near = contexts(rows, words, at, k, span, outside)
             width = near.shape[1]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * width), pa.array(near.reshape(-1).view(np.int64)))
@@ -141,7 +167,8 @@ def leaks(corpus: DataFrame, items: DataFrame, k: int = 8, span: int = 20, most_
     some = tests.limit(most_broadcast + 1).toArrow()
     docs = corpus.select("doc_id", F.lower("text").alias("text"))
     if some.num_rows > most_broadcast:
-        return _joined(_prints(corpus, "doc_id", "text", k, span, 0), tests, k, span)
+        tests = cut(tests)
+        return _joined(_prints(corpus.where("doc_id IS NOT NULL AND text IS NOT NULL"), "doc_id", "text", k, span, 0, bit_table(tests.select("fp").distinct())), tests, k, span)
     fp = some.column(0).combine_chunks().to_numpy().view(U) if some.num_rows else np.zeros(0, U)
     order = np.argsort(fp)
     width = 2 * span - k

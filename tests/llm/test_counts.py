@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from corpusloom.llm import heavy, termcounts
 from corpusloom.llm.bags import U, mix
@@ -64,14 +65,40 @@ def test_heavy_hitters_against_brute_force(spark):
 
 
 def test_sketch_adds_up_and_estimates():
-    rng = np.random.default_rng(1)
+    rng, share = np.random.default_rng(1), 0.002
     h = mix(np.minimum(rng.pareto(0.8, 200_000), 1e6).astype(np.int64).astype(U))
-    one, two, both = heavy.Sketch(), heavy.Sketch(), heavy.Sketch()
+    one, two, both = heavy.Sketch(share), heavy.Sketch(share), heavy.Sketch(share)
     one.add(h[:90_000])
     two.add(h[90_000:])
     both.add(h)
     assert np.array_equal(one.cells + two.cells, both.cells)
     keys, n = np.unique(h, return_counts=True)
-    found = both.heavy(0.002 * len(h), 4.0)
-    true = {int(k): int(c) for k, c in zip(keys.view(np.int64), n) if c >= 0.002 * len(h)}
-    assert set(true) <= set(found) and all(abs(found[k] - c) < 0.002 * len(h) for k, c in true.items())
+    found = both.heavy(share * len(h))
+    true = {int(k >> U(64 - both.bits[-1])): int(c) for k, c in zip(keys, n) if c >= share * len(h)}
+    assert set(true) <= set(found) and all(abs(found[k] - c) < 0.5 * share * len(h) for k, c in true.items())
+
+
+def test_sketch_follows_the_share():
+    small, large = heavy.Sketch(0.01), heavy.Sketch(1e-4)
+    assert large.width >= 32 / 1e-4 and small.width < large.width and small.exact < large.exact
+    for share in (0.0, 1.5, 1e-7):
+        with pytest.raises(ValueError):
+            heavy.Sketch(share)
+    noise = heavy.Sketch(0.5)
+    noise.add(mix(np.arange(1, 300_000, dtype=U)))
+    with pytest.raises(ArithmeticError):
+        noise.heavy(1.0)
+
+
+def test_small_shares_of_many_distinct_values(spark):
+    """Terms of 1/100,000 of the rows, beside a term of a third of them and five million others."""
+    from pyspark.sql import functions as F
+
+    n, share = 9_000_000, 1e-5
+    k = F.col("id")
+    ts = F.when(k % 3 == 0, F.lit("hot")).when(k % 9000 == 1, F.concat(F.lit("h"), (F.col("id") / 9000).cast("int") % 10)).otherwise(F.concat(F.lit("t"), F.pmod(F.xxhash64("id"), F.lit(5_000_000))))
+    df = spark.range(0, n, 1, 2).select(ts.alias("ts"))
+    want = {(r["ts"], r["n"]) for r in df.groupBy("ts").agg(F.count("*").alias("n")).where(F.col("n") >= share * n).collect()}
+    assert ("hot", n // 3) in want and len(want) >= 11
+    got = heavy.heavy_hitters(df, "ts", share).collect()
+    assert {(r["ts"], r["n_rows"]) for r in got} == want and all(abs(r["estimate"] - r["n_rows"]) <= share * n / 2 for r in got)

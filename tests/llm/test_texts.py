@@ -101,6 +101,21 @@ def test_pieces(spark):
             assert "token" not in {p["cut"] for p in pieces}
 
 
+def test_pieces_fit_when_tokenized_alone(spark):
+    """Texts whose pieces are parted within words, runs of blanks and letters of other scripts."""
+    rng, limit = random.Random(9), 256
+    texts = ["x" * 9000, " " * 9000, "\n \t" * 4000, "-" * 9000, "ab1" * 4000, "日本語" * 4000, "\u2003\n" * 3000, "\U0001f600" * 3000, "".join(chr(rng.randrange(33, 0x2000)) for _ in range(6000)), "a\n" + " " * 40 + "b\n" * 3000]
+    count = tokenizer(RANKS)
+    for reserve in (0, 16):
+        rows = splitting.split_documents(spark.createDataFrame([(k, t, "k", 1, "w") for k, t in enumerate(texts)], SCHEMA), limit, 16, reserve or 1).collect()
+        assert rows and max(count.count(r["text"]) for r in rows) <= limit
+
+
+def test_plain_cuts():
+    assert splitting.plain_cut(b"a\nb", 2, 8) and splitting.plain_cut(b"a\n   b", 2, 8) and splitting.plain_cut(b"ab", 0, 8)
+    assert not splitting.plain_cut(b"ab", 1, 8) and not splitting.plain_cut(b"a\n" + b" " * 20 + b"b", 2, 8) and not splitting.plain_cut("a\n\u2003b".encode(), 2, 8)
+
+
 def test_doubling_finds_the_cuts_that_follow_one_another():
     rng = np.random.default_rng(2)
     after = np.minimum(np.arange(200) + rng.integers(1, 9, 200), 199)
@@ -129,7 +144,13 @@ def test_containers(spark, shard):
     for k, v in parts.items():
         assert sorted(p for p, _ in v) == list(range(len(v))) and (len(v) == 1 if sizes[k] <= capacity else len(v) == -(-sizes[k] // capacity))
     if shard > 100:
-        assert len(placed) <= 1.25 * -(-sum(sizes.values()) // capacity)
+        assert len(placed) <= 1 + -(-sum(sizes.values()) // capacity)
+
+
+def test_containers_of_a_corpus_are_full(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = packing.pack(spark.read.parquet(f"{folder}/documents.parquet")).collect()
+    assert sum(r["n_tokens"] for r in rows) >= 0.97 * 4096 * len({r["container"] for r in rows})
 
 
 def test_packing_keeps_likes_together(spark):
