@@ -52,6 +52,8 @@ def mapping(S: np.ndarray, noise: float, reg: float = 1e-2, bias: bool = True, o
 def solve_regular(A: np.ndarray, B: np.ndarray) -> np.ndarray:
     """A^-1 B where features that never occur (zero rows and columns of A) are left out and get zeros."""
     on = np.abs(A).sum(axis=1) > 0
+    if on.all():
+        return np.linalg.solve(A, B)
     out = np.zeros((len(A), B.shape[1]))
     out[on] = np.linalg.solve(A[np.ix_(on, on)], B[on])
     return out
@@ -62,25 +64,39 @@ def domain_classifier(S: np.ndarray, xd: np.ndarray, alpha: float) -> np.ndarray
     return np.linalg.solve(S + alpha * np.eye(len(S)), xd)
 
 
-def rank_one_inverse(c: np.ndarray, eta: float) -> np.ndarray:
-    """(I - eta c c')^-1"""
-    return np.eye(len(c)) + eta * np.outer(c, c) / (1 - eta * (c @ c))
-
-
-def domain_mapping(S: np.ndarray, total: np.ndarray, xd: np.ndarray, noise: float, alpha: float, eta: float, reg: float = 0.0, mode: str = "target") -> np.ndarray:
-    """W of the domain-regularized autoencoder, without bias.
+class DomainSolver:
+    """Domain-regularized autoencoders, without bias, for many settings of the same moments.
 
     ``total`` are the sums of all features, ``xd`` those with the domain's sign. Modes: ``target`` pushes reconstructions to
-    the target side, ``source`` to the source side, ``orthogonal`` across the classifier, ``plain`` keeps each row's own domain.
+    the target side, ``source`` to the source side, ``orthogonal`` across the classifier, ``plain`` keeps each row's own domain. A setting only
+    adds terms of rank one: Q is solved once for P and the pushed side, a domain classifier once for each alpha.
     """
-    c = domain_classifier(S, xd, alpha)
-    pushed = {"target": (-eta, total), "orthogonal": (-eta, np.zeros_like(total)), "source": (eta, -total), "plain": (eta, xd)}
-    if mode not in pushed:
-        raise ValueError(f"no mode {mode!r}")
-    eta, side = pushed[mode]
-    P, Q = expectations(S, noise, bias=False)
-    right = (P - eta * (1 - noise) * np.outer(side, c)) @ rank_one_inverse(c, eta)
-    return solve_regular(Q + reg * np.eye(len(Q)), right).T
+
+    def __init__(self, S: np.ndarray, total: np.ndarray, xd: np.ndarray, noise: float, reg: float = 0.0, mode: str = "target") -> None:
+        sides = {"target": total, "orthogonal": np.zeros_like(total), "source": -total, "plain": xd}
+        if mode not in sides:
+            raise ValueError(f"no mode {mode!r}")
+        self.S, self.xd, self.keep = S, xd, 1 - noise
+        self.sign = -1.0 if mode in ("target", "orthogonal") else 1.0
+        P, Q = expectations(S, noise, bias=False)
+        Q[np.diag_indices(len(Q))] += reg
+        both = solve_regular(Q, np.c_[P, sides[mode]])
+        self.G, self.u = both[:, :-1], both[:, -1]
+        self.c: dict[float, np.ndarray] = {}
+
+    def mapping(self, alpha: float, eta: float) -> np.ndarray:
+        """W = ((Q + reg)^-1 (P - eta keep side c') (I - eta c c')^-1)'"""
+        if alpha not in self.c:
+            self.c[alpha] = domain_classifier(self.S, self.xd, alpha)
+        c, eta = self.c[alpha], self.sign * eta
+        out = self.G - np.outer(self.u, eta * self.keep * c)
+        out += np.outer(out @ c, eta / (1 - eta * (c @ c)) * c)
+        return out.T
+
+
+def domain_mapping(S: np.ndarray, total: np.ndarray, xd: np.ndarray, noise: float, alpha: float, eta: float, reg: float = 0.0, mode: str = "target") -> np.ndarray:
+    """W of one domain-regularized autoencoder."""
+    return DomainSolver(S, total, xd, noise, reg, mode).mapping(alpha, eta)
 
 
 def filtered(W: np.ndarray, keep: str | None, k: int = 50) -> np.ndarray:

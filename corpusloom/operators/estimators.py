@@ -108,14 +108,16 @@ class DomainAdapter(Adapter):
         m = moments(sides, self.corpus.d, ["side"])
         total, S = m.total()[1:]
         xd = m.of(lambda g: g[0] == 1)[1] - m.of(lambda g: g[0] == -1)[1]
+        solver, best = denoise.DomainSolver(S, total, xd, self.noise, mode=self.mode), None
         self.tried = []
         for alpha in self.alphas:
             for eta in self.etas:
-                self.W = denoise.domain_mapping(S, total, xd, self.noise, alpha, eta, mode=self.mode)
+                self.W = solver.mapping(alpha, eta)
                 super().fit()
-                self.tried.append((self.cv_score, alpha, eta, self.W, self.classifier, self.strength))
-        best = max(self.tried, key=lambda t: t[:3])
-        self.cv_score, self.alpha, self.eta, self.W, self.classifier, self.strength = best
+                self.tried.append((self.cv_score, alpha, eta))
+                if best is None or self.tried[-1] > best[0]:
+                    best = self.tried[-1], self.W, self.classifier, self.strength
+        (self.cv_score, self.alpha, self.eta), self.W, self.classifier, self.strength = best
         return self
 
     def width(self) -> int:

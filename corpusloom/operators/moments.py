@@ -67,6 +67,22 @@ def slices(batch: pa.RecordBatch, d: int) -> Batches:
         yield batch.slice(low, most)
 
 
+def pack(S: np.ndarray, out: np.ndarray) -> None:
+    """The upper half of a symmetric matrix, row by row."""
+    at = 0
+    for i in range(len(S)):
+        out[at : at + len(S) - i] = S[i, i:]
+        at += len(S) - i
+
+
+def unpacked(half: np.ndarray, m: int) -> np.ndarray:
+    out, at = np.empty((m, m)), 0
+    for i in range(m):
+        out[i, i:] = out[i:, i] = half[at : at + m - i]
+        at += m - i
+    return out
+
+
 @dataclass
 class Moments:
     """Counts n (groups), sums s (groups x d) and second moments S (groups x d x d) of groups (tuples of key values)."""
@@ -79,6 +95,8 @@ class Moments:
     def of(self, keep) -> tuple[float, np.ndarray, np.ndarray]:  # noqa: ANN001
         """(n, s, S) of all groups for which ``keep(group)`` holds."""
         at = [k for k, g in enumerate(self.groups) if keep(g)]
+        if len(at) == 1:
+            return self.n[at[0]], self.s[at[0]], self.S[at[0]]
         return self.n[at].sum(), self.s[at].sum(axis=0), self.S[at].sum(axis=0)
 
     def total(self) -> tuple[float, np.ndarray, np.ndarray]:
@@ -97,8 +115,8 @@ def moments(rows: DataFrame, d: int, keys: list[str], bias: bool = False) -> Mom
             raise ValueError(f"more than {MOST_GROUPS} groups of {keys}")
         groups = sorted((tuple(r) for r in found), key=lambda g: tuple((x is None, x) for x in g))
     number, m = {g: k for k, g in enumerate(groups)}, d + bias
-    upper = np.triu_indices(m)
-    one = len(upper[0]) + m + 1
+    half = m * (m + 1) // 2
+    one = half + m + 1
 
     def partial(batches: Batches) -> np.ndarray:
         S, s, n = np.zeros((len(groups), m, m)), np.zeros((len(groups), m)), np.zeros(len(groups))
@@ -111,14 +129,14 @@ def moments(rows: DataFrame, d: int, keys: list[str], bias: bool = False) -> Mom
                     S[k] += part.T @ part
                     s[k] += part.sum(axis=0)
                     n[k] += len(part)
-        return np.concatenate([np.r_[S[k][upper], s[k], n[k]] for k in range(len(groups))])
+        out = np.empty((len(groups), one))
+        for k in range(len(groups)):
+            pack(S[k], out[k, :half])
+            out[k, half:-1], out[k, -1] = s[k], n[k]
+        return out.reshape(-1)
 
     all_ = summed(rows.select(*keys, "js", "xs"), partial, len(groups) * one).reshape(len(groups), one)
-    S = np.zeros((len(groups), m, m))
-    for k in range(len(groups)):
-        S[k][upper] = all_[k, : len(upper[0])]
-        S[k] += np.triu(S[k], 1).T
-    return Moments(groups, all_[:, -1], all_[:, len(upper[0]) : -1], S)
+    return Moments(groups, all_[:, -1], all_[:, half:-1], np.stack([unpacked(all_[k, :half], m) for k in range(len(groups))]))
 
 
 def mean_gap(m: Moments, one, two) -> np.ndarray:  # noqa: ANN001

@@ -78,7 +78,7 @@ def benchmark(task: Task, noise: float = 0.9, alphas: tuple = ALPHAS, etas: tupl
     test = task.corpus.target if task.held_out is None else task.held_out
     plain = estimators.MdaAdapter(task.corpus, noise, **cv).fit()
     regular = estimators.DomainAdapter(task.corpus, noise, alphas, etas, **cv).fit()
-    tried = sorted((score, alpha, eta) for score, alpha, eta, *_ in regular.tried)
+    tried = sorted(regular.tried)
     return {"acc_mda": plain.score(test), "acc_domreg": regular.score(test), "alpha": regular.alpha, "eta": regular.eta, "tried": tried}
 
 

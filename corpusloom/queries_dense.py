@@ -42,9 +42,9 @@ def vector_moments(spark: SparkSession, folder: str) -> Moments:
     return moments(vectors(spark, folder), D, ["domain", "role", "cls"])
 
 
-def texts(spark: SparkSession, folder: str) -> DataFrame:
+def texts(spark: SparkSession, folder: str, words: int = WORDS) -> DataFrame:
     """TF-IDF feature rows of all reviews."""
-    c = Corpus(spark, folder)
+    c = Corpus(spark, folder, words)
     return feature_rows(c.docs, c.weighted(2).select("doc_id", "j", F.col("w").alias("x")))
 
 
@@ -189,10 +189,10 @@ def lsi_features(spark: SparkSession, folder: str) -> DataFrame:
     return z.select("doc_id", (F.round(F.aggregate("xs", F.lit(0.0), lambda a, x: a + x * x), 6) + 0.0).alias("length2"))
 
 
-def review_corpus(spark: SparkSession, folder: str) -> estimators.Corpus:
+def review_corpus(spark: SparkSession, folder: str, words: int = WORDS) -> estimators.Corpus:
     """All reviews of the two domains, written once; only fits of classifiers and scores leave out those without a label."""
-    rows = cut(texts(spark, folder).where(F.col("domain").isin(SOURCE, TARGET)))
-    return estimators.Corpus(rows.where(F.col("domain") == SOURCE), rows.where(F.col("domain") == TARGET), WORDS)
+    rows = cut(texts(spark, folder, words).where(F.col("domain").isin(SOURCE, TARGET)))
+    return estimators.Corpus(rows.where(F.col("domain") == SOURCE), rows.where(F.col("domain") == TARGET), words)
 
 
 def sfa_features(spark: SparkSession, folder: str) -> DataFrame:
@@ -210,8 +210,8 @@ def _accuracy(spark: SparkSession, name: str, fitted: estimators.Adapter) -> Dat
     return spark.createDataFrame([values], "estimator string, cv_accuracy double, target_accuracy double, strength double")
 
 
-def estimator(name: str, make, spark: SparkSession, folder: str) -> DataFrame:  # noqa: ANN001
-    return _accuracy(spark, name, make(review_corpus(spark, folder)).fit())
+def estimator(name: str, make, spark: SparkSession, folder: str, words: int = WORDS) -> DataFrame:  # noqa: ANN001
+    return _accuracy(spark, name, make(review_corpus(spark, folder, words)).fit())
 
 
 def beside_baseline(name: str, make, spark: SparkSession, folder: str) -> DataFrame:  # noqa: ANN001
@@ -318,6 +318,7 @@ QUERIES = {
     "mda_beside_baseline": partial(beside_baseline, "mda", lambda c: estimators.MdaAdapter(c, cv=CV)),
     "sfa_transfer": partial(beside_baseline, "sfa", lambda c: estimators.AlignedAdapter(c, WORDS // 2, 20, cv=CV)),
 }
+QUERIES |= {f"{name}_{WHOLE}": partial(QUERIES[name], words=WHOLE) for name in ("no_transfer", "estimator_mda", "estimator_domreg")}
 CLASS_METHODS = ("TCW", "TFW", "TDCW", "TDFW", "TMCW", "TMFW", "TCMCW", "TCMFW")
 REGULARIZED = {f"reg_{m.lower()}": (m, True) for m in regularized.METHODS} | {f"reg_{m.lower()}_per_source": (m, False) for m in CLASS_METHODS}
 QUERIES |= {name: partial(reg_solve, *how) for name, how in REGULARIZED.items()}
