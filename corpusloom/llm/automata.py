@@ -12,7 +12,9 @@ have partners of both kinds gives both. Passages of evaluation records are the p
 Shards. A passage belongs to the shard of its characters, so a term that many records hold is spread. Per shard, an automaton holds the evaluation passages, and every training
 text is scanned by the automaton of each shard in which it has a passage; it travels there once, as the fragment of
 its text that holds those passages, overlapping passages merged. Shards are as many as the shuffle has tasks, more
-where the passages exceed ``passages_per_shard`` on average, which bounds what a task holds.
+where the passages exceed ``passages_per_shard`` on average. No passage is in more records than its rarest term: where that bound exceeds a quarter
+of a shard, evaluation and training records are dealt into g groups each by their class, and each pair of groups meets in a shard of its own. So
+a passage that a third of all records hold fills no shard, and what a task holds is bounded.
 
 Candidates. A pair with a matched passage is a candidate where exact size bounds and a parity word allow it. A candidate's match is then
 extended to the whole texts: the pair counts where the common terms reach the threshold, and the matched intervals of the
@@ -28,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corpusloom.llm.bags import BUCKETS, MIX_A, Batches, U, Unseen, class_ids, hashed, merged, mix, parity, spans, term_counts, verified
+from corpusloom.llm.bags import BUCKETS, MIX_A, STEP, Batches, U, Unseen, class_ids, hashed, merged, mix, parity, spans, term_counts, verified
 from corpusloom.plans.session import shuffle_width
 
 #: Characters of a term: digits of DIGIT_BITS bits; digit k has the characters from 1 + (k << DIGIT_BITS) on. END follows a lone term,
@@ -81,12 +83,13 @@ def fragments(records: DataFrame, evaluation: str, threshold: float, passages_pe
             new = np.flatnonzero(unseen(ids ^ side.astype(U)))
             size = spans(starts, len(h))
             code = ((mix(h) >> U(16)) % U(CODES)).astype(np.uint32)
+            most = np.exp2((sent.value[(h % U(BUCKETS)).astype(np.intp)] + 1) / 4)  # records of each term, at most
             bits = parity(starts, h, 1)[0]
             letters = spelled(code)
             for k in (2, 3):
-                yield from emit_passages(k, starts, size, new, code, letters, side, ids, bits)
+                yield from emit_passages(k, starts, size, new, code, letters, side, ids, bits, most)
 
-    def emit_passages(k: int, starts: np.ndarray, size: np.ndarray, new: np.ndarray, code: np.ndarray, letters: np.ndarray, side: np.ndarray, ids: np.ndarray, bits: np.ndarray) -> Batches:
+    def emit_passages(k: int, starts: np.ndarray, size: np.ndarray, new: np.ndarray, code: np.ndarray, letters: np.ndarray, side: np.ndarray, ids: np.ndarray, bits: np.ndarray, most: np.ndarray) -> Batches:
         reach = windows(size[new], threshold, k)
         owner = np.repeat(np.arange(len(new)), reach)
         if not len(owner):
@@ -97,6 +100,16 @@ def fragments(records: DataFrame, evaluation: str, threshold: float, passages_pe
         key = mix(code[at].astype(U) + U(1))
         for j in range(1, k):
             key = mix(key ^ np.where(alone, 0, code[np.minimum(at + j, len(code) - 1)].astype(U) + U(1)))
+        bound = most[at]
+        for j in range(1, k):
+            bound = np.where(alone, bound, np.minimum(bound, most[np.minimum(at + j, len(most) - 1)]))
+        groups = np.maximum(np.ceil(bound / max(passages_per_shard // 4, 1)), 1).astype(np.int64)
+        if (groups > 1).any():
+            turn = np.arange(groups.sum()) - np.repeat(np.cumsum(groups) - groups, groups)
+            owner, i, at, alone, key, groups = (np.repeat(x, groups) for x in (owner, i, at, alone, key, groups))
+            own = (ids[new[owner]] % groups.astype(U)).astype(np.int64)
+            cell = np.where(side[new[owner]] == 0, own * groups + turn, turn * groups + own)
+            key = np.where(groups > 1, mix(key ^ (cell + 1).astype(U) * U(STEP)), key)
         shard = (key % U(shards)).astype(np.int64)
         order = np.lexsort((i, shard, owner))
         owner, i, at, shard, alone = (x[order] for x in (owner, i, at, shard, alone))

@@ -78,6 +78,26 @@ def test_overlaps_are_complete(spark, seed, per_shard):
     assert counts == {k: tuple(v) for k, v in want.items()}
 
 
+def test_a_passage_of_many_records_is_dealt_over_shards(spark):
+    """A third of all records share a stock of terms: no shard gets them all, and no pair is lost."""
+    from pyspark.sql import functions as F
+
+    rng, stock = random.Random(8), [(f"s{k}", 1) for k in range(30)]
+    rows = []
+    for k in range(240):
+        own = [(f"u{k}-{j}", 1) for j in range(rng.choice([1, 2, 3, 9]))]
+        rows.append((k, "labelled" if k % 2 else "unlabeled", "x", (stock if k % 3 == 0 else []) + own, None))
+    df = spark.createDataFrame(rows, SCHEMA)
+    members, links = automata.overlaps(df, passages_per_shard=80)
+    assert {tuple(r) for r in automata.record_overlaps(members, links).collect()} == brute(rows, False, 0.8)
+    bags_ = bags.hashed(df, F.col("review_id").alias("id"), "split", "domain")
+    classes = []
+    for per_shard in (80, 10**9):
+        parts, shards = automata.fragments(bags_, "unlabeled", 0.8, per_shard)
+        classes.append(max(r[1] for r in parts.groupBy("shard").agg(F.count_distinct("class")).collect()))
+    assert classes[0] < 0.7 * classes[1]
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_coverage_merges_all_training_records(spark, seed):
     rows = corpus(seed + 20)
