@@ -91,8 +91,9 @@ _OVERLAP = (
 )
 
 _VOCABULARY = """
-WITH token AS (SELECT DISTINCT review_id, pos, lower(trim(ts, chr(32) || chr(9))) AS ts, tfreq FROM review_terms
+WITH valid AS (SELECT DISTINCT review_id, pos, lower(trim(ts, chr(32) || chr(9))) AS ts, tfreq FROM review_terms
     WHERE review_id IS NOT NULL AND tfreq >= 1 AND trim(ts, chr(32) || chr(9)) <> ''),
+token AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY review_id, pos ORDER BY ts, tfreq) AS k FROM valid) WHERE k = 1 OR pos IS NULL),
 n AS (SELECT count(DISTINCT review_id) AS n FROM reviews),
 term AS (SELECT ts, CAST(sum(tfreq) AS BIGINT) AS n_total, count(DISTINCT review_id) AS n_records FROM token GROUP BY ts),
 v AS (SELECT term.*, CASE WHEN n_records < 2 THEN 'rare' WHEN n_records > 0.5 * n THEN 'common' END AS mark FROM term, n)

@@ -21,14 +21,22 @@ def tokens(seed, n=3000):
     return rows + rows[:200] + [(None, 1, "a", 1, "x", 1), (5, None, "b", 2, "x", 1), (5, None, "b", 2, "x", 1), (5, None, "c", 1, "x", 1), (6, 1, "w" * 300_000, 1, "x", 1)]
 
 
-def test_counts_against_brute_force(spark):
+@pytest.mark.parametrize("places", [1 << 16, 200])
+def test_counts_against_brute_force(spark, monkeypatch, places):
+    monkeypatch.setattr(termcounts, "PLACES", places)  # beyond it, records are spread
     rows = tokens(1)
-    total, records = Counter(), {}
-    for r, _, t, f in {x[:4] for x in rows}:
+    rows += [(7, 40, "again", 1, "x", 1), (3, -5, "before", 2, "x", 1), (3, -5, "AFTER", 2, "x", 1), (3, -5, "after", 1, "x", 1)]
+    total, records, valid = Counter(), {}, set()
+    for r, p, t, f in {x[:4] for x in rows}:
         t = (t or "").lower().strip(" \t")
         if r is not None and t and f and f >= 1:
-            total[t] += f
-            records.setdefault(t, set()).add(r)
+            valid.add((r, p, t, f))
+    once = {}
+    for r, p, t, f in sorted(valid, key=lambda x: x[2:]):
+        once.setdefault((r, p) if p is not None else (r, p, t, f), (r, t, f))
+    for r, t, f in once.values():
+        total[t] += f
+        records.setdefault(t, set()).add(r)
     want = {t: (total[t], len(records[t])) for t in total}
     for most in (1_000_000, 1):
         got = termcounts.term_frequencies(spark.createDataFrame(rows, SCHEMA).repartition(5), most).collect()
