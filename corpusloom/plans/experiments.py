@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.operators import estimators, vocabulary, weighting
 from corpusloom.operators.moments import feature_rows
-from corpusloom.plans.session import cut
+from corpusloom.plans.session import cut, kept
 from corpusloom.plans.tasks import ALPHAS, ETAS, Job
 from corpusloom.sources import newsgroups, reviews
 
@@ -38,11 +38,11 @@ def review_task(all_reviews: DataFrame, source: str, target: str, size: str = "s
     """Source and target of a size (small: labelled split, all: both splits), held-out target: its unlabeled split. The vocabulary
     and the frequencies come from source and target together, and apply to the held-out part too."""
     recs = reviews.records(all_reviews.where(F.col("domain").isin(source, target)))
-    docs = cut(reviews.spine(recs))
-    counts = cut(reviews.term_counts(recs).select("doc_id", "token", "tf"))
+    docs = kept(reviews.spine(recs))
+    counts = kept(reviews.term_counts(recs).select("doc_id", "token", "tf"))
     used = docs if size == "all" else docs.where("split = 'labelled'")
     voc = cut(vocabulary.by_frequency(counts.join(used.select("doc_id"), "doc_id", "left_semi"), used.count(), words))
-    rows = cut(features(docs, counts, voc, words, code, used))
+    rows = kept(features(docs, counts, voc, words, code, used))
     chosen = rows if size == "all" else rows.where("split = 'labelled'")
     held = rows.where((F.col("domain") == target) & (F.col("split") == "unlabeled"))
     return Task(estimators.Corpus(chosen.where(F.col("domain") == source), chosen.where(F.col("domain") == target), words), held)
@@ -51,15 +51,15 @@ def review_task(all_reviews: DataFrame, source: str, target: str, size: str = "s
 def news_task(posts: DataFrame, task_id: int, words: int = 10_000, code: int = 2, fit_all: bool = True, own: bool = False) -> Task:
     """Source and target of a newsgroup task (posts: doc_id, category, text); vocabulary of both or of the source only. With ``own``, the
     task also has the target's features over a vocabulary of the target only."""
-    docs = cut(newsgroups.labelled_posts(posts.withColumn("text", newsgroups.clean(F.coalesce("text", F.lit("")))), task_id))
-    counts = cut(newsgroups.tokens(docs))
+    docs = kept(newsgroups.labelled_posts(posts.withColumn("text", newsgroups.clean(F.coalesce("text", F.lit("")))), task_id))
+    counts = kept(newsgroups.tokens(docs))
     fit = docs if fit_all else docs.where("domain = 'source'")
     voc = cut(vocabulary.by_total(counts.join(fit.select("doc_id"), "doc_id", "left_semi"), words))
-    rows = cut(features(docs.select("doc_id", "domain", "label"), counts, voc, words, code, fit))
+    rows = kept(features(docs.select("doc_id", "domain", "label"), counts, voc, words, code, fit))
     target = None
     if own:
         mine, theirs = docs.where("domain = 'target'").select("doc_id", "domain", "label"), counts.join(docs.where("domain = 'target'").select("doc_id"), "doc_id", "left_semi")
-        target = cut(features(mine, theirs, cut(vocabulary.by_total(theirs, words)), words, code)), words
+        target = kept(features(mine, theirs, cut(vocabulary.by_total(theirs, words)), words, code)), words
     return Task(estimators.Corpus(rows.where("domain = 'source'"), rows.where("domain = 'target'"), words), own=target)
 
 

@@ -16,7 +16,7 @@ from corpusloom.operators import baselines, denoise, estimators, features, regul
 from corpusloom.operators.moments import Moments, dense_rows, feature_rows, mean_gap, moments
 from corpusloom.plans import experiments
 from corpusloom.plans.partial import matrix_rows
-from corpusloom.plans.session import cut
+from corpusloom.plans.session import kept
 from corpusloom.queries_text import BASE, LENGTHS, SOURCE, TARGET, WHOLE, WORDS, Corpus, whole
 from corpusloom.sources.tables import table
 
@@ -133,7 +133,7 @@ def mda_nobias(spark: SparkSession, folder: str) -> DataFrame:
 
 def mda_reduced_output(spark: SparkSession, folder: str) -> DataFrame:
     """Only the 20 most frequent words are reconstructed; these are the first of the vocabulary."""
-    rows = cut(texts(spark, folder))
+    rows = kept(texts(spark, folder))
     return solved(spark, denoise.mapping(moments(rows, WORDS, [], bias=True).total()[2], NOISE, REG, outputs=estimators.most_frequent(rows, 20)))
 
 
@@ -161,7 +161,7 @@ def _hidden(rows: DataFrame) -> DataFrame:
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """TF-IDF of two domains, domain-regularized denoising, hidden features of every review of them."""
-    rows = cut(texts(spark, folder).where(F.col("domain").isin(SOURCE, TARGET)))
+    rows = kept(texts(spark, folder).where(F.col("domain").isin(SOURCE, TARGET)))
     m = moments(rows, WORDS, ["domain"])
     xd = m.of(lambda g: g[0] == TARGET)[1] - m.of(lambda g: g[0] == SOURCE)[1]
     W = denoise.domain_mapping(m.total()[2], m.total()[1], xd, NOISE, ALPHA, ETA, reg=REG)
@@ -183,7 +183,7 @@ def filter_w_project(spark: SparkSession, folder: str) -> DataFrame:
 
 def lsi_features(spark: SparkSession, folder: str) -> DataFrame:
     """Squared lengths of the reviews in the space of 20 latent directions, free of signs."""
-    rows = cut(texts(spark, folder))
+    rows = kept(texts(spark, folder))
     V, s = baselines.latent(rows, WORDS, 20)
     z = baselines.latent_features(rows, V, s, WORDS)
     return z.select("doc_id", (F.round(F.aggregate("xs", F.lit(0.0), lambda a, x: a + x * x), 6) + 0.0).alias("length2"))
@@ -191,7 +191,7 @@ def lsi_features(spark: SparkSession, folder: str) -> DataFrame:
 
 def review_corpus(spark: SparkSession, folder: str, words: int = WORDS) -> estimators.Corpus:
     """All reviews of the two domains, written once; only fits of classifiers and scores leave out those without a label."""
-    rows = cut(texts(spark, folder, words).where(F.col("domain").isin(SOURCE, TARGET)))
+    rows = kept(texts(spark, folder, words).where(F.col("domain").isin(SOURCE, TARGET)))
     return estimators.Corpus(rows.where(F.col("domain") == SOURCE), rows.where(F.col("domain") == TARGET), words)
 
 

@@ -11,7 +11,7 @@ from corpusloom.functions import metrics
 from corpusloom.functions.activations import activation
 from corpusloom.operators import features, vocabulary, weighting
 from corpusloom.plans import tasks
-from corpusloom.plans.session import cut
+from corpusloom.plans.session import cut, kept
 from corpusloom.sources import newsgroups, reviews
 from corpusloom.sources.tables import table
 
@@ -25,19 +25,19 @@ class Corpus:
 
     def __init__(self, spark: SparkSession, folder: str, words: int = WORDS) -> None:
         self.spark = spark
-        self.records = reviews.records(table(spark, folder, "reviews"))
-        self.docs = reviews.spine(self.records)
-        self.counts = reviews.term_counts(self.records)
+        delivered = table(spark, folder, "reviews")
+        self.docs = reviews.spine(reviews.records(delivered.drop("features")))
+        self.counts = reviews.term_counts(reviews.records(delivered))
         self.words, self.kept = words, None
 
     def once(self) -> DataFrame:
         """The counts, written once for the scans that vocabulary, lengths and weights need."""
         if self.kept is None:
-            self.kept = cut(self.counts)
+            self.kept = kept(self.counts)
         return self.kept
 
     def n(self) -> int:
-        return self.docs.select("doc_id").count()
+        return self.docs.select("doc_id").distinct().count()
 
     def vocabulary(self) -> DataFrame:
         return cut(vocabulary.by_frequency(self.once(), self.n(), self.words))  # of bounded size
@@ -88,7 +88,7 @@ def oov_encode(spark: SparkSession, folder: str, words: int = WORDS) -> DataFram
 
 
 def df_filter_binary(spark: SparkSession, folder: str) -> DataFrame:
-    return vocabulary.frequent_binary(Corpus(spark, folder).counts)
+    return vocabulary.frequent_binary(Corpus(spark, folder).once())
 
 
 def doc_length_stats(spark: SparkSession, folder: str, words: int = WORDS) -> DataFrame:

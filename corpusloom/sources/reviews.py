@@ -52,12 +52,14 @@ def read_domains(spark: SparkSession, prefix: str, domains: tuple[str, ...], siz
 
 
 def records(reviews: DataFrame) -> DataFrame:
-    """Each record once, as in its earliest delivery: (doc_id, domain, split, label, features). Without ``loaded_at`` deliveries are equal."""
-    kept = ["domain", "split", "label", "features"]
+    """Each record once, as in its earliest delivery: (doc_id, domain, split, label, features). Without ``loaded_at`` deliveries are equal.
+    Where the table has no ``features``, records have none: the spine needs no more."""
+    kept = [c for c in ("domain", "split", "label", "features") if c in reviews.columns]
     if "loaded_at" not in reviews.columns:
         return reviews.dropDuplicates(["review_id"]).select(F.col("review_id").alias("doc_id"), *kept)
     late = F.coalesce(F.col("loaded_at").cast("timestamp"), F.lit("9999-12-31").cast("timestamp"))
-    one = reviews.groupBy(F.col("review_id").alias("doc_id")).agg(F.min_by(F.struct(*kept), late).alias("r"))
+    order = F.struct(late, "domain", "split", "label")
+    one = reviews.groupBy(F.col("review_id").alias("doc_id")).agg(F.min_by(F.struct(*kept), order).alias("r"))
     return one.select("doc_id", *[f"r.{c}" for c in kept])
 
 

@@ -28,6 +28,6 @@ def follow(rows: DataFrame, d: int, path: str, checkpoint: str, available_now: b
 def total(spark: SparkSession, path: str, d: int) -> Moments:
     """Moments of all micro-batches so far; the bias column holds the sums, its own place the count."""
     S = np.zeros((d + 1, d + 1))
-    for r in spark.read.parquet(path).groupBy("i", "j").agg(F.sum("s").alias("s")).collect():  # (d + 1)^2 rows
-        S[r["i"], r["j"]] = r["s"]
+    for part in spark.read.parquet(path).groupBy("i", "j").agg(F.sum("s").alias("s")).toArrow().to_batches():  # (d + 1)^2 rows
+        S[part.column("i").to_numpy(), part.column("j").to_numpy()] = part.column("s").to_numpy()
     return Moments([()], S[-1:, -1], S[-1:, :], S[None])
