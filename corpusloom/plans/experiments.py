@@ -39,7 +39,7 @@ def review_task(all_reviews: DataFrame, source: str, target: str, size: str = "s
     and the frequencies come from source and target together, and apply to the held-out part too."""
     recs = reviews.records(all_reviews.where(F.col("domain").isin(source, target)))
     docs = kept(reviews.spine(recs))
-    counts = kept(reviews.term_counts(recs).select("doc_id", "token", "tf"))
+    counts = kept(reviews.term_counts(recs).select("doc_id", "token", "tf"), "doc_id", placed=True)
     used = docs if size == "all" else docs.where("split = 'labelled'")
     voc = cut(vocabulary.by_frequency(counts.join(used.select("doc_id"), "doc_id", "left_semi"), used.count(), words))
     rows = kept(features(docs, counts, voc, words, code, used))
@@ -52,7 +52,7 @@ def news_task(posts: DataFrame, task_id: int, words: int = 10_000, code: int = 2
     """Source and target of a newsgroup task (posts: doc_id, category, text); vocabulary of both or of the source only. With ``own``, the
     task also has the target's features over a vocabulary of the target only."""
     docs = kept(newsgroups.labelled_posts(posts.withColumn("text", newsgroups.clean(F.coalesce("text", F.lit("")))), task_id))
-    counts = kept(newsgroups.tokens(docs))
+    counts = kept(newsgroups.tokens(docs), "doc_id")
     fit = docs if fit_all else docs.where("domain = 'source'")
     voc = cut(vocabulary.by_total(counts.join(fit.select("doc_id"), "doc_id", "left_semi"), words))
     rows = kept(features(docs.select("doc_id", "domain", "label"), counts, voc, words, code, fit))

@@ -33,7 +33,7 @@ class Corpus:
     def once(self) -> DataFrame:
         """The counts, written once for the scans that vocabulary, lengths and weights need."""
         if self.kept is None:
-            self.kept = kept(self.counts)
+            self.kept = kept(self.counts, "doc_id", placed=True)
         return self.kept
 
     def n(self) -> int:
