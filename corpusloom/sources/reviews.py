@@ -59,8 +59,11 @@ def records(reviews: DataFrame) -> DataFrame:
         return reviews.dropDuplicates(["review_id"]).select(F.col("review_id").alias("doc_id"), *kept)
     late = F.coalesce(F.col("loaded_at").cast("timestamp"), F.lit("9999-12-31").cast("timestamp"))
     order = F.struct(late, "domain", "split", "label")
-    one = reviews.groupBy(F.col("review_id").alias("doc_id")).agg(F.min_by(F.struct(*kept), order).alias("r"))
-    return one.select("doc_id", *[f"r.{c}" for c in kept])
+    apart = [F.col("features.ts").alias("_ts"), F.col("features.tfreq").alias("_tf")] if "features" in kept else []  # two arrays travel lighter than structs
+    plain = [c for c in kept if c != "features"]
+    one = reviews.groupBy(F.col("review_id").alias("doc_id")).agg(F.min_by(F.struct(*plain, *apart), order).alias("r"))
+    whole = [F.arrays_zip(F.col("r._ts").alias("ts"), F.col("r._tf").alias("tfreq")).alias("features")] if apart else []
+    return one.select("doc_id", *[f"r.{c}" for c in plain], *whole)
 
 
 def spine(recs: DataFrame) -> DataFrame:
