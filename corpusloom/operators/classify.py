@@ -219,6 +219,7 @@ def _by_models(ready: DataFrame, d: int, models: list[tuple[float, int]]) -> tup
 
     tasks = min(len(models), spark.sparkContext.defaultParallelism)
     out = spark.range(0, len(models), 1, tasks).mapInArrow(fit, "k long, w binary, hit double, n double").toArrow().sort_by("k")
+    sent.destroy()  # nothing lazy reads it, and a search sends one for each setting
     W = np.frombuffer(b"".join(v.as_py() for v in out.column("w")), float).reshape(len(models), len(heads), d + 1)
     return listed, W, np.stack([out.column("hit").to_numpy(), out.column("n").to_numpy()], axis=1)
 
