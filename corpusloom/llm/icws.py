@@ -73,17 +73,22 @@ class Sampler:
 
     def _block(self, out: np.ndarray, starts: np.ndarray, h: np.ndarray, logw: np.ndarray) -> None:
         size = spans(starts, len(h))
-        owner = np.repeat(np.arange(len(starts)), size)
         for k, odd in enumerate(self.odd):
             z = (h * odd).view(np.uint16).reshape(-1, 4)
-            i = z[:, 3].astype(np.intp)
-            r = self.r[i]
-            beta = z[:, 1] * np.float32(1 / STEPS)
-            t = np.floor(logw * self.inverse[i] + beta)
-            key = self.log[z[:, 2].astype(np.intp)] - r * (t - beta) - r
-            least = np.flatnonzero(key == np.minimum.reduceat(key, starts)[owner])
-            at = np.empty(len(starts), np.intp)
-            at[owner[least[::-1]]] = least[::-1]
+            beta = z[:, 1].astype(np.float32)
+            beta *= np.float32(1 / STEPS)
+            t = logw * self.inverse.take(z[:, 3])
+            t += beta
+            np.floor(t, out=t)
+            key = beta  # becomes log c - r (t - beta + 1)
+            key -= t
+            key -= np.float32(1)
+            key *= self.r.take(z[:, 3])
+            key += self.log.take(z[:, 2])
+            at = np.flatnonzero(key == np.repeat(np.minimum.reduceat(key, starts), size))
+            if len(at) > len(starts):  # equal keys: the first
+                owner = np.searchsorted(starts, at, "right")
+                at = at[np.r_[True, owner[1:] != owner[:-1]]]
             out[:, k] = mix(h[at] ^ (t[at].astype(np.int64).view(U) * U(STEP)))
 
 
