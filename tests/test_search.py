@@ -66,3 +66,21 @@ def test_all_settings_of_a_domain_search_start_from_one_base(spark):
     for alpha in (1.0, 50.0):
         v, w = solver.push(alpha, 0.1)
         assert np.allclose((solver.G + np.outer(v, w)).T, solver.mapping(alpha, 0.1))
+
+
+def test_all_cores_share_the_rows_of_a_search(spark, monkeypatch):
+    rows, _, _, rng = data(spark, 2)
+    shares, over = [], Search._over
+    monkeypatch.setattr(Search, "_over", lambda self, ready, *a: shares.append([len(x) for x in ready.rdd.glom().collect()]) or over(self, ready, *a))
+    hidden = denoise.Hidden(spark, rng.normal(size=(8, 6)) / 3, 8)
+    cross_validated(Search(rows.coalesce(1), hidden).setting(0), 6, 3, STRENGTHS)
+    cores = spark.sparkContext.defaultParallelism
+    for each in shares:
+        assert sum(each) == 240 and len(each) == cores and max(each) < 1.5 * 240 / cores
+
+
+def test_hidden_features_take_no_more_room_than_asked(spark):
+    z = np.random.default_rng(3).normal(size=(50, 7)) * 300
+    want = np.tanh(z)
+    assert np.allclose(denoise.quick_tanh(z), want, atol=3e-16, rtol=0)
+    assert denoise.quick_tanh(z, z) is z and np.allclose(z, want, atol=3e-16, rtol=0)

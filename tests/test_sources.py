@@ -95,3 +95,24 @@ def test_scores_and_registry_are_written(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "registry")).count() == 24
     jobs = tasks.job_results(spark, [{"task_id": 3, "noise": 0.5, "feat_type": 2, "base_accuracy": 0.5, "accuracy": 0.75, "auc": None}])
     assert jobs.first()["row"] == "3\t0.5\t2\t0.5\t0.75"
+
+
+def test_bags_are_coded_where_they_stand(spark):
+    schema = "review_id long, domain string, split string, label int, features array<struct<ts string, tfreq int>>"
+    rows = [
+        (1, "a", "labelled", 1, [("X ", 2), ("x", 1), (None, 3), (" ", 1), ("y", 0), ("z", None), ("\tÜ", 2), ("w", 5), None]),
+        (2, "a", "labelled", 0, None),
+        (3, "b", "unlabeled", None, []),
+        (4, "b", "unlabeled", -1, [("w", 1)]),
+        (5, "b", "unlabeled", -1, [("y", 4), ("x", 1), ("Y", 3)]),
+    ]
+    recs = reviews.records(spark.createDataFrame([*rows, rows[0]], schema))
+    counts = reviews.term_counts(recs).select("doc_id", "token", "tf")
+    voc = spark.createDataFrame([("x", 2, 7), ("ü", 1, 0), ("y", 1, 3)], "token string, df long, wid long")
+    wanted = weighting.weigh(vocabulary.encode(counts, voc).withColumnRenamed("wid", "j"), voc.select(F.col("wid").alias("j"), "df"), 2, 5, 0.0)
+    want = {(r["doc_id"], r["j"]): r["w"] for r in wanted.collect()}
+    got = weighting.tfidf_rows(reviews.bags(recs), voc, 5).collect()
+    assert {(r["doc_id"], r["domain"], r["split"], r["label"]) for r in got} == {r[:4] for r in rows} and len(got) == 5
+    assert {(r["doc_id"], j): x for r in got for j, x in zip(r["js"], r["xs"])} == pytest.approx(want, rel=1e-12) and len(want) == 4
+    assert [(r["js"], r["xs"]) for r in weighting.tfidf_rows(reviews.bags(recs), voc.limit(0), 5).collect()] == [([], [])] * 5
+    assert weighting.tfidf_rows(reviews.bags(recs.limit(0)), voc, 5).count() == 0

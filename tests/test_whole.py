@@ -115,3 +115,13 @@ def test_projection_by_the_solved_mapping(spark):
     got = QUERIES["mda_project"](spark, FOLDER).collect()
     assert len(got) == H.size
     assert max(abs(r["h"] - H[at[r["doc_id"]], r["i"]]) for r in got) < 2e-6
+
+
+def test_estimators_write_no_counts_and_have_the_features_of_texts(spark, monkeypatch):
+    want = {r["doc_id"]: r for r in queries_dense.texts(spark, FOLDER).where("domain in ('books', 'dvd')").collect()}
+    monkeypatch.setattr(queries_text.Corpus, "once", lambda self: pytest.fail("counts of all terms are written"))
+    got = {r["doc_id"]: r for r in queries_dense.review_corpus(spark, FOLDER).all().collect()}
+    assert got.keys() == want.keys()
+    for k, r in got.items():
+        assert [r[c] for c in ("domain", "split", "label")] == [want[k][c] for c in ("domain", "split", "label")]
+        assert dict(zip(r["js"], r["xs"])) == pytest.approx(dict(zip(want[k]["js"], want[k]["xs"])), rel=1e-12)
