@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from corpusloom.operators import denoise, estimators
+from corpusloom.operators import classify, denoise, estimators, moments
 from corpusloom.operators.moments import second_moments, unpacked
 
 RNG = np.random.default_rng(19)
@@ -47,3 +47,53 @@ def test_wide_estimators_score_as_narrow_ones(spark, monkeypatch):
     want = [(a.cv_score, a.score(c.target)) for a in (m().fit() for m in make)]
     monkeypatch.setattr(denoise, "WIDE", 10)
     assert [(a.cv_score, a.score(c.target)) for a in (m().fit() for m in make)] == want
+
+
+@pytest.mark.parametrize("bias", [False, True])
+@pytest.mark.parametrize("classes", [2, 3])
+def test_a_task_fits_all_models_of_a_setting_without_a_scan(spark, monkeypatch, classes, bias):
+    rows, x = sparse(spark, 200, 70)
+    y = np.arange(200) % classes
+    rows = rows.selectExpr("doc_id", f"cast(doc_id % {classes} as int) label", "js", "xs")
+    monkeypatch.setattr(denoise, "WIDE", 10)
+    B, strengths = RNG.normal(size=(70 + bias, 66)) / 4, (1e-3, 1.0, 10.0)
+    pushes = None if bias else [(RNG.normal(size=70) / 5, RNG.normal(size=66) / 5) for _ in range(3)]
+    hidden = denoise.Hidden(spark, B, 70, bias=bias, pushes=pushes)
+    scans, over = [], classify.Search._over
+    monkeypatch.setattr(classify.Search, "_over", lambda self, *a: scans.append(1) or over(self, *a))
+    one = classify.Search(rows, hidden)
+    got = [one.fitted(k, 3, strengths) for k in range(hidden.settings)]
+    assert not scans
+    monkeypatch.setattr(classify, "MOST_HIDDEN", 0)
+    two = classify.Search(rows, hidden)
+    assert [g[1:] for g in got] == [two.fitted(k, 3, strengths)[1:] for k in range(hidden.settings)] and scans
+    full = np.c_[x, np.ones(200)] if bias else x
+    for k, (model, strength, _) in enumerate(got):
+        H = np.c_[np.tanh(full @ (B if bias else B + np.outer(*pushes[k]))), np.ones(200)]
+        for w, head in zip(model.weights, [1] if classes == 2 else range(3)):
+            at = lambda w: strength * H.T @ (1 / (1 + np.exp(-H @ w)) - (y == head)) + w  # noqa: E731, B023
+            assert np.linalg.norm(at(w)) <= 1.1 * classify.TOLERANCE * np.linalg.norm(at(0 * w))
+
+
+def test_rows_without_features_have_hidden_ones(spark):
+    B, size, js, xs = RNG.normal(size=(9, 130)), np.array([0, 2, 0, 1]), np.array([3, 7, 8], np.int32), np.array([0.5, 2.0, 1.0])
+    x = np.zeros((4, 9))
+    x[1, [3, 7]], x[3, 8] = (0.5, 2.0), 1.0
+    v, c = RNG.normal(size=9), RNG.normal(size=130)
+    for layer, f in (("tanh", np.tanh), ("identity", lambda h: h)):
+        H = denoise.Hidden(spark, B, 9, layer, pushes=[(v, c)]).at_once(size, js, xs, columns=1)
+        flat = H.transpose(1, 0, 2).reshape(4, -1)
+        assert np.allclose(flat[:, :131], np.c_[f(x @ (B + np.outer(v, c))), np.ones(4)], atol=1e-5) and not flat[:, 131:].any()
+
+
+def test_few_entries_send_no_halves_of_matrices(spark, monkeypatch):
+    rows, x = sparse(spark)
+    monkeypatch.setattr(moments, "WIDE", 10)
+    many = second_moments(rows, 30, "side")
+    monkeypatch.setattr(moments, "MOST_ENTRIES", 1)
+    by_scan = second_moments(rows, 30, "side")
+    assert np.allclose(many[0], by_scan[0]) and all(many[1][k][0] == by_scan[1][k][0] and np.allclose(many[1][k][1], by_scan[1][k][1]) for k in (0, 1))
+    monkeypatch.undo()
+    monkeypatch.setattr(moments, "WIDE", 10)
+    monkeypatch.setattr(moments, "summed", None)
+    assert np.allclose(unpacked(second_moments(rows, 30, "side")[0], 30), x.T @ x)
